@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +75,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
         a = batch.column(column)
         if not batch.num_rows:
             continue
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(a), 0)).astype(np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(a), 0)).astype(np.int64)
         total, start = np.concatenate([[0], np.cumsum(size)]), 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(total, total[start] + limit, "right")) - 1)
@@ -84,7 +85,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
 
 def buffers(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; nulls are empty; offsets start at 0."""
-    a = pa.compute.fill_null(a, "").cast(pa.large_binary())
+    a = pc.fill_null(a, "").cast(pa.large_binary())
     n = len(a)
     _, off, data = a.buffers()
     off = np.frombuffer(off, np.int64, n + 1, a.offset * 8) if n else np.zeros(1, np.int64)
