@@ -9,16 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import mix, prefix_hash, span_hash, text_slices
+from inkfield.llm.common import mix, text_slices
 
 #: Texts of more bytes are scored like all others, but are not used to fit a classifier.
 TRAIN_TEXT_BYTES = 1 << 15
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_hash(data), start, stop)
-
-
 def gram(hashes: list[np.ndarray], salt: int) -> np.ndarray:
     """One hash for each tuple of hashes, by position."""
     h = np.full(len(hashes[0]), salt * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)

@@ -20,28 +20,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import LOWER, buffers, small_batches, text_slices, word_spans
-from inkfield.llm.ngrams import collect_features, labelled_sample, word_grams, word_hashes
+from inkfield.llm.common import LOWER, buffers, prefix_hash, small_batches, span_hash, text_slices, word_spans
+from inkfield.llm.ngrams import collect_features, gram, labelled_sample, word_grams
 
 #: Bound of the sample, size of the hash space, folds and the one that is never learned from.
 TRAIN_ROWS, BITS, FOLDS, HELD_OUT = 6000, 20, 3, 1
 #: FTRL: learning rate, its offset, L1, L2, passes.
-ALPHA, BETA, L1, L2, PASSES = 0.3, 1.0, 1.0, 0.1, 6
+ALPHA, BETA, L1, L2, PASSES = 2.0, 1.0, 6.0, 0.01, 12
+#: A toxic row counts as so many: few rows are toxic, and most of their words are not.
+TOXIC_WEIGHT = 3.0
 THRESHOLD = 0.7
 #: Places of the words of a feature: unigram, bigram, skip-grams over one and two words.
 SHAPES = ((0,), (0, 1), (0, 2), (0, 3))
+#: Lengths in bytes of the stems of a word that are unigrams too: inflected forms share them.
+STEMS = (5, 6, 7, 8)
+#: Bytes of a word: letters, digits and whatever is not ASCII; all else separates, so marks don't hide a word.
+WORD_BYTE = np.zeros(256, bool)
+WORD_BYTE[0x80:] = True
+WORD_BYTE[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789'"]] = True
 
 
 def presence(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket), distinct and sorted: the features each text of a slice has."""
     data, off = buffers(texts)
     data = LOWER[data]
-    start, stop, row = word_spans(data, off)
-    h = word_hashes(data, start, stop)
-    keys = []
-    for k, offsets in enumerate(SHAPES):
-        g, r = word_grams(h, row, offsets, 11 + k)
-        keys.append((r.astype(np.int64) << BITS) | (g >> np.uint64(64 - BITS)).astype(np.int64))
+    start, stop, row = word_spans(np.where(WORD_BYTE[data], data, 0x20).astype(np.uint8), off)
+    p = prefix_hash(data)
+    h = span_hash(p, start, stop)
+    found = [word_grams(h, row, offsets, 11 + k) for k, offsets in enumerate(SHAPES)]
+    for k in STEMS:
+        long = stop - start > k
+        found.append((gram([span_hash(p, start[long], start[long] + k)], 31 + k), row[long]))
+    keys = [(r.astype(np.int64) << BITS) | (g >> np.uint64(64 - BITS)).astype(np.int64) for g, r in found]
     key = np.unique(np.concatenate(keys))
     return key >> BITS, key & ((1 << BITS) - 1)
 
@@ -66,7 +76,7 @@ def fit(rows: list[tuple], seed: int = 3) -> dict[int, float]:
             i = np.append(rows[k][2].astype(np.int64), 1 << BITS)
             w = weight(i)
             p = 1 / (1 + np.exp(-min(30.0, max(-30.0, w.sum()))))
-            g = p - rows[k][1]
+            g = (p - rows[k][1]) * (TOXIC_WEIGHT if rows[k][1] else 1.0)
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
             z[i] += g - sigma * w
             n[i] += g * g
