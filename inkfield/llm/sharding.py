@@ -78,8 +78,10 @@ def with_keys(rows: DataFrame) -> DataFrame:
 
 
 def _by_node(spark: SparkSession, values: dict[int, tuple], ddl: str) -> DataFrame:
-    """A few rows for each node of one level: small by construction."""
-    return F.broadcast(spark.createDataFrame([(n, *v) for n, v in values.items()], f"node int, {ddl}"))
+    """A few rows for each node of one level, as literals: small by construction."""
+    fields = [f.split() for f in f"node int, {ddl}".split(", ")]
+    rows = [F.struct(*[F.lit(x).cast(kind).alias(name) for x, (name, kind) in zip((n, *v), fields)]) for n, v in values.items()]
+    return F.broadcast(spark.range(1).select(F.inline(F.array(*rows))))
 
 
 def _median(rows: DataFrame, key: Column, bits: int, goal: dict[int, float], weight: dict[int, int]) -> dict[int, tuple[int, float, int]]:
