@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfield.llm import exact, html_cut, jaccard, mixing, packing, quality, sharding, toxicity, urls
+from inkfield.llm import exact, html_cut, jaccard, mixing, packing, quality, repeats, sharding, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op5_url_filters": op5_url_filters,
+    "op6_suffix_repeats": op6_suffix_repeats,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
