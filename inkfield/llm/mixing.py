@@ -145,13 +145,15 @@ def mix(
     repeat: int = MAX_REPEAT,
     seed: int = 17,
 ) -> DataFrame:
-    """carry, pattern, size, source_size and target (of the first member), times (0 to `repeat`), taken.
+    """row (a struct of the columns named in carry), pattern, size, source_size and target (of the first member),
+    times (0 to `repeat`), taken.
     members: array of source names, null for the source without a name; weights repeat over the sorted sources."""
     spark = docs.sparkSession
     pattern = F.array_sort(F.array_distinct(members), lambda a, b: F.when(a.eqNullSafe(b), 0).when(a.isNull(), 1).when(b.isNull(), -1).when(a < b, -1).otherwise(1))
-    unit = F.shiftright(F.xxhash64(F.lit(seed), *carry, F.monotonically_increasing_id() if not carry else F.lit(0)), 64 - BITS)
+    unit = F.shiftright(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in carry]), 64 - BITS)
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
     thin = materialise(
-        docs.select(*carry, pattern.alias("pattern"), size.cast("long").alias("size"), unit.bitwiseAND(F.lit((1 << BITS) - 1)).alias("u")), "mix"
+        docs.select(row, pattern.alias("pattern"), size.cast("long").alias("size"), unit.bitwiseAND(F.lit((1 << BITS) - 1)).alias("u")), "mix"
     )
     rows = thin.groupBy("pattern").agg(F.sum("size").alias("w")).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
@@ -187,7 +189,7 @@ def mix(
         d = d.withColumn("chosen", F.col("chosen") | F.coalesce(fits & (F.col("u") < F.col("cut")), F.lit(False))).drop("room", "cut")
         open_ = {p: open_[p] - held[p] for p in open_ if open_[p] > held[p]}
     times = F.when(F.col("size") > 0, F.col("whole") + F.col("chosen").cast("int")).otherwise(F.lit(0))
-    return d.select(*carry, "pattern", "size", "source_size", "target", times.cast("long").alias("times"), (times * F.col("size")).cast("long").alias("taken"))
+    return d.select("row", "pattern", "size", "source_size", "target", times.cast("long").alias("times"), (times * F.col("size")).cast("long").alias("taken"))
 
 
 #: Contract of the query: weights of the sources in order of code points.
@@ -196,3 +198,9 @@ WEIGHTS = (5, 2, 1)
 
 def mix_documents(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     return mix(docs, F.array("source"), word_count(F.col("text")), WEIGHTS, carry)
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The mix itself: the input's rows and columns, each as often as the mix takes it."""
+    often = mix_documents(docs, docs.columns).filter("times > 0")
+    return often.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")

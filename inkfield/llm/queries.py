@@ -44,7 +44,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix_documents(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_documents(docs).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
