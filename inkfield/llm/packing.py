@@ -16,7 +16,9 @@ empty tables; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -32,43 +34,63 @@ SENTENCE_CUT, HARD_CUT = 1, 12
 #: Tokens that one dynamic program covers; it ends on a document where it can.
 BLOCK = 1 << 17
 #: Pieces of text whose ids are kept between calls.
-CACHE = 300_000
+CACHE = 600_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _tokenizers: dict[str, tuple] = {}
 
 
+def _ranks(t) -> dict[bytes, int] | None:
+    """Bytes of each token to its id, if the ids are the order of the merges; else null. Byte-level alphabets
+    write printable bytes as themselves and the others as the characters from U+0100 on."""
+    model, vocabulary = json.loads(t.to_str())["model"], t.get_vocab(with_added_tokens=False)
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", ())]
+    ordered = model["type"] == "BPE" and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+    ordered = ordered and all(vocabulary.get(a + b) == 256 + k for k, (a, b) in enumerate(merges)) and len(vocabulary) == 256 + len(merges)
+    if not ordered or any(c not in byte for w in vocabulary for c in w):
+        return None
+    return {bytes(byte[c] for c in w): k for w, k in vocabulary.items()}
+
+
 def tokenizer(path: str):
-    """(function from text to ids as bytes, ids after which a sentence may end); one for each process."""
+    """(function from text to ids as bytes, ids after which a sentence may end); one for each process.
+
+    The tokenizer never joins characters across a single space that follows another character, so a text is
+    cut there and the ids of its pieces are kept. New pieces are merged by the same ranks in a second, faster
+    implementation, where the file's ids are the order of its merges; pieces with added tokens, and texts
+    with runs of spaces, are encoded by the tokenizer itself."""
     if path not in _tokenizers:
+        import tiktoken
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         ends = np.zeros(t.get_vocab_size(), bool)
         for s, k in t.get_vocab().items():
             ends[k] = s[-1:] in (".", "!", "?", "Ċ")  # the last: a line feed in byte-level alphabets
-        pieces: dict[str, bytes] = {}  # ids, 4 bytes each, of pieces that the tokenizer never joins
+        ranks = _ranks(t)
+        merge = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else None
+        added = [x.content for x in t.get_added_tokens_decoder().values()]
+        pieces: dict[str, bytes] = {}  # 4 bytes an id
 
         def whole(text: str) -> bytes:
-            return np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return array("I", t.encode(text, add_special_tokens=False).ids).tobytes()
 
         def ids(text: str) -> bytes:
             if not text:
                 return b""
-            if "   " in text:  # runs of spaces join across the places where pieces are cut
+            if merge is None or "   " in text or any(a in text for a in added):
                 return whole(text)
-            parts = text.split(" ")
-            parts[1:] = [" " + p for p in parts[1:]]
+            parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
             if not parts[0]:
                 del parts[0]
-            new = [p for p in dict.fromkeys(parts) if p not in pieces]
-            if new:
-                if len(pieces) + len(new) > CACHE:
-                    pieces.clear()
-                    new = list(dict.fromkeys(parts))
-                for p, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False)):
-                    pieces[p] = np.array(e.ids, "<u4").tobytes()
+            if len(pieces) > CACHE:
+                pieces.clear()
+            for p in set(parts).difference(pieces):
+                pieces[p] = array("I", merge(p)).tobytes()
             return b"".join([pieces[p] for p in parts])
 
         _tokenizers[path] = ids, ends
