@@ -53,8 +53,27 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sieve(rows: DataFrame, key: Column, wanted: DataFrame, bits: int = 22) -> DataFrame:
+    """Rows that may have a key among those wanted (one column), without moving any: a bitmap of 2 ** bits hashes in
+    words of 64, at most 2 ** (bits - 6) rows however many keys there are. It lets some others pass, the more the
+    fuller it is, and never drops a wanted one; an exact join of what passes follows."""
+
+    def place(k: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(k), 64 - bits)
+
+    at = place(F.col(wanted.columns[0]))
+    one = F.expr("shiftleft(1L, cast(__at % 64 as int))")
+    words = wanted.select(at.alias("__at")).groupBy(F.floor(F.col("__at") / 64).alias("__word")).agg(F.bit_or(one).alias("__bits"))
+    marked = rows.withColumn("__at", place(key)).withColumn("__word", F.floor(F.col("__at") / 64))
+    return marked.join(F.broadcast(words), "__word").filter(F.col("__bits").bitwiseAND(one) != 0).select(*rows.columns)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of long texts stay small: a batch is held whole on both sides of the pipe."""
+    """Arrow batches of long texts stay small: a batch is held whole on both sides of the pipe. Workers find this
+    package where the driver found it, wherever they are started."""
+    root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
