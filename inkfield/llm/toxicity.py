@@ -40,8 +40,8 @@ WORD_BYTE[0x80:] = True
 WORD_BYTE[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789'"]] = True
 
 
-def presence(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket), distinct and sorted: the features each text of a slice has."""
+def presence(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket), distinct and sorted: the features each text of a slice has; only the wanted buckets."""
     data, off = buffers(texts)
     data = LOWER[data]
     start, stop, row = word_spans(np.where(WORD_BYTE[data], data, 0x20).astype(np.uint8), off)
@@ -51,7 +51,13 @@ def presence(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for k in STEMS:
         long = stop - start > k
         found.append((gram([span_hash(p, start[long], start[long] + k)], 31 + k), row[long]))
-    keys = [(r.astype(np.int64) << BITS) | (g >> np.uint64(64 - BITS)).astype(np.int64) for g, r in found]
+    keys = []
+    for g, r in found:
+        bucket = (g >> np.uint64(64 - BITS)).astype(np.int64)
+        if wanted is not None:
+            hit = np.flatnonzero(wanted[bucket])
+            r, bucket = r[hit], bucket[hit]
+        keys.append((r.astype(np.int64) << BITS) | bucket)
     key = np.unique(np.concatenate(keys))
     return key >> BITS, key & ((1 << BITS) - 1)
 
@@ -100,7 +106,7 @@ def score(docs: DataFrame, weights: dict[int, float], doc_id: str = "doc_id", te
         w = np.zeros(1 << BITS)
         w[list(sparse.value)] = list(sparse.value.values())
         for b in text_slices(batches, "text"):
-            row, bucket = presence(b.column("text"))
+            row, bucket = presence(b.column("text"), w != 0)
             x = np.bincount(row, weights=w[bucket], minlength=b.num_rows) + (base or 0.0)
             p = 1 / (1 + np.exp(-np.clip(x, -30, 30))) if base is not None else np.zeros(b.num_rows)
             ids = b.column("doc_id")
