@@ -52,7 +52,7 @@ BOX = "□"
 def to_mathml(root: Node, display: bool = True, namespace: bool = True, provenance: bool = False) -> str:
     def attrs(n: Node, **more: str) -> str:
         if provenance and n.glyph_ids:
-            more |= {"data_glyphs": " ".join(map(str, n.glyph_ids)), "data_confidence": f"{n.confidence:.4g}"}
+            more |= {"data_glyphs": " ".join(map(str, n.glyph_ids)), "data_confidence": f"{n.confidence:.4f}"}
         return "".join(f" {k.replace('_', '-')}={quoteattr(v)}" for k, v in more.items())
 
     def group(ns: list[Node]) -> str:
@@ -75,7 +75,7 @@ def to_mathml(root: Node, display: bool = True, namespace: bool = True, provenan
             more = {"class": "unknown"} | ({"title": n.reason} if n.reason else {})
             return f"<mtext{attrs(n, **more)}>{escape(n.text or BOX)}</mtext>"
         if k == "Space":
-            return f'<mspace{attrs(n, width=f"{n.width_em:.4g}em")}/>'
+            return f'<mspace{attrs(n, width=f"{n.width_em:.3f}em")}/>'
         if k == "Row":
             return f"<mrow{attrs(n)}>{''.join(map(write, n.kids))}</mrow>"
         if k == "Fraction":
@@ -263,7 +263,8 @@ def to_omml(root: Node, display: bool = True, namespace: bool = True) -> Written
 
     def run(t: str, n: Node) -> str:
         plain = n.kind in ("Number", "Text", "Unknown") or n.variant == "normal" and n.kind == "Identifier"
-        pr = '<m:rPr><m:sty m:val="p"/></m:rPr>' if plain and n.kind == "Identifier" else '<m:rPr><m:nor/></m:rPr>' if n.kind in ("Text", "Unknown") else ""
+        script = n.variant if n.variant in ("double-struck", "script", "fraktur", "sans-serif", "monospace") else ""
+        pr = f'<m:rPr><m:scr m:val="{script}"/></m:rPr>' if script else '<m:rPr><m:sty m:val="p"/></m:rPr>' if plain and n.kind == "Identifier" else '<m:rPr><m:nor/></m:rPr>' if n.kind in ("Text", "Unknown") else ""
         return f'<m:r>{pr}<m:t xml:space="preserve">{escape(t)}</m:t></m:r>'
 
     def e(tag: str, *ns: Node) -> str:
@@ -283,7 +284,7 @@ def to_omml(root: Node, display: bool = True, namespace: bool = True) -> Written
         if k in ("Row", "MatrixCell"):
             return "".join(map(write, x))
         if k == "Fraction":
-            pr = "" if n.thickness > 0 else '<m:fPr><m:type m:val="noBar"/></m:fPr>'
+            pr = f'<m:fPr><m:type m:val="{"bar" if n.thickness > 0 else "noBar"}"/></m:fPr>'
             return f"<m:f>{pr}{e('num', x[0])}{e('den', x[1])}</m:f>"
         if k in ("Superscript", "Subscript", "SubSup", "UnderOver") and x[0].kind == "LargeOperator":
             under = k in ("Subscript", "SubSup") or n.has_under
@@ -292,7 +293,7 @@ def to_omml(root: Node, display: bool = True, namespace: bool = True) -> Written
             sub = parts.pop(0) if under else None
             sup = parts.pop(0) if over and parts else None
             loc = "undOvr" if k == "UnderOver" else "subSup"
-            hide = ("" if sub else '<m:subHide m:val="1"/>') + ("" if sup else '<m:supHide m:val="1"/>')
+            hide = f'<m:subHide m:val="{0 if sub else 1}"/><m:supHide m:val="{0 if sup else 1}"/>'
             return f'<m:nary><m:naryPr><m:chr m:val={quoteattr(x[0].text)}/><m:limLoc m:val="{loc}"/>{hide}</m:naryPr>{e("sub", *([sub] if sub else []))}{e("sup", *([sup] if sup else []))}<m:e/></m:nary>'
         if k == "Superscript":
             return f"<m:sSup>{e('e', x[0])}{e('sup', x[1])}</m:sSup>"
@@ -306,7 +307,7 @@ def to_omml(root: Node, display: bool = True, namespace: bool = True) -> Written
                 inner = f"<m:limLow><m:e>{inner}</m:e>{e('lim', x[1])}</m:limLow>"
             return f"<m:limUpp><m:e>{inner}</m:e>{e('lim', x[-1])}</m:limUpp>" if n.has_over else inner
         if k == "Radical":
-            return f"<m:rad>{'' if len(x) > 1 else '<m:radPr><m:degHide m:val=' + chr(34) + '1' + chr(34) + '/></m:radPr>'}{e('deg', *x[1:])}{e('e', x[0])}</m:rad>"
+            return f'<m:rad><m:radPr><m:degHide m:val="{0 if len(x) > 1 else 1}"/></m:radPr>{e("deg", *x[1:])}{e("e", x[0])}</m:rad>'
         if k == "Delimited":
             return f"<m:d><m:dPr><m:begChr m:val={quoteattr(n.open)}/><m:endChr m:val={quoteattr(n.close)}/></m:dPr>{e('e', *x)}</m:d>"
         if k == "Accent":
@@ -314,7 +315,9 @@ def to_omml(root: Node, display: bool = True, namespace: bool = True) -> Written
         if k in ("Overline", "Underline"):
             return f'<m:bar><m:barPr><m:pos m:val="{"top" if k == "Overline" else "bot"}"/></m:barPr>{e("e", x[0])}</m:bar>'
         if k == "Matrix":
-            return f"<m:m>{''.join('<m:mr>' + ''.join(e('e', c) for c in r.kids) + '</m:mr>' for r in x)}</m:m>"
+            columns = max((len(r.kids) for r in x), default=1)
+            pr = f'<m:mPr><m:mcs><m:mc><m:mcPr><m:count m:val="{columns}"/><m:mcJc m:val="center"/></m:mcPr></m:mc></m:mcs></m:mPr>'
+            return f"<m:m>{pr}{''.join('<m:mr>' + ''.join(e('e', c) for c in r.kids) + '</m:mr>' for r in x)}</m:m>"
         if k == "Lines":
             return f"<m:eqArr>{''.join(e('e', r) for r in x)}</m:eqArr>"
         raise ValueError(k)
@@ -336,12 +339,16 @@ def to_wordperfect(root: Node) -> Written:
             lost.append(n.reason or "unknown glyph")
             return n.text or BOX
         if n.kind == "Text" or n.kind == "Identifier" and len(n.text) > 1 and n.text not in _S and n.text not in FUNCTIONS:
-            return f'func {{{n.text}}}'
+            return f"func {n.text}"
         return _S[n.text][2] if n.text in _S else n.text
 
     def braced(n: Node) -> str:
         return f"{{{write(n)}}}"
 
+    def script(n: Node) -> str:
+        s = write(n)
+        return s if len(s) == 1 or s.isalnum() and s.isascii() else f"{{{s}}}"
+
     def write(n: Node) -> str:
         k, x = n.kind, n.kids
         if k in ("Identifier", "Number", "Operator", "LargeOperator", "Unknown", "Text"):
@@ -355,22 +362,22 @@ def to_wordperfect(root: Node) -> Written:
         if k in ("Superscript", "Subscript", "SubSup"):
             names = {"Superscript": ("sup",), "Subscript": ("sub",), "SubSup": ("sub", "sup")}[k]
             head = write(x[0]) if x[0].kind in ("Identifier", "Number", "LargeOperator") else braced(x[0])
-            return head + "".join(f" {m} {braced(s)}" for m, s in zip(names, x[1:]))
+            return head + "".join(f" {m} {script(s)}" for m, s in zip(names, x[1:]))
         if k == "UnderOver":
             names = ("from",) * n.has_under + ("to",) * n.has_over
-            return write(x[0]) + "".join(f" {m} {braced(s)}" for m, s in zip(names, x[1:]))
+            return write(x[0]) + "".join(f" {m} {script(s)}" for m, s in zip(names, x[1:]))
         if k == "Radical":
             return f"sqrt {braced(x[0])}" if len(x) == 1 else f"nroot {braced(x[1])} {braced(x[0])}"
         if k == "Delimited":
             body = " ".join(map(write, x))
-            names = {"⟨": "langle", "⟩": "rangle", "{": "lbrace", "}": "rbrace", "|": "line", "⌊": "lfloor", "⌋": "rfloor", "⌈": "lceil", "⌉": "rceil"}
+            names = {"⟨": "LANGLE", "⟩": "RANGLE", "{": "LBRACE", "}": "RBRACE", "|": "LINE", "⌊": "LFLOOR", "⌋": "RFLOOR", "⌈": "LCEIL", "⌉": "RCEIL"}
             o, c = (names.get(f, f) or "." for f in (n.open, n.close))
             return f"left {o} {body} right {c}" if n.stretchy or "." in (o, c) else f"{o} {body} {c}"
         if k == "Accent":
             if n.accent not in _A:
                 lost.append(f"accent {n.accent}")
                 return write(x[0])
-            unsure.append(f"accent {_A[n.accent][2]}")
+            unsure.append(_A[n.accent][2])
             return f"{_A[n.accent][2]} {braced(x[0])}"
         if k in ("Overline", "Underline"):
             return f"{k.lower()} {braced(x[0])}"
