@@ -9,10 +9,11 @@ its neighbours there tell the longest left extension it shares at this depth: an
 differ further left is a maximal repeat, and all its occurrences are marked, not just neighbours in the array.
 An occurrence is covered from its left to its right extension where both together reach `length`.
 
-Groups of more than MEMBERS suffixes are not held in one task. They are split by where a string lies around
-its anchor: each half of the places shares more bytes, which become the new grouping key. A half whose strings
-are all equal is decided by that alone, so a passage shared by a third of all texts costs a few rows an
-occurrence. Equal texts are one text here; texts are named by 64-bit hashes.
+Suffixes with the same whole context cover each other, and one of them goes on for all. Groups of more than
+MEMBERS suffixes are not held in one task. They are split by where a string lies around its anchor: each half of
+the places shares more bytes, which become the new grouping key, and suffixes that now agree are merged again;
+so a passage shared by a third of all texts costs a few rows an occurrence. Equal texts are one text here; texts
+are named by 64-bit hashes.
 
 Nulls are empty texts. Matches never cross texts; what is repeated within a text counts. Repeated rows are
 copies. Empty tables give empty tables; other columns are ignored. Memory follows one text or one group.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import buffers, materialise, prefix_hash, small_batches, span_hash, text_slices
+from inkfield.llm.common import buffers, materialise, prefix_hash, sieve, small_batches, span_hash, text_slices
 
 LENGTH, GRAM = 200, 64
 #: Suffixes of one group that a task holds.
@@ -244,19 +245,24 @@ def covered(groups: DataFrame, length: int) -> DataFrame:
     out = []
     level = groups
     while True:
-        reach = F.length("ctx") - F.col("nl")
-        whole = (F.col("nl") >= F.col("hi")) & (reach >= length - F.col("lo"))
+        # all that the strings of a row's places cover together; rows that agree on it are covered by each other
+        whole = (F.col("nl") >= F.col("hi")) & (F.length("ctx") - F.col("nl") >= length - F.col("lo"))
         content = F.when(whole, F.xxhash64(_piece(F.col("hi"), length - F.col("lo")))).otherwise(F.xxhash64("tid", "pos"))
-        level = materialise(level.withColumn("all", content), "suffixes")
-        sizes = level.groupBy("gkey").agg(F.count(F.lit(1)).alias("m"), F.min("all").alias("x"), F.max("all").alias("y"))
-        large = materialise(sizes.filter(F.col("m") > MEMBERS).select("gkey", (F.col("x") == F.col("y")).alias("equal")), "large-groups")
+        level = materialise(level.withColumns({"all": content, "whole": whole}), "suffixes")
+        kinds = level.groupBy("gkey", "all").agg(F.count(F.lit(1)).alias("m"))
+        equal = level.filter("whole").select("gkey", "all", "tid", "pos", "lo", "hi").join(kinds.filter("m > 1").select("gkey", "all"), ["gkey", "all"])
+        out.append(materialise(equal.select("tid", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") + length - F.col("lo")).alias("stop")), "spans"))
+        # one row stands for all of its kind from here on
+        sizes = kinds.groupBy("gkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        sizes = materialise(sizes, "suffix-groups")
+        kept = level.join(sizes.select("gkey"), "gkey", "left_semi").dropDuplicates(["gkey", "all"]).drop("all", "whole")
+        large = sizes.filter(F.col("n") > MEMBERS).select("gkey")
         if large.isEmpty():
-            out.append(_flat(level, length))
+            out.append(materialise(_flat(kept, length), "spans"))
             break
-        out.append(_flat(level.join(large.select("gkey"), "gkey", "left_anti"), length))
-        equal = level.join(large.filter("equal").select("gkey"), "gkey", "left_semi").filter(whole)
-        out.append(equal.select("tid", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") + length - F.col("lo")).alias("stop")))
-        hot = level.join(large.filter("not equal").select("gkey"), "gkey", "left_semi").filter("lo < hi")
+        kept = materialise(kept, "suffix-kinds")
+        out.append(materialise(_flat(kept.join(large, "gkey", "left_anti"), length), "spans"))
+        hot = kept.join(large, "gkey", "left_semi").filter("lo < hi")
         mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
         halves = F.array(F.struct(F.col("lo").alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi").alias("hi")))
         split = hot.withColumn("part", F.explode(halves)).select("gkey", "tid", "pos", "ctx", "nl", F.col("part.lo").alias("lo"), F.col("part.hi").alias("hi"))
@@ -303,7 +309,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
     small_batches(docs.sparkSession)
     named = docs.select(F.col(text).alias("text")).filter(F.octet_length("text") >= length).select(F.xxhash64("text").alias("tid"), "text")
     found = materialise(shared_anchors(anchor_rows(named, length, gram)), "anchors")
-    texts = named.join(found.select("tid").distinct(), "tid", "left_semi").dropDuplicates(["tid"])
+    tids = found.select("tid").distinct()
+    texts = sieve(named, F.col("tid"), tids).join(tids, "tid", "left_semi").dropDuplicates(["tid"])
     texts = materialise(texts, "texts")
     return texts, covered(contexts(found, texts, length, gram), length)
 
