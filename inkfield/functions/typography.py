@@ -165,7 +165,7 @@ def reclassify(atoms: Column) -> Column:
         F.array().cast("array<string>"),
         lambda a, x: F.concat(a, F.array(F.when((x == "Bin") & ((F.size(a) == 0) | F.element_at(a, -1).isin(*BIN_AFTER)), "Ord").otherwise(x))),
     )
-    after = F.concat(F.slice(first, 2, F.greatest(F.size(first) - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
+    after = F.slice(F.concat(F.slice(first, 2, F.greatest(F.size(first) - 1, F.lit(0))), F.array(F.lit(None).cast("string"))), F.lit(1), F.size(first))
     return F.zip_with(first, after, lambda x, y: F.when((x == "Bin") & F.coalesce(y.isin(*BIN_BEFORE), F.lit(False)), "Ord").otherwise(x))
 
 

@@ -126,3 +126,25 @@ def _(spark, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order's formula read back from its page, with the least confidence of its decisions."""
     return formulas.extract(order_pages(spark, sf_dir), ["o_orderkey"], ["latex", "signature"]).select("o_orderkey", "latex", "signature", "confidence")
+
+
+# ---------------------------------------------------------------- detection and windows over the driver's tables
+
+
+@query("k17_inline_spans")
+def _(spark, d):
+    from inkfield.operators import detection
+
+    w = views.words(spark, d).select("doc_id", F.lit(1).alias("page"), F.col("id").alias("glyph_id"), F.col("font").alias("font_name"), F.col("word").alias("text"), "size", "x0", "x1", "y")
+    return detection.inline_spans(detection.prose_lines(w)).select("doc_id", "page", "line", "span", "x0", "x1", F.size("glyph_ids").alias("n"), "confidence")
+
+
+@query(
+    "x_tumbling_events",
+    "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL",
+)
+def _(spark, d):
+    from inkfield.streaming import glyph_stream
+
+    got = glyph_stream.tumbling(views.table(spark, d, "events"), "ts", "1 hour", "10 minutes", "event_type")
+    return got.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "most")
