@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkfield.core import decompile as core
-from inkfield.core import suites, tree, writers
+from inkfield.core import readers, suites, tree, writers
 from inkfield.core.typeset import page
 
 GLYPH = "struct<glyph_id:bigint,font_name:string,char_code:int,size:double,x:double,y:double>"
@@ -177,6 +177,24 @@ def by_construct(results: DataFrame) -> DataFrame:
     return results.select("suite", F.explode("constructs").alias("construct"), "exact").groupBy("suite", "construct").agg(F.sum(F.col("exact").cast("long")).alias("passed"), F.count(F.lit(1)).alias("total"))
 
 
+def agreement(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys and, for each format with an independent reader, whether what is read back agrees with the tree."""
+
+    def rows(r: dict):
+        n = solve(r)
+        want = readers.relaxed(n)
+
+        def same(read, text) -> bool:
+            try:
+                return read(text) == want
+            except Exception:  # what cannot be read back does not agree
+                return False
+
+        yield same(readers.from_mathml, writers.to_mathml(n)), same(readers.from_omml, writers.to_omml(n).text), same(readers.from_asciimath, writers.to_asciimath(n).text)
+
+    return _map(packed.select(*keys, "glyphs", "rules"), keys, "mathml boolean, omml boolean, asciimath boolean", rows)
+
+
 def roundtrip(packed: DataFrame, keys: Sequence[str], tol: float = 0.02) -> DataFrame:
     """keys, verdict, worst, rms: each region decompiled, set again and compared glyph by glyph in reading order,
     after both are moved to a common origin."""

@@ -108,6 +108,12 @@ def _(spark, d):
     return formulas.report(formulas.benchmark(both)).select("suite", F.col("n").cast("int").alias("n"), "exact_rate", "recovery")
 
 
+@query("t8_reader_agreement", "SELECT count(*) AS n, count(*) AS mathml, count(*) AS omml, count(*) AS asciimath FROM orders")
+def _(spark, d):
+    got = formulas.agreement(order_pages(spark, d), ["o_orderkey"])
+    return got.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("long")).alias(c) for c in ("mathml", "omml", "asciimath")])
+
+
 @query("a14_by_construct")
 def _(spark, d):
     return formulas.by_construct(formulas.benchmark(formulas.cases(spark, "random", 7, 300)))

@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from inkfield.core import suites, tree, writers
+from inkfield.core import readers, suites, tree, writers
 from inkfield.core.decompile import Region, decompile
 from inkfield.core.symbols import by_code, slots
 from inkfield.core.tree import Node
@@ -25,6 +25,15 @@ def test_suite_is_read_back(e):
     assert tree.structural_confidence(t) > 0.9
 
 
+@pytest.mark.parametrize("e", suites.EXTENDED, ids=repr)
+def test_independent_readers_agree(e):
+    t = decompile(*page(e))
+    want = readers.relaxed(t)
+    assert readers.from_mathml(writers.to_mathml(t)) == want
+    assert readers.from_omml(writers.to_omml(t).text) == want
+    assert readers.from_asciimath(writers.to_asciimath(t).text) == want
+
+
 @pytest.mark.parametrize("seed", [7, 11, 23])
 def test_random_suite(seed):
     exact = 0
