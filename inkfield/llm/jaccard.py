@@ -12,10 +12,11 @@ independent hash permutations, and each is used with l = a quarter of its prefix
 3. What is left is verified on whole sets: first under order C, then by the full intersection.
 
 Verified links make components. A second round tests what the leaders left open: pairs of one run that are
-still in different components. Tokens in more than HOT sets are not paired that way: sets that share no
-rarer token share l hot ones, so a prefix filter over their hot tokens, rarest first, finds them; the runs of
-that index are compared in blocks of bounded size. Nothing is capped: every pair that could link is tested or
-already connected. Equal sets are one node (copies cost nothing); sets are named by 64-bit hashes.
+still in different components. Tokens in more than HOT sets are not paired at all: sets that share no rarer token share l
+hot ones, so a prefix filter over their hot tokens, rarest first, connects them to families. A family is compared in
+blocks of bounded size by matrix products, first with some of its sets in every block, which leaves few sets
+outside its largest component, and then these with all. Nothing is capped: every pair that could link is tested
+or already connected. Equal sets are one node (copies cost nothing); sets are named by 64-bit hashes.
 
 Null and empty texts have an empty set and are linked with nothing, not even with each other. A null doc_id
 never names a component that has another member. Repeated rows are equal sets. Empty tables give empty
@@ -31,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import LOWER, buffers, materialise, mix, prefix_hash, small_batches, span_hash, text_slices, word_spans
+from inkfield.llm.common import LOWER, buffers, materialise, mix, prefix_hash, sieve, small_batches, span_hash, text_slices, word_spans
 from inkfield.llm.components import components
 
 WORDS, PERCENT = 5, 80
 #: A token in more sets than this is hot. Blocks in which sets of hot runs are compared.
-HOT, BLOCK = 64, 64
+HOT, BLOCK = 64, 256
+#: Sets of a family that stand in each of its blocks at first.
+LEADERS = 8
 #: Sets that a task remembers, so that copies in one partition are indexed once.
 SEEN = 200_000
 ORDER_B, ORDER_C = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4C2B2AE35)
@@ -157,13 +160,14 @@ def index_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """sid, tokens (8 bytes each, ascending) of documents."""
+    """sid, tokens (8 bytes each, ascending) and prints (16 bits of each token, ascending) of documents."""
 
     def of_slice(b):
         sets = shingle_sets(b.column("text"), words)
-        return [pa.array(map(set_name, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        prints = [np.sort((mix(s ^ ORDER_C) & np.uint64(0xFFFF)).astype("<u2")) for s in sets]
+        return [pa.array(map(set_name, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([x.tobytes() for x in prints], pa.binary())]
 
-    return docs.select("text").mapInArrow(_task(of_slice, ["sid", "tokens"]), "sid long, tokens binary")
+    return docs.select("text").mapInArrow(_task(of_slice, ["sid", "tokens", "prints"]), "sid long, tokens binary, prints binary")
 
 
 # ---------------------------------------------------------------- candidates
@@ -226,38 +230,58 @@ def by_order_b(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that link. sets: sid, tokens."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("ta"), b.column("tb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                ok = common(fingerprints(x, ORDER_C, percent), fingerprints(y, ORDER_C, percent)) >= share(min(len(x), len(y)), percent)
-                if ok:
-                    both = common(x, y)
-                    ok = 100 * both >= percent * (len(x) + len(y) - both)
-                keep.append(ok)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(right, "b").join(left, "a").mapInArrow(task, "a long, b long")
-
-
-def open_pairs(rows: DataFrame, group: DataFrame) -> DataFrame:
-    """Pairs of one token whose sets are in different components, without those of the leaders, which have been
-    tested. rows: token, sid, leader, at most HOT for a token."""
-    known = rows.join(group, "sid", "left").withColumn("c", F.coalesce("component", "sid"))
-    lists = known.groupBy("token").agg(F.collect_list(F.struct("sid", "c")).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.first("leader").alias("leader"))
+    """Pairs (a, b) that link. sets: sid, tokens, prints. The prints of whole sets bound the intersection from above
+    at a quarter of the bytes; tokens are fetched for what is left."""
+
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        both = common(x, y)
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    def by(column: str, kind, order_c: bool):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = []
+                for x, y in zip(b.column("ta"), b.column("tb")):
+                    x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
+                    ok = not order_c or common(fingerprints(x, ORDER_C, percent), fingerprints(y, ORDER_C, percent)) >= share(min(len(x), len(y)), percent)
+                    keep.append(ok and linked(x, y))
+                yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return task
+
+    for column, kind in (("prints", np.uint16), ("tokens", np.uint64)):
+        left = sets.select(F.col("sid").alias("a"), F.col(column).alias("ta"))
+        right = sets.select(F.col("sid").alias("b"), F.col(column).alias("tb"))
+        pairs = pairs.join(right, "b").join(left, "a").mapInArrow(by(column, kind, column == "tokens"), "a long, b long")
+        pairs = materialise(pairs, "bounded") if column == "prints" else pairs
+    return pairs
+
+
+def shared_least(n, percent: int):
+    """share() as a column."""
+    return F.floor((n - F.ceil(n * percent / 100) + 1) / 4) + 1
+
+
+def open_pairs(rows: DataFrame, group: DataFrame, sets: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets in different components that share enough tokens of their A-regions for a link, without the
+    leaders' pairs, which have been tested. rows: token, sid, leader, at most HOT for a token; hot: sid, k, the
+    number of hot tokens in a set's region, which may be shared as well."""
+    known = rows.join(group, "sid", "left").join(sets.select("sid", "n"), "sid").join(hot, "sid", "left")
+    known = known.withColumns({"c": F.coalesce("component", "sid"), "k": F.coalesce("k", F.lit(0))})
+    lists = known.groupBy("token").agg(F.collect_list(F.struct("sid", "c", "n", "k")).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.first("leader").alias("leader"))
     lists = lists.filter((F.col("lo") != F.col("hi")) & (F.size("x") > 2))
+    sized = lambda s, o: F.least(s["n"], o["n"]) * 100 >= F.greatest(s["n"], o["n"]) * percent
     pairs = F.flatten(
         F.transform(
             F.filter("x", lambda s: s["sid"] != F.col("leader")),
-            lambda s: F.transform(F.filter("x", lambda o: (o["sid"] > s["sid"]) & (o["c"] != s["c"]) & (o["sid"] != F.col("leader"))), lambda o: F.struct(s["sid"].alias("a"), o["sid"].alias("b"))),
+            lambda s: F.transform(
+                F.filter("x", lambda o: (o["sid"] > s["sid"]) & (o["c"] != s["c"]) & (o["sid"] != F.col("leader")) & sized(s, o)),
+                lambda o: F.struct(s["sid"].alias("a"), o["sid"].alias("b"), (shared_least(F.least(s["n"], o["n"]), percent) - F.least(s["k"], o["k"])).alias("need")),
+            ),
         )
     )
-    return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    counted = lists.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("m"), F.first("p.need").alias("need"))
+    return counted.filter("m >= need").select("a", "b")
 
 
 def hot_rows(rows: DataFrame, lengths: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -267,35 +291,110 @@ def hot_rows(rows: DataFrame, lengths: DataFrame, sets: DataFrame, percent: int)
 
     hot = rows.join(lengths.filter(F.col("length") > HOT), "token").join(sets.select("sid", "n"), "sid")
     # the least l of any set that may link with one of n tokens
-    small = F.ceil(F.col("n") * percent / 100)
-    least = F.floor((small - F.ceil(small * percent / 100) + 1) / 4) + 1
+    least = shared_least(F.ceil(F.col("n") * percent / 100), percent)
     w = Window.partitionBy("sid")  # a set's own tokens: bounded by its region
     k = F.count(F.lit(1)).over(w)
     rank = F.row_number().over(w.orderBy("length", "token"))
     return hot.withColumn("k", k).withColumn("rank", rank).filter((F.col("k") >= least) & (F.col("rank") <= F.col("k") - least + 1)).select("token", "sid", "length")
 
 
-def hot_pairs(rows: DataFrame, group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs in different components that share a token of hot_rows. A run is cut into blocks of about BLOCK sets by
-    a hash, and blocks meet in pairs: no task holds more than two blocks, however long the run."""
-    known = rows.join(group, "sid", "left").join(sets.select("sid", "n"), "sid").withColumn("c", F.coalesce("component", "sid"))
-    lists = known.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi")
-    d = known.select("token", "sid", "c", "n").join(lists.select("token", "m"), "token")
-    d = d.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    d = d.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    lists = d.groupBy("token", "i", "j").agg(F.collect_list(F.struct("sid", "c", "n", "own")).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi")
-    fits = lambda s, o: (F.least(s["n"], o["n"]) * 100 >= F.greatest(s["n"], o["n"]) * percent)
-    pairs = F.flatten(
-        F.transform(
-            "x",
-            lambda s: F.transform(
-                F.filter("x", lambda o: (o["sid"] > s["sid"]) & (o["c"] != s["c"]) & fits(s, o) & ((o["own"] != s["own"]) | (F.col("i") == F.col("j")))),
-                lambda o: F.struct(s["sid"].alias("a"), o["sid"].alias("b")),
-            ),
-        )
-    )
-    return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the left and right members of each block, as many as join what is still apart there.
+    members: block, sid, c (its component so far), left, right; a block has a bounded number of rows. The
+    intersections of all its pairs come from one product of incidence matrices."""
+
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
+        sid = [r[1] for r in rows]
+        tokens = [np.frombuffer(r[5], np.uint64) for r in rows]
+        size = np.array([len(t) for t in tokens])
+        left, right = np.flatnonzero([r[3] for r in rows]), np.flatnonzero([r[4] for r in rows])
+        if not len(left) or not len(right):
+            return []
+        every, where, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(rows)), size)
+        place = np.cumsum(times > 1) - 1  # only tokens of two sets or more count
+        shared = times[where] > 1
+        owner, column = owner[shared], place[where[shared]]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for k in range(0, int((times > 1).sum()), 4096):
+            part = (column >= k) & (column < k + 4096)
+            m = np.zeros((len(rows), 4096), np.float32)
+            m[owner[part], column[part] - k] = 1
+            both += m[left] @ m[right].T
+        union = size[left][:, None] + size[right][None, :] - both
+        x, y = np.nonzero(100 * both >= percent * union)
+        root: dict = {}
+
+        def find(k):
+            while root.setdefault(k, k) != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        out = []
+        for u, v in zip(left[x].tolist(), right[y].tolist()):
+            a, b = find(rows[u][2]), find(rows[v][2])
+            if a != b:
+                root[a] = b
+                out.append((sid[u], sid[v]))
+        return out
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def give(rows):
+            got = solve(rows) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            for row in zip(*[b.column(c).to_pylist() for c in ("block", "sid", "c", "left", "right", "tokens")]):
+                if held and row[0] != held[0][0]:
+                    yield give(held)
+                    held = []
+                held.append(row)
+        yield give(held)
+
+    with_tokens = members.join(sets.select("sid", "tokens"), "sid").select("block", "sid", "c", "left", "right", "tokens")
+    return with_tokens.repartition("block").sortWithinPartitions("block").mapInArrow(task, "a long, b long")
+
+
+def families(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """family, sid: sets that hot tokens connect and whose sizes allow a link. Sizes are cut into classes so wide that
+    linked sets are in the same or the next; a set is in the family of its class and in that of the class above."""
+    nodes = components(rows.select("sid", "token"), "sid", "token").withColumnRenamed("node", "sid").withColumnRenamed("component", "tied")
+    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.01))
+    d = rows.select("sid").distinct().join(nodes, "sid").join(sets.select("sid", "n"), "sid").withColumn("k", F.explode(F.array(size, size + 1)))
+    return d.select(F.xxhash64("tied", "k").alias("family"), "sid")
+
+
+def in_components(members: DataFrame, group: DataFrame) -> DataFrame:
+    """family, sid, c and the number of the family's sets and of those outside its largest component, for families
+    that are in more than one."""
+    d = members.join(group, "sid", "left").select("family", "sid", F.coalesce("component", "sid").alias("c"))
+    parts = d.groupBy("family", "c").agg(F.count(F.lit(1)).alias("m"))
+    most = parts.groupBy("family").agg(F.sum("m").alias("m"), F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    return d.join(most, "family").select("family", "sid", "c", "m", (F.col("m") - F.col("top.m")).alias("minor_m"), (F.col("c") != F.col("top.c")).alias("minor"))
+
+
+def first_blocks(d: DataFrame) -> DataFrame:
+    """A family in blocks by a hash; its LEADERS first sets by another hash stand in every block and so connect them."""
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    order = F.xxhash64(F.lit(1), "sid")
+    leader = d.groupBy("family").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(order, F.greatest(F.col("m") / LEADERS, F.lit(1)).cast("long")) == 0, F.struct(order.alias("o"), F.col("sid"), F.col("c"))))), 1, LEADERS).alias("x"), F.first(blocks).alias("n"))
+    many = leader.withColumn("l", F.explode("x")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("family", F.col("l.sid").alias("sid"), F.col("l.c").alias("c"), "k")
+    own = d.select("family", "sid", "c", F.pmod(F.xxhash64(F.lit(2), "sid"), blocks).cast("int").alias("k"))
+    both = own.unionByName(many).distinct()
+    return both.select(F.xxhash64("family", "k").alias("block"), "sid", "c", F.lit(True).alias("left"), F.lit(True).alias("right"))
+
+
+def last_blocks(d: DataFrame) -> DataFrame:
+    """Every set outside the largest component of its family meets every set of the family in one block."""
+    nb, mb = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil(F.col("minor_m") / BLOCK).cast("int")
+    place = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "sid"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = d.filter("minor").select("family", "sid", "c", place(3, mb).alias("i"), every(nb).alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"))
+    right = d.select("family", "sid", "c", every(mb).alias("i"), place(4, nb).alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"))
+    return left.unionByName(right).select(F.xxhash64("family", "i", "j").alias("block"), "sid", "c", "left", "right")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -312,21 +411,30 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     def sets_of(pairs: DataFrame) -> DataFrame:
         # one document of each class brings the text; a null doc_id cannot be looked up, so it is matched null-safely
         sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        ids = sids.join(touched.select("sid", "rep"), "sid").select("rep")
-        some = docs.join(ids, docs["doc_id"].eqNullSafe(ids["rep"]), "left_semi")
+        ids = materialise(sids.join(touched.select("sid", "rep"), "sid").select("rep"), "reps")
+        some = sieve(docs, F.col("doc_id"), ids).join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
         return materialise(full_sets(some, words).dropDuplicates(["sid"]), "sets")
 
     links = materialise(verified(tried, sets_of(tried), percent), "links")
     group = materialise(components(links, "a", "b").withColumnRenamed("node", "sid"), "groups")
     lengths = materialise(shared.groupBy("token").agg(F.count(F.lit(1)).alias("length")).filter("length > 2"), "lengths")
-    rest = open_pairs(shared.join(lengths.filter(F.col("length") <= HOT).select("token"), "token"), group)
-    if not lengths.filter(F.col("length") > HOT).isEmpty():
-        hot = materialise(hot_rows(shared, lengths, touched, percent), "hot")
-        rest = rest.unionByName(hot_pairs(hot, group, touched, percent)).distinct()
+    in_hot = shared.join(lengths.filter(F.col("length") > HOT).select("token"), "token").groupBy("sid").agg(F.count(F.lit(1)).alias("k"))
+    rest = open_pairs(shared.join(lengths.filter(F.col("length") <= HOT).select("token"), "token"), group, touched, in_hot, percent)
     tried = materialise(by_order_b(rest, touched, percent), "filtered")
+    found = links
     if not tried.isEmpty():
-        links = links.unionByName(materialise(verified(tried, sets_of(tried), percent), "links"))
-        group = materialise(components(links, "a", "b").withColumnRenamed("node", "sid"), "groups")
+        found = found.unionByName(materialise(verified(tried, sets_of(tried), percent), "links"))
+        group = materialise(components(found, "a", "b").withColumnRenamed("node", "sid"), "groups")
+    if not lengths.filter(F.col("length") > HOT).isEmpty():
+        family = materialise(families(materialise(hot_rows(shared, lengths, touched, percent), "hot"), touched, percent), "families")
+        sets = None
+        for blocks in (first_blocks, last_blocks):
+            apart = materialise(in_components(family, group), "apart")
+            if apart.isEmpty():
+                break
+            sets = sets or sets_of(apart.select(F.col("sid").alias("a"), F.col("sid").alias("b")).distinct())
+            found = found.unionByName(materialise(block_links(blocks(apart), sets, percent), "links"))
+            group = materialise(components(found, "a", "b").withColumnRenamed("node", "sid"), "groups")
     least = classes.select("sid", "rep").join(group, "sid", "left").withColumn("c", F.coalesce("component", "sid"))
     names = least.groupBy("c").agg(F.min("rep").alias("component_id"))
     of_class = materialise(least.select("sid", "c").join(names, "c").select("sid", "component_id"), "classes")
