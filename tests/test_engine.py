@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from inkfield.core import suites
 from inkfield.functions import typography as ty
 from inkfield.operators import detection, formulas, spatial
-from inkfield.plans import catalog, formula_queries
+from inkfield.plans import catalog, formula_queries, more_queries  # noqa: F401
 from inkfield.sources import pdf, sinks, tables
 from inkfield.streaming import glyph_stream
 from tests.test_core import STREAM, small_pdf, small_tfm
