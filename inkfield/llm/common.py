@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import re
 import uuid
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 #: Python-side work takes at most this many text bytes at a time (a longer text stands alone).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -79,6 +81,16 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
+def give_back_memory() -> None:
+    """Returns what fitting a model has freed to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
 def word_count(text: Column) -> Column:
     """Number of maximal runs of non-space characters, JVM-side; null counts as none."""
     runs = F.regexp_replace(text, f"[{SPACE}]*[^{SPACE}]+[{SPACE}]*", "x")

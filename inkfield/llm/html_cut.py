@@ -48,7 +48,7 @@ BAD_WORDS = re.compile(
     r"\b(?:nav\w*|menu\w*|side ?bar\w*|ad|ads|adv\w*|adsense|banner\w*|cookie\w*|consent\w*|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay\w*"
     r"|newsletter\w*|subscri\w*|promo\w*|sponsor\w*|shar(?:e|ing)\w*|social\w*|related\w*|recommend\w*|breadcrumb\w*|pag(?:er|ination)\w*"
     r"|comment\w*|repl(?:y|ies)|disqus\w*|respond|footer\w*|header\w*|masthead\w*|copyright\w*|widget\w*|toolbar\w*|login\w*|signup\w*|search\w*"
-    r"|form|teaser\w*|toc|skip\w*|tags|byline|hidden|complementary|contentinfo|navigation|dialog)\b"
+    r"|form|toc|skip\w*|hidden|complementary|contentinfo|navigation|dialog)\b"
 )
 GOOD_WORDS = re.compile(r"\b(?:article\w*|content\w*|main|post|entry|story|body|text)\b")
 WORD_ODDS, GOOD_ODDS = -12.0, 3.0

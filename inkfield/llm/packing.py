@@ -34,7 +34,7 @@ SENTENCE_CUT, HARD_CUT = 1, 12
 #: Tokens that one dynamic program covers; it ends on a document where it can.
 BLOCK = 1 << 17
 #: Pieces of text whose ids are kept between calls.
-CACHE = 600_000
+CACHE = 400_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from inkfield.llm.common import IS_SPACE, buffers, mix, prefix_hash, segment_sum, small_batches, span_hash, text_slices, word_spans
+from inkfield.llm.common import IS_SPACE, buffers, give_back_memory, mix, prefix_hash, segment_sum, small_batches, span_hash, text_slices, word_spans
 from inkfield.llm.ngrams import byte_grams, collect_features, labelled_sample, word_grams
 
 #: Bound of the sample, share of it that calibrates, and size of the hash space.
@@ -133,9 +133,9 @@ def fit(rows: list[tuple], steps: int = 60, rate: float = 0.5, ridge: float = 1e
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
     train = np.flatnonzero(~held)
-    idx = np.concatenate([rows[k][2] for k in train]).astype(np.int64)
+    idx = np.concatenate([rows[k][2] for k in train]).astype(np.int32)
     val = np.concatenate([rows[k][3] for k in train])
-    row = np.repeat(np.arange(len(train)), [len(rows[k][2]) for k in train])
+    row = np.repeat(np.arange(len(train), dtype=np.int32), [len(rows[k][2]) for k in train])
     each = np.where(y[train] > 0, 0.5 / max(1, (y[train] > 0).sum()), 0.5 / max(1, (y[train] == 0).sum()))
     w, m, v, b = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0
     for t in range(1, steps + 1):
@@ -168,7 +168,9 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality"):
     small_batches(docs.sparkSession)
-    return fit(collect_features(labelled_sample(docs, labels, label, TRAIN_ROWS), features, TRAIN_ROWS))
+    model = fit(collect_features(labelled_sample(docs, labels, label, TRAIN_ROWS), features, TRAIN_ROWS))
+    give_back_memory()
+    return model
 
 
 def judged(texts: pa.Array, model) -> dict[str, np.ndarray]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import LOWER, buffers, prefix_hash, small_batches, span_hash, text_slices, word_spans
+from inkfield.llm.common import LOWER, buffers, give_back_memory, prefix_hash, small_batches, span_hash, text_slices, word_spans
 from inkfield.llm.ngrams import collect_features, gram, labelled_sample, word_grams
 
 #: Bound of the sample, size of the hash space, folds and the one that is never learned from.
@@ -119,7 +119,9 @@ def score(docs: DataFrame, weights: dict[int, float], doc_id: str = "doc_id", te
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict[int, float]:
     small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, TRAIN_ROWS, ~held_out(F.col("id")))
-    return fit(collect_features(sample, features, TRAIN_ROWS))
+    weights = fit(collect_features(sample, features, TRAIN_ROWS))
+    give_back_memory()
+    return weights
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
