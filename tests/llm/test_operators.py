@@ -129,7 +129,9 @@ def test_one_of_each(docs):
     assert {r.doc_id for r in kept.collect()} == names
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 200_000])
+def test_components(spark, local, monkeypatch):
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
     rng = random.Random(2)
     pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(k, k + 1) for k in range(100, 140)] + [(None, 3), (5, 5), (200, 201), (200, 201)]
     parent = {}
