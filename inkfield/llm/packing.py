@@ -17,6 +17,7 @@ empty tables; other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections import deque
@@ -35,6 +36,8 @@ SENTENCE_CUT, HARD_CUT = 1, 12
 BLOCK = 1 << 17
 #: Pieces of text whose ids are kept between calls.
 CACHE = 400_000
+#: Where a text may be cut: before a space that follows a character other than white space in Unicode's sense.
+CUT = re.compile(r"(?<=\S)(?= )")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -58,10 +61,11 @@ def _ranks(t) -> dict[bytes, int] | None:
 def tokenizer(path: str):
     """(function from text to ids as bytes, ids after which a sentence may end); one for each process.
 
-    The tokenizer never joins characters across a single space that follows another character, so a text is
-    cut there and the ids of its pieces are kept. New pieces are merged by the same ranks in a second, faster
-    implementation, where the file's ids are the order of its merges; pieces with added tokens, and texts
-    with runs of spaces, are encoded by the tokenizer itself."""
+    The tokenizer's pattern starts a new match at a space that follows a character other than white space, and
+    nothing is merged across matches, so a text is cut there and the ids of its pieces are kept. Behind white
+    space there is no cut: a run of it, no-break spaces and line feeds included, can be one token. New pieces are
+    merged by the same ranks in a second, faster implementation, where the file's ids are the order of its merges;
+    texts with added tokens or three spaces in a row are encoded by the tokenizer itself."""
     if path not in _tokenizers:
         import tiktoken
         from public_tokenizers import PATTERN
@@ -84,14 +88,19 @@ def tokenizer(path: str):
                 return b""
             if merge is None or "   " in text or any(a in text for a in added):
                 return whole(text)
-            parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-            if not parts[0]:
-                del parts[0]
             if len(pieces) > CACHE:
                 pieces.clear()
-            for p in set(parts).difference(pieces):
+            parts, tail = text.replace(" ", "\0 ").split("\0"), b""
+            if not parts[0]:
+                del parts[0]
+            new = set(parts).difference(pieces)
+            # cut behind white space, or at a zero of the text: no such piece is ever kept, so it is always new
+            if "\0" in text or any(p[-1].isspace() for p in new):
+                *parts, last = CUT.split(text)
+                new, tail = set(parts).difference(pieces), array("I", merge(last)).tobytes()
+            for p in new:
                 pieces[p] = array("I", merge(p)).tobytes()
-            return b"".join([pieces[p] for p in parts])
+            return b"".join([pieces[p] for p in parts]) + tail
 
         _tokenizers[path] = ids, ends
     return _tokenizers[path]

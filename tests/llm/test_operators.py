@@ -385,6 +385,22 @@ def test_tokenizer_pieces_equal_whole_texts():
         assert np.frombuffer(ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+def test_tokenizer_keeps_runs_of_white_space():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, (ids, _) = Tokenizer.from_file(path), packing.tokenizer(path)
+    assert np.frombuffer(ids("a \u00a0 \u00a0 b"), "<u4").tolist() == [64, 11504, 275]
+    rng = random.Random(9)
+    runs = [s for s in (t.decode([k]) for k in range(t.get_vocab_size())) if s.isspace()]  # all tokens of white space
+    assert any("\u00a0 " in s for s in runs)
+    texts = [a + s + b for s in runs for a in ("", "x", "é", "\0") for b in ("", "y", "✓", "\0")]
+    texts += ["".join(rng.choice([*" \u00a0\n\t\0\u3000\u2009\x1c\x85", "a", "é", "1", "!", "'s"]) for _ in range(rng.randint(1, 40))) for _ in range(4000)]
+    for x in texts * 2:  # a second time from the pieces kept
+        assert np.frombuffer(ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
 def test_best_cuts_are_optimal():
     rng = random.Random(12)
     for _ in range(60):
