@@ -8,6 +8,7 @@ scripts. Each decision predicts where the forward rules would have put its parts
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 from inkfield.core.symbols import ACCENTS, Slot, by_code, family
@@ -171,7 +172,11 @@ class Region:
         while rules:
             # of bars of one width, one that lies over its content as an overline does is solved before a fraction's
             equal = [q for q in rules if abs((q.x1 - q.x0) - (rules[0].x1 - rules[0].x0)) < 0.05]
-            r = next((q for q in equal if len(equal) > 1 and self.lies_over(q, units)), rules[0])
+            r = rules[0]
+            if len(equal) > 1:
+                column = sorted(units, key=lambda u: u.cx)
+                at = [u.cx for u in column]
+                r = next((q for q in equal if self.lies_over(q, column[bisect_left(at, q.x0 - eps) : bisect_right(at, q.x1 + eps)])), r)
             rules.remove(r)
             surd = min((u for u in units if u.role() == "radical" and abs(u.x1 - r.x0) <= 3 * eps and abs(u.top - r.y1) <= 3 * eps), key=lambda u: abs(u.x1 - r.x0) + abs(u.top - r.y1), default=None)
             span = [u for u in units if u is not surd and r.x0 - 2 * eps <= u.cx <= r.x1 + 2 * eps and u.x0 >= r.x0 - 4 * eps and u.x1 <= r.x1 + 4 * eps + u.italic]
@@ -458,15 +463,15 @@ class Region:
         units = sorted(units, key=lambda u: (u.x0, -u.y))
         base_y = self.main_baseline(units, size)
         near = lambda u: abs(u.y - base_y) <= max(0.06, 0.03 * size)
-        main = [u for u in units if u.size >= 0.85 * size and near(u)]
-        loose = [u for u in units if u not in main]
+        full = lambda u: u.size >= 0.85 * size and near(u)
+        main, loose = [u for u in units if full(u)], [u for u in units if not full(u)]
         if not loose:
             return main
-        out = []
+        out, at = [], [u.x0 for u in loose]
         for k, b in enumerate(main):
             right = main[k + 1].x0 if k + 1 < len(main) else float("inf")
             left = b.x0 if k else float("-inf")
-            mine = [u for u in loose if left <= u.x0 and u.x0 < right - 1e-6 and (u.x0 >= b.cx or not k)]
+            mine = [u for u in loose[bisect_left(at, left) : bisect_left(at, right - 1e-6)] if u.x0 >= b.cx or not k]
             out.append(self.scripted(b, mine, size, base_y) if mine else b)
         return out
 
@@ -509,6 +514,13 @@ class Region:
 
     def merge_leaves(self, units: list[Unit]) -> list[Unit]:
         """Digits that touch are one number, dots in a row an ellipsis, upright letters that touch a name."""
+        again = True
+        while again:
+            units, again = self.merge_once(units)
+        return units
+
+    def merge_once(self, units: list[Unit]) -> tuple[list[Unit], bool]:
+        """Runs merged up to the first ellipsis, and whether there was one."""
         out: list[Unit] = []
         for u in units:
             p = out[-1] if out else None
@@ -531,8 +543,8 @@ class Region:
             if len(dots) == 3:
                 k = out.index(dots[0])
                 out[k : k + 3] = [_structure("Operator", dots, [], u.y, u.size, text="…", font=u.node.font, atom="Inner", confidence=0.99, rule="ellipsis")]
-                return self.merge_leaves(out)
-        return out
+                return out, True
+        return out, False
 
     def spaces(self, units: list[Unit], size: float) -> list[Node]:
         from inkfield.core.typeset import _GLUE

@@ -31,8 +31,6 @@ FORMATS = {
     "mathml": lambda n: writers.to_mathml(n), "latex": lambda n: writers.to_latex(n).text, "asciimath": lambda n: writers.to_asciimath(n).text, "omml": lambda n: writers.to_omml(n).text,
     "wordperfect": lambda n: writers.to_wordperfect(n).text, "label_graph": writers.to_label_graph, "speech_mathml": writers.speech_mathml, "signature": tree.signature,
 }
-#: Glyphs of one region that are solved; beyond that a region is reported as a whole, not solved in part.
-MAX_GLYPHS = 5000
 
 
 def workers_find_package(spark: SparkSession) -> None:
@@ -85,15 +83,13 @@ def pack(glyphs: DataFrame, rules: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def solve(r: dict) -> tree.Node:
-    """The tree of a packed region; a region that cannot be solved is one unknown node with all its glyphs."""
+    """The tree of a packed region, whatever its size; a region that cannot be solved is one unknown node with all its
+    glyphs, which do not count as recovered."""
     glyphs, bars = r["glyphs"] or [], r["rules"] or []
-    if len(glyphs) <= MAX_GLYPHS:
-        try:
-            return core.decompile(glyphs, bars)
-        except Exception as e:  # one region must not stop a million others; the row says what happened
-            why = f"{type(e).__name__}: {e}"
-    else:
-        why = f"more than {MAX_GLYPHS} glyphs"
+    try:
+        return core.decompile(glyphs, bars)
+    except Exception as e:  # one region must not stop a million others; the row says what happened
+        why = f"{type(e).__name__}: {e}"
     return tree.Node("Unknown", reason=why[:200], glyph_ids=tuple(g["glyph_id"] for g in glyphs), rule_ids=tuple(b["rule_id"] for b in bars), confidence=0.0)
 
 
@@ -110,7 +106,7 @@ def nodes(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def extract(packed: DataFrame, keys: Sequence[str], formats: Sequence[str] = ("latex",)) -> DataFrame:
     """keys, the formats, structural and spacing confidence, glyphs and glyphs_in_tree, unknown nodes, and what the
-    LaTeX writer could not say."""
+    LaTeX writer could not say. Confidence 0: not solved, all glyphs are in the one unknown node."""
     ddl = ", ".join([*(f"{f} string" for f in formats), "confidence double, spacing_confidence double, n_glyphs int, n_in_tree int, n_unknown int, unreproducible array<string>"])
 
     def rows(r: dict):
@@ -139,7 +135,8 @@ def explain(node_table: DataFrame, keys: Sequence[str], floor: float = 1.0) -> D
 
 def survey(node_table: DataFrame, regions: DataFrame, keys: Sequence[str], floor: float = 0.9) -> DataFrame:
     """One row: equations, glyphs, glyphs in trees, recovery, unknown nodes, decisions below the floor."""
-    found = node_table.select(*keys, F.explode("glyph_ids").alias("g")).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_in_tree"))
+    solved = node_table.filter(F.col("parent_id").isNotNull() | (F.col("kind") != "Unknown"))  # an unknown root: not solved
+    found = solved.select(*keys, F.explode("glyph_ids").alias("g")).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_in_tree"))
     low = node_table.groupBy(*keys).agg(F.sum((F.col("confidence") < floor).cast("long")).alias("low"), F.sum((F.col("kind") == "Unknown").cast("long")).alias("unknown"))
     d = regions.select(*keys, F.size("glyphs").cast("long").alias("n_glyphs")).join(found, list(keys), "left").join(low, list(keys), "left")
     glyphs, inside = F.sum("n_glyphs"), F.sum(F.coalesce("n_in_tree", F.lit(0)))
@@ -163,7 +160,7 @@ def benchmark(case_table: DataFrame) -> DataFrame:
     """case_id, suite, expected, signature, exact, recovery, confidence, constructs; the truth joins after the reading."""
     read = extract(typeset(case_table, ["suite", "case_id"]), ["suite", "case_id"], ["signature", "latex"])
     got = case_table.select("suite", "case_id", "expected", "constructs").join(read, ["suite", "case_id"], "left")
-    recovery = F.coalesce(F.col("n_in_tree") / F.nullif(F.col("n_glyphs"), F.lit(0)), F.lit(1.0))
+    recovery = F.coalesce(F.when(F.col("confidence") > 0, F.col("n_in_tree")).otherwise(0) / F.nullif(F.col("n_glyphs"), F.lit(0)), F.lit(1.0))
     return got.select("suite", "case_id", "expected", "signature", (F.col("signature") == F.col("expected")).alias("exact"), recovery.alias("recovery"), "confidence", "latex", "constructs")
 
 

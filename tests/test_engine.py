@@ -94,6 +94,20 @@ def test_a_region_that_cannot_be_solved_is_one_row(spark, monkeypatch):
     assert r.n_unknown == 1 and r.n_in_tree == 1 and r.confidence == 0.0
 
 
+def test_recovery_leaves_out_unsolved_regions(spark):
+    df = spark.createDataFrame([(1, [(0, "CMMI10", 120, 10.0, None, 0.0)], []), (2, [(0, "CMMI10", 120, 10.0, 0.0, 0.0)], [])], f"k int, {formulas.PACKED}")
+    s = formulas.survey(formulas.nodes(df, ["k"]), df, ["k"]).first()
+    assert (s.equations, s.glyphs, s.glyphs_in_tree, s.glyph_recovery, s.unknown) == (2, 2, 1, 0.5, 1)
+
+
+def test_large_regions_are_solved(spark):
+    x = ["id", "x"]
+    exprs = ["seq", *[x, ["op", "+"]] * 3000, ["frac", x, ["id", "y"]]], ["seq", *[["frac", x, ["id", "y"]], ["op", "+"]] * 60, x]
+    r = formulas.extract(formulas.typeset(spark.createDataFrame([(k, json.dumps(e)) for k, e in enumerate(exprs)], "k int, expr string"), ["k"]), ["k"], ["signature"]).orderBy("k").collect()
+    assert [(a.n_glyphs, a.n_in_tree, a.n_unknown) for a in r] == [(6002, 6002, 0), (181, 181, 0)]
+    assert [a.signature for a in r] == [suites.expected(formulas._tuple(e)) for e in exprs]
+
+
 def test_roundtrip_verdicts(spark):
     pages = formulas.typeset(spark.createDataFrame([(1, json.dumps(suites.EXTENDED[9]))], "k int, expr string"), ["k"])
     moved = pages.withColumn("glyphs", F.transform("glyphs", lambda g, i: g.withField("y", F.when(i == 0, g["y"] + 0.3).otherwise(g["y"]))))
