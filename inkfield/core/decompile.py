@@ -11,12 +11,13 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
-from inkfield.core.symbols import ACCENTS, Slot, by_code, family
+from inkfield.core.encodings import FAMILIES
+from inkfield.core.symbols import ACCENTS, NEUTRAL, Slot, by_code, family
 from inkfield.core.tree import Node
 from inkfield.functions.typography import SIGMA, XI
 
-CAPS_FAMILY = "cmsy"
-VARIANTS = {"cmmi": "italic", "cmr": "normal", "cmsy": "normal", "cmex": "normal", "msbm": "double-struck", "cmbx": "bold"}
+CAPS_FAMILIES = ("cmsy", "cmbsy", "lmsy", "lmbsy")
+VARIANTS = {f: variant for f, (_, variant) in FAMILIES.items()}
 
 
 @dataclass
@@ -109,10 +110,10 @@ class Region:
             n = Node("Unknown", text=g.get("unicode_from_pdf") or "", font=g["font_name"], reason=f"no name for code {g['char_code']} of {g['font_name']}", glyph_ids=(gid,), confidence=0.3)
             w = g.get("pdf_width") or 0.5 * z
             return Unit(n, g["x"], g["x"] + w, g["y"], 0.7 * z, 0.2 * z, z, None, True, 0.0, [gid])
-        variant = "script" if fam == CAPS_FAMILY and s.name.isupper() and len(s.name) == 1 else VARIANTS.get(fam, "normal")
+        variant = "script" if fam in CAPS_FAMILIES and s.name.isupper() and len(s.name) == 1 else VARIANTS.get(fam, "normal")
         kind = "LargeOperator" if s.role == "largeop" else "Number" if s.text.isdigit() else "Operator" if s.atom in ("Bin", "Rel", "Open", "Close", "Punct") or s.role in ("fence", "radical") or s.name in ("prime", "period", "slash") else "Identifier"
         n = Node(kind, text=s.text, glyph=s.name, font=g["font_name"], variant=variant, atom=s.atom, glyph_ids=(gid,), display=s.rank > 0 and s.role == "largeop", confidence=0.999, rule="leaf")
-        u = Unit(n, g["x"], g["x"] + s.width * z, g["y"], s.height * z, s.depth * z, z, s, True, s.italic * z, [gid])
+        u = Unit(n, g["x"], g["x"] + (g.get("pdf_width") or s.width * z), g["y"], s.height * z, s.depth * z, z, s, True, s.italic * z, [gid])
         n.box = (u.x0, u.low, u.x1, u.top)
         return u
 
@@ -130,6 +131,8 @@ class Region:
             if run:
                 head = next((u for u in run if u.slot.piece in ("tp", "bt")), run[0])
                 text = head.slot.text
+                if head.slot.base.startswith("arrow") and {"tp", "bt"} <= {u.slot.piece for u in run}:
+                    text = "⇕" if "dbl" in head.slot.base else "↕"
                 x = _structure("Operator", run, [], 0.0, self.text_size, text=text, glyph=head.slot.name, font=head.node.font, atom=head.slot.atom, confidence=0.999, rule="pieces")
                 x.slot, x.char = head.slot, False
                 rest.append(x)
@@ -304,7 +307,7 @@ class Region:
         tol = lambda a, b: abs(a.cy - b.cy) <= 0.2 * max(a.size, b.size) and abs(a.size - b.size) <= 0.05 * a.size or (a.slot.rank > 0 and b.slot.rank > 0 and abs(a.cy - b.cy) < 0.3 * a.size)
         open_: list[Unit] = []
         for u in fences:
-            if u.slot.base == "bar":
+            if u.slot.base in NEUTRAL:
                 continue
             if u.slot.side == "left":
                 open_.append(u)
@@ -312,8 +315,8 @@ class Region:
                 mate = next((o for o in reversed(open_) if tol(o, u)), None)
                 if mate:
                     return mate, u
-        for level in {round(u.cy, 1): u for u in fences if u.slot.base == "bar"}.values():
-            bars = [u for u in fences if u.slot.base == "bar" and tol(u, level)]
+        for level in {(round(u.cy, 1), u.slot.base): u for u in fences if u.slot.base in NEUTRAL}.values():
+            bars = [u for u in fences if u.slot.base == level.slot.base and tol(u, level)]
             if len(bars) % 2 == 0:
                 for a, b in zip(bars[::2], bars[1::2]):
                     if any(a.x1 <= u.cx <= b.x0 for u in units):

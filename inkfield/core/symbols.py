@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import lru_cache
 from typing import NamedTuple
 
+from inkfield.core.encodings import ENCODINGS, EXTRA_SYMBOLS, FAMILIES, LARGE_OPERATORS, LM_LONG, SYMBOLS
+
 # ---------------------------------------------------------------- fixed values: font slots and metrics
 #: font family: slot name, code, Unicode, atom class. Letters and digits follow by rule below.
 SLOTS = {
@@ -37,6 +39,21 @@ FENCES = (
     "angbracket left ⟨ 10 68 28 42 - - - -, angbracket right ⟩ 11 69 29 43 - - - -"
 )
 RADICALS = (112, 113, 114, 115)
+#: Names that the surveyed tables give no character: name, character, atom class.
+MORE = (
+    "germandbls ß Ord, ae æ Ord, oe œ Ord, oslash ø Ord, AE Æ Ord, OE Œ Ord, Oslash Ø Ord, quotedblright ” Ord, quotedblleft “ Ord, asterisk * Ord, exclamdown ¡ Ord, "
+    "questiondown ¿ Ord, sterling £ Ord, quotesingle ' Ord, quotedbl \" Ord, asciicircum ^ Ord, asciitilde ~ Ord, underscore _ Ord, visiblespace ␣ Ord, harpoonleftright ⇋ Rel, "
+    "squareimage ⊏ Rel, squareoriginal ⊐ Rel, Yen ¥ Ord, check ✓ Ord, angle ∠ Ord, rightanglenw ⌜ Open, rightanglene ⌝ Close, rightanglesw ⌞ Open, rightanglese ⌟ Close, "
+    "circleR ® Ord, maltesecross ✠ Ord, Omegainv ℧ Ord, eth ð Ord, planckover2pi1 ℏ Ord, arrowtp ↑ Ord, arrowbt ↓ Ord, arrowvertex | Ord, arrowdbltp ⇑ Ord, arrowdblbt ⇓ Ord, arrowvertexdbl ‖ Ord"
+)
+#: Widths in thousandths of slots outside SLOTS that are not as wide as a relation.
+OTHER_WIDTHS = {
+    0: "negationslash mapsto", 278: "wreathproduct", 444: "section dagger daggerdbl", 500: "asteriskmath diamondmath openbullet bullet arrowup arrowdown arrowbothv bardbl backslash emptyset star",
+    611: "arrowdblup arrowdbldown arrowdblbothv aleph turnstileleft turnstileright paragraph", 667: "owner unionmulti logicaland logicalor logicalnot unionsq intersectionsq",
+    722: "Rfractur Ifractur", 889: "triangle triangleinv",
+    1000: "circlecopyrt lessmuch greatermuch arrowboth arrownortheast arrowsoutheast arrownorthwest arrowsouthwest arrowdblleft arrowdblright arrowdblboth "
+    "arrowlefttophalf arrowleftbothalf arrowrighttophalf arrowrightbothalf",
+}
 #: Widths in thousandths of the size: a to z, A to Z.
 ITALIC_LOWER = "529 429 433 521 466 490 477 576 345 412 521 298 878 600 485 503 446 451 469 361 573 485 716 572 490 465"
 ITALIC_UPPER = "750 759 715 828 738 643 786 831 440 555 849 681 970 803 763 642 791 759 613 584 683 583 944 828 581 683"
@@ -64,6 +81,9 @@ class Slot(NamedTuple):
 
 
 ACCENTS = {"circumflex": "^", "macron": "¯", "vector": "⃗", "dotaccent": "˙", "dieresis": "¨", "tilde": "~", "caron": "ˇ", "breve": "˘", "acute": "´", "grave": "`"}
+ACCENTS |= {"ring": "˚", "hungarumlaut": "˝", "tie": "⁀"} | {f"hat{x}": "^" for x in ("wide", "wider", "widest")} | {f"tilde{x}": "~" for x in ("wide", "wider", "widest")}
+#: Fences that are their own mirror.
+NEUTRAL = ("bar", "bardbl")
 
 
 def _letter(font: str, ch: str, width: str) -> Slot:
@@ -141,12 +161,59 @@ def slots() -> dict[tuple[str, str], Slot]:
     return out
 
 
+def _other(encoding: str, name: str, code: int) -> Slot | None:
+    """A slot outside the typesetter's: by its name; null where nothing is known of it but the name."""
+    more = {n: (t, a) for n, t, a in (x.split(" ") for x in MORE.split(", "))}
+    widths = {n: w / 1000 for w, names in OTHER_WIDTHS.items() for n in names.split(" ")}
+    font = {"OML": "cmmi", "OMS": "cmsy", "OMX": "cmex"}.get(encoding, "cmr")
+    if len(name) == 1 and name.isascii() and name.isalpha():
+        return _letter("cmr", name, (ROMAN_UPPER if name.isupper() else ROMAN_LOWER).split()[ord(name.lower()) - 97])._replace(code=code)
+    if name in ACCENTS:
+        w, h = {"wide": (0.556, 0.722), "wider": (1.0, 0.75), "widest": (1.444, 0.75)}.get(name.removeprefix("hat").removeprefix("tilde"), (0.5, 0.694))
+        return Slot(font, name, code, ACCENTS[name], "Ord", "accent", name, 0, "", "", w, h, 0.0, 0.0)
+    base = name.removesuffix("text").removesuffix("display")
+    if base in LARGE_OPERATORS and base != name:
+        rank, wide = int(name.endswith("display")), "circle" in base
+        return Slot(font, name, code, LARGE_OPERATORS[base], "Op", "largeop", base, rank, "", "", (1.111, 1.511)[rank] if wide else (0.833, 1.111)[rank], 0.0, (1.0, 1.4)[rank], 0.0)
+    if name in ("radicaltp", "radicalvertex", "radicalbt"):
+        piece, depth = {"radicaltp": ("tp", 0.56), "radicalvertex": ("ex", 0.56), "radicalbt": ("bt", 1.76)}[name]
+        return Slot(font, name, code, "√", "Ord", "radical", "radical", 5, "", piece, 1.056, 0.04, depth, 0.0)
+    if name == "vextenddouble":
+        return Slot(font, name, code, "‖", "Ord", "fence", "bardbl", 5, "", "ex", 0.556, 0.0, 0.606, 0.0)
+    for base, text in (("backslash", "∖"), ("slash", "/")):
+        if name.startswith(base) and name != base:
+            rank = ("big", "Big", "bigg", "Bigg").index(name.removeprefix(base)) + 1
+            return Slot(font, name, code, text, "Ord", "symbol", base, rank, "", "", (0.578, 0.811, 1.044, 1.278)[rank - 1], 0.04, 0.6 * rank + 0.56, 0.0)
+    text, atom = SYMBOLS.get(name) or EXTRA_SYMBOLS.get((encoding, name)) or more.get(name) or ("", "")
+    if not text:
+        return None
+    if name.startswith("arrow") and encoding == "OMX":
+        piece = "tp" if name.endswith("tp") else "bt" if name.endswith("bt") else "ex"
+        return Slot(font, name, code, text, atom, "symbol", "arrowdbl" if "dbl" in name else "arrow", 5, "", piece, 0.778 if "dbl" in name else 0.667, 0.0, 0.6, 0.0)
+    w, h, d = _shape(font, name, text)
+    side = {"Open": "left", "Close": "right"}.get(atom, "") if name not in ("exclam", "question") else ""
+    role = "fence" if side or name in NEUTRAL else "symbol"
+    if text.isdigit():
+        w, h, d = 0.5, DIGIT, 0.0
+    if name == "bardbl":
+        h, d = 0.75, 0.25
+    return Slot(font, name, code, text, atom, role, name.removesuffix("left").removesuffix("right") if side else name, 0, side, "", widths.get(name, w), h, d, 0.0)
+
+
 @lru_cache(maxsize=1)
 def by_code() -> dict[tuple[str, int], Slot]:
-    """(family, code) to slot; one slot may serve two fences, and then stands for the left one."""
-    out: dict[tuple[str, int], Slot] = {}
+    """(family, code) to slot, for all families of the surveyed encodings; one slot may serve two fences, and then
+    stands for the left one. Families of one encoding share the slots of Computer Modern's."""
+    own: dict[tuple[str, int], Slot] = {}
     for s in slots().values():
-        out.setdefault((s.font, s.code), s)
+        own.setdefault((s.font, s.code), s)
+    out = dict(own)
+    for encoding, names in ENCODINGS.items():
+        font = {"OML": "cmmi", "OT1": "cmr", "OMS": "cmsy", "OMX": "cmex"}.get(encoding)
+        for code, name in enumerate(names.split()):
+            s = own.get((font, code)) or (_other(encoding, name, code) if name != "-" else None)
+            for f in (f for f, (e, _) in FAMILIES.items() if s and e == encoding):
+                out.setdefault((f, code), s)
     return out
 
 
@@ -162,5 +229,10 @@ def by_text() -> dict[str, Slot]:
 
 
 def family(font: str) -> str:
-    """Of a font as a PDF names it: without subset prefix and design size."""
-    return font.split("+")[-1].lower().rstrip("0123456789.")
+    """Of a font as a PDF names it: without subset prefix and design size; of Latin Modern's long names the short form."""
+    name, _, shape = font.split("+")[-1].lower().partition("-")
+    stem = LM_LONG.get(name.rstrip("0123456789."))
+    if stem is None:
+        return font.split("+")[-1].lower().rstrip("0123456789.")
+    bold, slanted = shape.startswith(("bold", "demi")), shape.endswith(("italic", "oblique"))
+    return {"lmr": "lmbx" if bold else "lmri" if slanted else stem, "lmmi": "lmmib" if bold else stem, "lmsy": "lmbsy" if bold else stem}.get(stem, stem)

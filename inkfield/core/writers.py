@@ -9,6 +9,7 @@ import re
 from dataclasses import dataclass, field
 from xml.sax.saxutils import escape, quoteattr
 
+from inkfield.core.encodings import LATEX
 from inkfield.core.symbols import family
 from inkfield.core.tree import Node
 
@@ -124,12 +125,12 @@ def to_latex(root: Node) -> Written:
         if n.variant == "script":
             return rf"\mathcal{{{t}}}"
         if n.kind == "LargeOperator" or t in _S:
-            return _S[t][0] if t in _S else t
+            return _S[t][0] if t in _S else LATEX.get(t, t)
         if n.kind == "Identifier" and n.variant == "normal" and t.isalpha():
             return rf"\{t}" if t in FUNCTIONS else rf"\mathrm{{{t}}}"
         if n.variant == "bold":
             return rf"\mathbf{{{t}}}"
-        return _F[t][0] if t in _F else t
+        return _F[t][0] if t in _F else LATEX.get(t, t)
 
     def base(n: Node) -> str:
         s = write(n)
@@ -160,7 +161,7 @@ def to_latex(root: Node) -> Written:
         if k == "Radical":
             return rf"\sqrt{{{write(n.kids[0])}}}" if len(n.kids) == 1 else rf"\sqrt[{write(n.kids[1])}]{{{write(n.kids[0])}}}"
         if k == "Delimited":
-            o, c = (_F[x][0] if x in _F else "." if not x else x for x in (n.open, n.close))
+            o, c = (_F[x][0] if x in _F else "." if not x else LATEX.get(x, x) for x in (n.open, n.close))
             body = write(n.kids[0]) if n.kids else ""
             return rf"\left{o} {body} \right{c}" if n.stretchy or "." in (o, c) else f"{o} {body} {c}"
         if k == "Accent":

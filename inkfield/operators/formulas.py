@@ -75,11 +75,13 @@ def _tuple(x):
 
 
 def pack(glyphs: DataFrame, rules: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row for each region of glyph and rule tables; regions without rules, or of rules alone, stay."""
-    g = glyphs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("glyph_id", "font_name", "char_code", "size", "x", "y"))).alias("glyphs"))
+    """One row for each region of glyph and rule tables; regions without rules, or of rules alone, stay. The file's own
+    characters and widths (unicode_from_pdf, pdf_width) come along where the table has them."""
+    more = [c for c in ("unicode_from_pdf", "pdf_width") if c in glyphs.columns]
+    g = glyphs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("glyph_id", "font_name", "char_code", "size", "x", "y", *more))).alias("glyphs"))
     r = rules.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rule_id", "x0", "y0", "x1", "y1"))).alias("rules"))
     both = g.join(r, list(keys), "full")
-    return both.select(*keys, F.coalesce("glyphs", F.array().cast(f"array<{GLYPH}>")).alias("glyphs"), F.coalesce("rules", F.array().cast(f"array<{RULE}>")).alias("rules"))
+    return both.select(*keys, F.coalesce("glyphs", F.array().cast(g.schema["glyphs"].dataType)).alias("glyphs"), F.coalesce("rules", F.array().cast(f"array<{RULE}>")).alias("rules"))
 
 
 def solve(r: dict) -> tree.Node:

@@ -45,6 +45,27 @@ def test_random_suite(seed):
     assert exact >= 288
 
 
+@pytest.mark.parametrize(
+    "font, code, text, kind, variant, latex",
+    [
+        ("CMSY10", 17, "≡", "Operator", "normal", r"\equiv"), ("CMSY10", 41, "⇒", "Operator", "normal", r"\Rightarrow"), ("CMSY10", 94, "∧", "Operator", "normal", r"\land"),
+        ("CMSY10", 59, "∅", "Identifier", "normal", r"\emptyset"), ("LMMathSymbols10-Regular", 18, "⊆", "Operator", "normal", r"\subseteq"), ("ABCDEF+LMMathItalic10-Regular", 11, "α", "Identifier", "italic", r"\alpha"),
+        ("MSBM10", 82, "R", "Identifier", "double-struck", r"\mathbb{R}"), ("EUFM10", 103, "g", "Identifier", "fraktur", None), ("MSAM10", 60, "≽", "Operator", "normal", r"\succcurlyeq"),
+        ("CMMIB10", 120, "x", "Identifier", "bold-italic", None), ("CMEX10", 77, "⨁", "LargeOperator", "normal", r"\bigoplus"), ("CMTT10", 97, "a", "Identifier", "monospace", None), ("LASY10", 50, "□", "Identifier", "normal", r"\square"),
+    ],
+)
+def test_slots_of_all_encodings(font, code, text, kind, variant, latex):
+    t = decompile([{"glyph_id": 0, "font_name": font, "char_code": code, "size": 10.0, "x": 0.0, "y": 0.0}], [])
+    (n,) = t.kids
+    assert (n.text, n.kind, n.variant) == (text, kind, variant)
+    assert latex is None or writers.to_latex(t).text == latex
+
+
+def test_double_bars_are_fences():
+    g = [{"glyph_id": k, "font_name": f, "char_code": c, "size": 10.0, "x": x, "y": 0.0} for k, (f, c, x) in enumerate([("CMSY10", 107, 0.0), ("CMMI10", 120, 5.0), ("CMSY10", 107, 10.7)])]
+    assert tree.signature(decompile(g, [])) == "(Delimited ‖ ‖ (Identifier x))"
+
+
 def test_node_table_round_trip():
     t = decompile(*page(suites.EXTENDED[-1]))
     rows = tree.flatten(t)

@@ -94,6 +94,12 @@ def test_a_region_that_cannot_be_solved_is_one_row(spark, monkeypatch):
     assert r.n_unknown == 1 and r.n_in_tree == 1 and r.confidence == 0.0
 
 
+def test_pack_carries_characters_of_the_file(spark):
+    glyphs = spark.createDataFrame([(1, 0, "Helvetica", 200, 10.0, 0.0, 0.0, "é", 5.0)], "k int, glyph_id bigint, font_name string, char_code int, size double, x double, y double, unicode_from_pdf string, pdf_width double")
+    rules = spark.createDataFrame([], "k int, rule_id bigint, x0 double, y0 double, x1 double, y1 double")
+    assert formulas.extract(formulas.pack(glyphs, rules, ["k"]), ["k"], ["latex"]).first().latex == r"\text{é}"
+
+
 def test_recovery_leaves_out_unsolved_regions(spark):
     df = spark.createDataFrame([(1, [(0, "CMMI10", 120, 10.0, None, 0.0)], []), (2, [(0, "CMMI10", 120, 10.0, 0.0, 0.0)], [])], f"k int, {formulas.PACKED}")
     s = formulas.survey(formulas.nodes(df, ["k"]), df, ["k"]).first()
