@@ -188,8 +188,8 @@ def shape(b: Block, k: int, n: int) -> list[float]:
     words = t.count(" ") + 1
     return [
         1.0, math.log1p(size) / 4 - 1, min(1.0, b.linked / max(1, b.size)), t[-1] in ".!?…。”\"", min(1.0, 10 * sum(map(t.count, ".,;:!?")) / size),
-        min(1.0, 5 * sum(map(str.isdigit, t[:2000])) / min(size, 2000)), words <= 3, b.tag == "p", b.tag in ("h1", "h2", "h3"), b.tag == "li",
-        b.tag in ("td", "th"), min(2.0, size / words / 6), k / n, "©" in t[:200],
+        min(1.0, 5 * sum(map(str.isdigit, t)) / size), words <= 3, b.tag == "p", b.tag in ("h1", "h2", "h3"), b.tag == "li",
+        b.tag in ("td", "th"), min(2.0, size / words / 6), k / n, "©" in t,
     ]
 
 

@@ -375,6 +375,14 @@ def test_packing_is_a_partition_of_every_document(docs, corpus):
         assert all(a + n == b for (a, n), (b, _) in zip(s, s[1:])) and s[0][0] == 0 and s[-1][0] + s[-1][1] <= 1024
 
 
+def test_shape_reads_whole_blocks():
+    import types
+
+    b = types.SimpleNamespace(text="word " * 400 + "1234 " * 400 + "©", linked=0, size=4001, tag="p")
+    got = html_cut.shape(b, 0, 1)
+    assert got[5] == min(1.0, 5 * 1600 / 4001) and got[-1]
+
+
 def test_tokenizer_pieces_equal_whole_texts():
     import public_tokenizers
     from tokenizers import Tokenizer
