@@ -70,13 +70,10 @@ class Rule:
         return (self.y0 + self.y1) / 2
 
 
-def script_confidence(residual: float, size: float) -> float:
-    a, tol = abs(residual), max(0.02, 0.002 * size)
-    return 0.999 if a <= tol else 0.99 - 0.2 * (a - tol) / (9 * tol) if a <= 10 * tol else max(0.2, 0.75 - a / size)
-
-
-def falling(residual: float, size: float, floor: float = 0.3, top: float = 0.95) -> float:
-    return 0.999 if abs(residual) <= max(0.05, 0.005 * size) else max(floor, top - abs(residual) / size)
+def trust(residual: float, size: float) -> float:
+    """What a decision is worth whose place misses the rule's by a residual: 1 where it fits, a half where it is off by
+    a tenth of the size, falling with the square beyond. All rules share this scale."""
+    return 1 / (1 + (10 * residual / size) ** 2)
 
 
 def _structure(kind: str, parts: list[Unit], node_kids: list[Node], y: float, size: float, **more) -> Unit:
@@ -239,7 +236,7 @@ class Region:
         expected = max((theta + SIGMA["x_height"] * size / 4, 1.25 * theta), key=lambda c: -abs(c + max(0.0, (surd.top - surd.low) - theta - (inner.h + inner.d + c)) / 2 - clear))
         want = expected + max(0.0, (surd.top - surd.low - theta) - (inner.h + inner.d + expected)) / 2
         res = clear - want
-        u = _structure("Radical", body + index + [surd], kids, inner.y, size, rules=[r, *bars], confidence=0.999 if abs(res) <= max(0.05, 0.01 * size) else max(0.7, 0.97 - abs(res) / (2 * size)), rule="radical", residual=res)
+        u = _structure("Radical", body + index + [surd], kids, inner.y, size, rules=[r, *bars], confidence=trust(res, size), rule="radical", residual=res)
         return [x for x in units if id(x) not in gone] + [u], [q for q in rules if q not in bars]
 
     def fraction(self, units, rules, r, up, up_bars, down, down_bars):
@@ -264,8 +261,7 @@ class Region:
         if res > 0.1 * small and self.lies_over(r, down):
             return self.line(units, rules, r, down, down_bars, True)
         size = min((s for s in (self.text_size, 0.7 * self.text_size, 0.5 * self.text_size)), key=lambda s: abs(s - size))
-        conf = 0.999 if res <= max(0.05, 0.01 * size) else max(0.6, 0.95 - min(0.35, res / (4 * size)))
-        u = _structure("Fraction", up + down, [num.node, den.node], base, size, rules=[r, *up_bars, *down_bars], thickness=r.y1 - r.y0, confidence=conf, rule="fraction", residual=res, atom="Inner")
+        u = _structure("Fraction", up + down, [num.node, den.node], base, size, rules=[r, *up_bars, *down_bars], thickness=r.y1 - r.y0, confidence=trust(res, size), rule="fraction", residual=res, atom="Inner")
         u.x0, u.x1 = u.x0 - 1.2, u.x1 + 1.2
         return [x for x in units if id(x) not in gone] + [u], [q for q in rules if q not in up_bars and q not in down_bars]
 
@@ -273,7 +269,7 @@ class Region:
         gone = set(map(id, body))
         inner = self.parse(body, bars)
         res = (r.y0 - inner.top if over else inner.low - r.y1) - 3 * (r.y1 - r.y0)
-        u = _structure("Overline" if over else "Underline", body, [inner.node], inner.y, inner.size, rules=[r, *bars], confidence=0.995 if abs(res) <= max(0.05, 0.005 * inner.size) else 0.75, rule="line", residual=res)
+        u = _structure("Overline" if over else "Underline", body, [inner.node], inner.y, inner.size, rules=[r, *bars], confidence=trust(res, inner.size), rule="line", residual=res)
         return [x for x in units if id(x) not in gone] + [u], [q for q in rules if q not in bars]
 
     # ------------------------------------------------------------ fences and grids
@@ -395,7 +391,7 @@ class Region:
             if base is None or miss(base) > 0.5 * a.size:
                 continue
             res = a.y - (base.y + base.h - min(base.h, SIGMA["x_height"] * a.size))
-            u = _structure("Accent", [base], [base.node], base.y, base.size, own=[a], accent=ACCENTS[a.slot.name], glyph=a.slot.name, confidence=falling(res, a.size, 0.4), rule="accent", residual=res)
+            u = _structure("Accent", [base], [base.node], base.y, base.size, own=[a], accent=ACCENTS[a.slot.name], glyph=a.slot.name, confidence=trust(res, a.size), rule="accent", residual=res)
             u.x0, u.x1, u.char, u.italic = base.x0, base.x1, base.char, base.italic
             units = [x for x in units if x is not a and x is not base] + [u]
         return units
@@ -435,7 +431,7 @@ class Region:
                         residual = max(residual, abs(x.low - op.top - max(self.p("big_op3", size) - x.d, self.p("big_op1", size))), key=abs)
                     else:
                         residual = max(residual, abs(op.low - x.top - max(self.p("big_op4", size) - x.h, self.p("big_op2", size))), key=abs)
-            u = _structure("UnderOver", parts, kids, op.y, size, has_under="under" in found, has_over="over" in found, confidence=falling(residual, size), rule="limits", residual=residual, atom="Op")
+            u = _structure("UnderOver", parts, kids, op.y, size, has_under="under" in found, has_over="over" in found, confidence=trust(residual, size), rule="limits", residual=residual, atom="Op")
             gone = set(map(id, parts))
             units = [x for x in units if id(x) not in gone] + [u]
         return units
@@ -509,7 +505,7 @@ class Region:
             res = (b.y - sub.y) - max(v0, SIGMA["sub1"] * size, sub.h - 0.8 * SIGMA["x_height"] * size)
         kind = "SubSup" if sup and sub else "Superscript" if sup else "Subscript"
         kids = [b.node, *([sub.node] if sub else []), *([sup.node] if sup else [])]
-        x = _structure(kind, [b, *up, *down], kids, b.y, b.size, confidence=script_confidence(res, size), rule="scripts", residual=res, atom=b.node.atom)
+        x = _structure(kind, [b, *up, *down], kids, b.y, b.size, confidence=trust(res, size), rule="scripts", residual=res, atom=b.node.atom)
         x.x1 += 0.5
         return x
 

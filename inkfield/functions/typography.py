@@ -207,13 +207,11 @@ def both_shifts(size, up: Column, down: Column, sup_depth, sub_height) -> tuple[
     return up + move, v2 - move
 
 
-def script_confidence(residual: Column, size) -> Column:
-    a, tol = F.abs(residual), F.greatest(F.lit(0.02), F.lit(0.002) * _c(size))
-    return (
-        F.when(a <= tol, 0.999)
-        .when(a <= 10 * tol, F.lit(0.99) - F.lit(0.2) * (a - tol) / (9 * tol))
-        .otherwise(F.greatest(F.lit(0.2), F.lit(0.75) - a / _c(size)))
-    )
+def trust(residual: Column, size) -> Column:
+    """What a decision is worth whose place misses the rule's by a residual: 1 where it fits, a half where it is off by
+    a tenth of the size, falling with the square beyond. All rules share this scale."""
+    off = F.lit(10.0) * residual / _c(size)
+    return F.lit(1.0) / (F.lit(1.0) + off * off)
 
 
 def fraction_residual(num_shift, den_shift, size, display: bool) -> Column:
@@ -221,16 +219,6 @@ def fraction_residual(num_shift, den_shift, size, display: bool) -> Column:
     return F.greatest(F.abs(_c(num_shift) - param(n, size)), F.abs(_c(den_shift) - param(d, size)))
 
 
-def fraction_confidence(residual: Column, size, consistent: Column) -> Column:
-    size = _c(size)
-    exact = F.greatest(F.lit(0.05), F.lit(0.01) * size)
-    return (
-        F.when((residual <= exact) & consistent, 0.999)
-        .when(consistent, F.greatest(F.lit(0.6), F.lit(0.95) - F.least(F.lit(0.35), residual / (4 * size))))
-        .otherwise(F.greatest(F.lit(0.3), F.lit(0.8) - F.least(F.lit(0.5), residual / (2 * size))))
-    )
-
-
 def radical_clearance(size, height, depth, surd_depth, display: bool) -> Column:
     """Space between radicand and bar, after the surd's excess is shared."""
     theta = param("rule", size)
@@ -249,11 +237,6 @@ def accent_baseline(base, height, size) -> Column:
     return _c(base) + _c(height) - F.least(_c(height), param("x_height", size))
 
 
-def near_confidence(residual: Column, size, exact: float, floor: float, top: float) -> Column:
-    """The common shape of limits and accents: exact, else falling with the residual in sizes."""
-    return F.when(F.abs(residual) <= baseline_tolerance(size), exact).otherwise(F.greatest(F.lit(floor), F.lit(top) - F.abs(residual) / _c(size)))
-
-
 def bar_kind(thickness, size, above: Column, below: Column) -> Column:
     """What a rule is from what stands above and below it."""
     return (

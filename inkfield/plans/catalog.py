@@ -484,26 +484,24 @@ def _(spark, d):
     "k7_script_residual",
     """WITH s AS (SELECT o_orderkey, o_custkey, 3.6e0 + (o_orderkey % 100) / 1000e0 AS shift, (o_custkey % 40) / 10e0 AS depth FROM orders),
         r AS (SELECT *, shift - greatest(0e0, 0.412892e0 * 10e0, depth + 0.430555e0 * 10e0 / 4) AS residual FROM s)
-        SELECT o_orderkey, residual, CASE WHEN abs(residual) <= greatest(0.02e0, 0.002e0 * 10e0) THEN 0.999e0
-        WHEN abs(residual) <= 10 * greatest(0.02e0, 0.002e0 * 10e0) THEN 0.99e0 - 0.2e0 * (abs(residual) - greatest(0.02e0, 0.002e0 * 10e0)) / (9 * greatest(0.02e0, 0.002e0 * 10e0))
-        ELSE greatest(0.2e0, 0.75e0 - abs(residual) / 10e0) END AS confidence FROM r""",
+        SELECT o_orderkey, residual, 1e0 / (1e0 + (10e0 * residual / 10e0) * (10e0 * residual / 10e0)) AS confidence FROM r""",
 )
 def _(spark, d):
     o = views.table(spark, d, "orders").select("o_orderkey", (F.lit(3.6) + F.col("o_orderkey") % 100 / 1000.0).alias("shift"), (F.col("o_custkey") % 40 / 10.0).alias("depth"))
     r = o.withColumn("residual", F.col("shift") - ty.sup_shift(F.lit(10.0), "depth"))
-    return r.select("o_orderkey", "residual", ty.script_confidence(F.col("residual"), F.lit(10.0)).alias("confidence"))
+    return r.select("o_orderkey", "residual", ty.trust(F.col("residual"), F.lit(10.0)).alias("confidence"))
 
 
 @query(
     "k2_fraction_residual",
     """WITH s AS (SELECT o_orderkey, 6.7e0 + (o_orderkey % 50) / 100e0 AS n, 6.8e0 + (o_custkey % 50) / 100e0 AS d FROM orders),
         r AS (SELECT *, greatest(abs(n - 0.676508e0 * 10e0), abs(d - 0.685951e0 * 10e0)) AS disp, greatest(abs(n - 0.393732e0 * 10e0), abs(d - 0.344841e0 * 10e0)) AS txt FROM s)
-        SELECT o_orderkey, disp, txt, CASE WHEN least(disp, txt) <= greatest(0.05e0, 0.01e0 * 10e0) THEN 0.999e0 ELSE greatest(0.6e0, 0.95e0 - least(0.35e0, least(disp, txt) / (4 * 10e0))) END AS confidence FROM r""",
+        SELECT o_orderkey, disp, txt, 1e0 / (1e0 + (10e0 * least(disp, txt) / 10e0) * (10e0 * least(disp, txt) / 10e0)) AS confidence FROM r""",
 )
 def _(spark, d):
     o = views.table(spark, d, "orders").select("o_orderkey", (F.lit(6.7) + F.col("o_orderkey") % 50 / 100.0).alias("n"), (F.lit(6.8) + F.col("o_custkey") % 50 / 100.0).alias("d"))
     r = o.withColumns({"disp": ty.fraction_residual("n", "d", F.lit(10.0), True), "txt": ty.fraction_residual("n", "d", F.lit(10.0), False)})
-    return r.select("o_orderkey", "disp", "txt", ty.fraction_confidence(F.least("disp", "txt"), F.lit(10.0), F.lit(True)).alias("confidence"))
+    return r.select("o_orderkey", "disp", "txt", ty.trust(F.least("disp", "txt"), F.lit(10.0)).alias("confidence"))
 
 
 @query(
