@@ -55,19 +55,52 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as keep it apart from df's columns (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct: beside it, no name can clash. `row.*` gives them back."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row")
+
+
 def sieve(rows: DataFrame, key: Column, wanted: DataFrame, bits: int = 22) -> DataFrame:
     """Rows that may have a key among those wanted (one column), without moving any: a bitmap of 2 ** bits hashes in
     words of 64, at most 2 ** (bits - 6) rows however many keys there are. It lets some others pass, the more the
     fuller it is, and never drops a wanted one; an exact join of what passes follows."""
+    at, word, mask = fresh(rows, "at", "word", "mask")
 
     def place(k: Column) -> Column:
         return F.shiftrightunsigned(F.xxhash64(k), 64 - bits)
 
-    at = place(F.col(wanted.columns[0]))
-    one = F.expr("shiftleft(1L, cast(__at % 64 as int))")
-    words = wanted.select(at.alias("__at")).groupBy(F.floor(F.col("__at") / 64).alias("__word")).agg(F.bit_or(one).alias("__bits"))
-    marked = rows.withColumn("__at", place(key)).withColumn("__word", F.floor(F.col("__at") / 64))
-    return marked.join(F.broadcast(words), "__word").filter(F.col("__bits").bitwiseAND(one) != 0).select(*rows.columns)
+    one = F.expr(f"shiftleft(1L, cast({at} % 64 as int))")
+    words = wanted.select(place(F.col(wanted.columns[0])).alias(at)).groupBy(F.floor(F.col(at) / 64).alias(word)).agg(F.bit_or(one).alias(mask))
+    marked = rows.withColumn(at, place(key)).withColumn(word, F.floor(F.col(at) / 64))
+    return marked.join(F.broadcast(words), word).filter(F.col(mask).bitwiseAND(one) != 0).select(*map(quoted, rows.columns))
+
+
+#: Groups that hold at least one row in so many are joined by broadcast: there are never more of them.
+HOT_SHARE = 256
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """rows joined with groups on keys, one group for each key, `count` its number of rows of `total`. A group of
+    more than a 256th of all rows is sent to the rows instead of its rows to one task: at most 256 such groups exist."""
+    hot = F.broadcast(groups.filter(F.col(count) * HOT_SHARE >= total))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(groups.filter(F.col(count) * HOT_SHARE < total), keys)
+    return rows.join(hot, keys).unionByName(rest)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
