@@ -13,6 +13,7 @@ from inkfield.llm.common import mix, text_slices
 
 #: Texts of more bytes are scored like all others, but are not used to fit a classifier.
 TRAIN_TEXT_BYTES = 1 << 15
+MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 
 
 def gram(hashes: list[np.ndarray], salt: int) -> np.ndarray:
@@ -33,32 +34,40 @@ def word_grams(h: np.ndarray, row: np.ndarray, offsets: tuple[int, ...], salt: i
     return g[same], row[:n][same]
 
 
-def byte_grams(data: np.ndarray, off: np.ndarray, n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of the n-grams of bytes of each row, n up to 8."""
-    m = len(data) - n + 1
-    if m <= 0:
+def char_grams(data: np.ndarray, off: np.ndarray, n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of the n-grams of characters (code points) of each row. data: UTF-8."""
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    if len(start) < n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    h = np.zeros(m, np.uint64)
+    # a code point's own bytes, packed: no two of them look alike
+    size = np.diff(np.append(start, len(data)))
+    point = np.zeros(len(start), np.uint64)
+    for k in range(4):
+        at = np.minimum(start + k, len(data) - 1)
+        point |= np.where(size > k, data[at], 0).astype(np.uint64) << np.uint64(8 * k)
+    row = np.searchsorted(off, start, "right") - 1
+    h = np.full(len(start) - n + 1, salt * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
     for k in range(n):
-        h = (h << np.uint64(8)) | data[k : k + m]
-    same = row[:m] == row[n - 1 :]
-    return mix(h[same] ^ np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))), row[:m][same]
+        h = (h ^ point[k : k + len(h)]) * MULTIPLIER
+        h ^= h >> np.uint64(29)
+    same = row[: len(h)] == row[n - 1 :]
+    return mix(h[same]), row[: len(h)][same]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, where: Column | None = None) -> DataFrame:
-    """text and label of at most `rows` documents: the first by a hash of doc_id among those labelled with one
-    value. Only this many ids are broadcast; no text is shuffled."""
-    ids = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label"))
+    """id, label and text of at most `rows` documents: the first by a hash of doc_id (as text, of whatever type) among
+    those labelled with one value; of rows that repeat a doc_id the least text. Only this many ids are broadcast, and
+    only texts of the sample move."""
+    ids = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").cast("string").alias("id"), F.col(label).cast("int").alias("label"))
     if where is not None:
         ids = ids.filter(where)
-    ids = ids.orderBy(F.xxhash64("id"), "id", "label").limit(rows)
     ids = ids.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
-    short = docs.filter(F.octet_length("text") <= TRAIN_TEXT_BYTES).select(F.col("doc_id").cast("long").alias("id"), "text")
-    return short.join(F.broadcast(ids), "id")
+    ids = ids.orderBy(F.xxhash64("id"), "id").limit(rows)
+    short = docs.filter(F.octet_length("text") <= TRAIN_TEXT_BYTES).select(F.col("doc_id").cast("string").alias("id"), "text")
+    return short.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
 
-def collect_features(sample: DataFrame, features: Callable, rows: int) -> list[tuple]:
+def collect_features(sample: DataFrame, features: Callable) -> list[tuple]:
     """(id, label, buckets, values) of the sample's rows in order of id; features: slice of texts to (row, bucket, value)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,6 +83,6 @@ def collect_features(sample: DataFrame, features: Callable, rows: int) -> list[t
                 names=["id", "label", "bucket", "value"],
             )
 
-    got = sample.select("id", "label", "text").mapInArrow(task, "id long, label int, bucket binary, value binary").limit(2 * rows).toArrow()
+    got = sample.select("id", "label", "text").mapInArrow(task, "id string, label int, bucket binary, value binary").toArrow()
     out = [(r["id"], r["label"], np.frombuffer(r["bucket"], "<u4"), np.frombuffer(r["value"], "<f4")) for r in got.to_pylist()]
-    return sorted(out, key=lambda r: (r[0], len(r[2]), r[2].tobytes()))
+    return sorted(out, key=lambda r: r[0])

@@ -1,6 +1,6 @@
 """Quality rules: fixed base rules, then a calibrated logistic regression over hashed n-grams.
 
-The regression sees hashed word unigrams and bigrams and hashed byte n-grams, each group as shares of its
+The regression sees hashed word unigrams and bigrams and hashed n-grams of 2 and 4 characters (code points), each group as shares of its
 own total, so that length has no influence. It is fitted on a bounded sample of labelled rows, its
 probability is calibrated on a part of the sample that was held out, and documents are scored in Arrow
 slices against a fixed threshold. Scoring needs no shuffle.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from inkfield.llm.common import IS_SPACE, buffers, give_back_memory, mix, prefix_hash, segment_sum, small_batches, span_hash, text_slices, word_spans
-from inkfield.llm.ngrams import byte_grams, collect_features, labelled_sample, word_grams
+from inkfield.llm.ngrams import char_grams, collect_features, labelled_sample, word_grams
 
 #: Bound of the sample, share of it that calibrates, and size of the hash space.
 TRAIN_ROWS, CALIBRATE, BITS = 2500, 5, 18
@@ -92,8 +92,8 @@ def _groups(texts: pa.Array):
     h = span_hash(prefix_hash(data), start, stop)
     yield word_grams(h, row, (0,), 1)
     yield word_grams(h, row, (0, 1), 2)
-    yield byte_grams(data, off, 2, 3)
-    yield byte_grams(data, off, 4, 4)
+    yield char_grams(data, off, 2, 3)
+    yield char_grams(data, off, 4, 4)
 
 
 def _buckets(h: np.ndarray) -> np.ndarray:
@@ -168,7 +168,7 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality"):
     small_batches(docs.sparkSession)
-    model = fit(collect_features(labelled_sample(docs, labels, label, TRAIN_ROWS), features, TRAIN_ROWS))
+    model = fit(collect_features(labelled_sample(docs, labels, label, TRAIN_ROWS), features))
     give_back_memory()
     return model
 

@@ -5,7 +5,7 @@ the executors is the few buckets that matter. A feature is present or absent in
 influence. Labels are learned only from documents of the training folds; the sample is bounded. Scoring
 needs no shuffle and reads whole texts.
 
-Null texts score like empty ones: the intercept alone. Labels of one document that disagree are not used.
+doc_id may have any type; its text decides the fold. Null texts score like empty ones: the intercept alone. Labels of one document that disagree are not used.
 Without labels every score is 0. A null doc_id is held out. Repeated rows score alike; empty tables give
 empty tables; other columns are ignored.
 """
@@ -119,7 +119,7 @@ def score(docs: DataFrame, weights: dict[int, float], doc_id: str = "doc_id", te
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict[int, float]:
     small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, TRAIN_ROWS, ~held_out(F.col("id")))
-    weights = fit(collect_features(sample, features, TRAIN_ROWS))
+    weights = fit(collect_features(sample, features))
     give_back_memory()
     return weights
 
