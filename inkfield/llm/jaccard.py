@@ -7,20 +7,25 @@ independent hash permutations, and each is used with l = a quarter of its prefix
 
 1. Order A generates candidates: an inverted index over the A-regions, streamed in sorted runs. A run
    names its first set as leader and pairs the others with it.
-2. Order B drops pairs whose B-regions share fewer than l tokens, from 16-bit fingerprints (with their
-   multiplicity, so no true pair is lost).
-3. What is left is verified on whole sets: first under order C, then by the full intersection.
+2. Orders B and C drop pairs whose B-regions or C-regions share fewer than l tokens, from 16-bit fingerprints (with
+   their multiplicity, so no true pair is lost). The filters are intersected before any set is fetched.
+3. What is left is verified on whole sets: a bound from fingerprints of all tokens first, then the full intersection.
 
 Verified links make components. A second round tests what the leaders left open: pairs of one run that are
 still in different components. Tokens in more than HOT sets are not paired at all: sets that share no rarer token share l
 hot ones, so a prefix filter over their hot tokens, rarest first, connects them to families. A family is compared in
-blocks of bounded size by matrix products, first with some of its sets in every block, which leaves few sets
-outside its largest component, and then these with all. Nothing is capped: every pair that could link is tested
-or already connected. Equal sets are one node (copies cost nothing); sets are named by 64-bit hashes.
+blocks of bounded size, first with some of its sets in every block, round by round while that halves the sets outside
+its largest component, and then these with all. In a block, too, a pair must pass orders B and C before its sets are
+intersected. Nothing is capped: every pair that could link is tested or already connected. The blocks of a family grow
+with the product of its size and the number of its sets outside its largest component.
+
+A token that one task sees in more than HOT sets is dealt over SALTS groups by set; each group has a leader, and few of
+its sets meet the leader of the whole token, so no task gets a third of all rows. Equal sets are one node (copies cost
+nothing). Sets are named by 64-bit hashes; a second name proves that none stands for two sets, else others are drawn.
 
 Null and empty texts have an empty set and are linked with nothing, not even with each other. A null doc_id
-never names a component that has another member. Repeated rows are equal sets. Empty tables give empty
-tables; other columns are ignored. Memory follows one text, or one block.
+never names a component that has another member. Repeated rows are equal sets. doc_id may have any type with an order.
+Empty tables give empty tables; other columns are ignored. Memory follows one text, one block, or INDEX_ROWS tokens.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import LOWER, buffers, materialise, mix, prefix_hash, sieve, small_batches, span_hash, text_slices, word_spans
+from inkfield.llm.common import LOWER, buffers, join_counted, materialise, mix, prefix_hash, quoted, sieve, small_batches, span_hash, text_slices, whole_row, word_spans
 from inkfield.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -42,6 +47,10 @@ HOT, BLOCK = 64, 256
 LEADERS = 8
 #: Sets that a task remembers, so that copies in one partition are indexed once.
 SEEN = 200_000
+#: Tokens that a task holds to find those in many of its sets, and the groups that such a token is dealt over.
+INDEX_ROWS, SALTS = 1 << 20, 64
+#: Seed of the name that proves the others.
+PROOF = 1 << 40
 ORDER_B, ORDER_C = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4C2B2AE35)
 
 
@@ -88,9 +97,12 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def set_name(s: np.ndarray) -> int:
+def set_name(s: np.ndarray, seed: int = 0) -> int:
     """64 bits that name a set, whatever order its tokens came in; 0 for the empty one."""
-    return int(mix(np.array([mix(s).sum(dtype=np.uint64) ^ np.uint64(len(s))]))[0].view(np.int64)) if len(s) else 0
+    if not len(s):
+        return 0
+    h = mix(s ^ mix(np.array([seed], np.uint64))[0]).sum(dtype=np.uint64)
+    return int(mix(np.array([h ^ np.uint64(len(s))]))[0].view(np.int64))
 
 
 def fingerprints(s: np.ndarray, order: np.uint64, percent: int) -> np.ndarray:
@@ -124,28 +136,48 @@ def _task(of_slice, schema):
     return task
 
 
-def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, sid and the fingerprints under order B of every document."""
+def signatures(docs: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+    """doc_id, key, n, sid, proof and the fingerprints under orders B and C of every document."""
 
     def of_slice(b):
         sets = shingle_sets(b.column("text"), words)
-        return [
-            b.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(map(set_name, sets), pa.int64()),
-            pa.array([fingerprints(s, ORDER_B, percent).tobytes() for s in sets], pa.binary()),
-        ]
+        prints = [pa.array([fingerprints(s, o, percent).tobytes() for s in sets], pa.binary()) for o in (ORDER_B, ORDER_C)]
+        names = [pa.array([set_name(s, x) for s in sets], pa.int64()) for x in (seed, PROOF)]
+        return [b.column("doc_id"), b.column("key"), pa.array(map(len, sets), pa.int64()), *names, *prints]
 
-    return docs.mapInArrow(_task(of_slice, ["doc_id", "n", "sid", "fp"]), "doc_id long, n long, sid long, fp binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(_task(of_slice, ["doc_id", "key", "n", "sid", "proof", "fb", "fc"]), f"doc_id {kind}, key binary, n long, sid long, proof long, fb binary, fc binary")
 
 
-def index_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """token, sid for each token of each set's A-region; order A is that of the hashes themselves."""
+def index_rows(docs: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+    """token, salt, sid, again for each token of each set's A-region; order A is that of the hashes themselves. Salt is 0,
+    but for tokens in more than HOT sets of what a task holds; of each of their groups one row comes again with salt 0."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        tokens, names, held = [], [], 0
+
+        def out():
+            t, s = np.concatenate(tokens), np.concatenate(names)
+            order = np.lexsort((s, t))
+            t, s = t[order], s[order]
+            new = np.ones(len(t), bool)
+            new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
+            t, s = t[new], s[new]
+            head = np.ones(len(t), bool)
+            head[1:] = t[1:] != t[:-1]
+            many = np.diff(np.append(np.flatnonzero(head), len(t)))[np.cumsum(head) - 1] > HOT
+            salt = np.where(many, 1 + (mix(s.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32), 0).astype(np.int32)
+            hot = np.flatnonzero(many)
+            _, first = np.unique(np.stack([t[hot].view(np.int64), salt[hot].astype(np.int64)]), axis=1, return_index=True)
+            more = hot[first]
+            again = np.concatenate([np.zeros(len(t), bool), np.ones(len(more), bool)])
+            cols = (np.append(t, t[more]).view(np.int64), np.append(salt, np.zeros(len(more), np.int32)), np.append(s, s[more]), again)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "salt", "sid", "again"])
+
         for b in text_slices(batches, "text"):
-            tokens, names = [], []
             for s in shingle_sets(b.column("text"), words):
-                name = set_name(s)
+                name = set_name(s, seed)
                 if name and name not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
@@ -153,19 +185,23 @@ def index_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     r = region(len(s), percent)
                     tokens.append(s[:r])
                     names.append(np.full(r, name, np.int64))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(names))], names=["token", "sid"])
+                    held += r
+                    if held >= INDEX_ROWS:
+                        yield out()
+                        tokens, names, held = [], [], 0
+        if held:
+            yield out()
 
-    return docs.select("text").mapInArrow(task, "token long, sid long")
+    return docs.select("text").mapInArrow(task, "token long, salt int, sid long, again boolean")
 
 
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
+def full_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
     """sid, tokens (8 bytes each, ascending) and prints (16 bits of each token, ascending) of documents."""
 
     def of_slice(b):
         sets = shingle_sets(b.column("text"), words)
         prints = [np.sort((mix(s ^ ORDER_C) & np.uint64(0xFFFF)).astype("<u2")) for s in sets]
-        return [pa.array(map(set_name, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([x.tobytes() for x in prints], pa.binary())]
+        return [pa.array([set_name(s, seed) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([x.tobytes() for x in prints], pa.binary())]
 
     return docs.select("text").mapInArrow(_task(of_slice, ["sid", "tokens", "prints"]), "sid long, tokens binary, prints binary")
 
@@ -174,57 +210,55 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def shared_rows(index: DataFrame) -> DataFrame:
-    """token, sid, leader for the tokens of two sets or more; leader is the least sid of the token.
+    """token, sid, leader, again for the tokens of two sets or more; leader is the least sid of the token and salt.
     Reads sorted rows as a stream: what is kept between batches is one token and two names."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = first = last = None
-        open_ = False  # the first row of the current token has been given out
+        last: tuple | None = None  # token, salt, sid and again of the row before, which may be alone so far
+        lead, open_ = 0, False  # its leader; whether it has been given out
         for b in batches:
-            t, s = np.asarray(b.column("token")), np.asarray(b.column("sid"))
-            if not len(t):
+            cols = [np.asarray(b.column(c)) if c != "again" else b.column(c).to_numpy(zero_copy_only=False) for c in ("token", "salt", "sid", "again")]
+            if not len(cols[0]):
                 continue
-            # put what is known of the current token in front: its first row, or a stand-in for it
-            if token is not None:
-                t, s = np.concatenate([[token], t]), np.concatenate([[last], s])
-                lead = first
-            else:
-                lead = s[0]
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-            t, s = t[new], s[new]
+            if last is not None:
+                cols = [np.concatenate([np.array([x], c.dtype), c]) for x, c in zip(last, cols)]
+            t, salt, s, again = cols
             head = np.ones(len(t), bool)
-            head[1:] = t[1:] != t[:-1]
+            head[1:] = (t[1:] != t[:-1]) | (salt[1:] != salt[:-1])
+            new = head.copy()
+            new[1:] |= s[1:] != s[:-1]
+            t, salt, s, again, head = t[new], salt[new], s[new], again[new], head[new]
             at = np.flatnonzero(head)
             run = np.cumsum(head) - 1
             leader = s[at][run]
-            leader[run == 0] = lead
+            if last is not None:
+                leader[run == 0] = lead
             many = np.diff(np.append(at, len(t))) > 1
-            give = many[run]
-            if open_:
-                give[0] = False  # a stand-in that was given out before
+            give = many[run] | (salt > 0)
+            if last is not None and open_:
+                give[0] = False  # given out before
                 give[1:] |= (run == 0)[1:]
-            n_last = len(t) - at[-1]
-            open_ = bool(n_last > 1 or (len(at) == 1 and open_))
-            token, first, last = int(t[-1]), int(leader[-1]), int(s[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(t[give]), pa.array(s[give]), pa.array(leader[give])], names=["token", "sid", "leader"])
+            open_ = bool(give[-1]) or bool(len(t) == 1 and last is not None and open_)
+            last, lead = (t[-1], salt[-1], s[-1], again[-1]), leader[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(t[give]), pa.array(s[give]), pa.array(leader[give]), pa.array(again[give])], names=["token", "sid", "leader", "again"])
 
-    return index.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(task, "token long, sid long, leader long")
+    return index.repartition("token", "salt").sortWithinPartitions("token", "salt", "sid", "again").mapInArrow(task, "token long, sid long, leader long, again boolean")
 
 
-def by_order_b(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and B-regions allow a link. sets: sid, n, fp."""
+def by_orders(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes, B-regions and C-regions all allow a link. sets: sid, n, fb, fc."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [
-                common(np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")) >= share(min(n, m), percent)
-                for x, y, n, m in zip(b.column("fa").to_pylist(), b.column("fb").to_pylist(), b.column("na").to_pylist(), b.column("nb").to_pylist())
-            ]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fa"))
-    right = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fb"))
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            least = [share(min(n, m), percent) for n, m in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist())]
+            for order in ("b", "c"):
+                x, y = batch.column(f"f{order}_a"), batch.column(f"f{order}_b")
+                for k in np.flatnonzero(keep).tolist():
+                    keep[k] = common(np.frombuffer(x[k].as_buffer(), "<u2"), np.frombuffer(y[k].as_buffer(), "<u2")) >= least[k]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = (sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("fb").alias(f"fb_{x}"), F.col("fc").alias(f"fc_{x}")) for x in ("a", "b"))
     sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     return pairs.join(right, "b").join(left, "a").filter(sized).mapInArrow(task, "a long, b long")
 
@@ -237,14 +271,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         both = common(x, y)
         return 100 * both >= percent * (len(x) + len(y) - both)
 
-    def by(column: str, kind, order_c: bool):
+    def by(kind):
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                keep = []
-                for x, y in zip(b.column("ta"), b.column("tb")):
-                    x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
-                    ok = not order_c or common(fingerprints(x, ORDER_C, percent), fingerprints(y, ORDER_C, percent)) >= share(min(len(x), len(y)), percent)
-                    keep.append(ok and linked(x, y))
+                keep = [linked(np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)) for x, y in zip(b.column("ta"), b.column("tb"))]
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return task
@@ -252,7 +282,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     for column, kind in (("prints", np.uint16), ("tokens", np.uint64)):
         left = sets.select(F.col("sid").alias("a"), F.col(column).alias("ta"))
         right = sets.select(F.col("sid").alias("b"), F.col(column).alias("tb"))
-        pairs = pairs.join(right, "b").join(left, "a").mapInArrow(by(column, kind, column == "tokens"), "a long, b long")
+        pairs = pairs.join(right, "b").join(left, "a").mapInArrow(by(kind), "a long, b long")
         pairs = materialise(pairs, "bounded") if column == "prints" else pairs
     return pairs
 
@@ -284,12 +314,12 @@ def open_pairs(rows: DataFrame, group: DataFrame, sets: DataFrame, hot: DataFram
     return counted.filter("m >= need").select("a", "b")
 
 
-def hot_rows(rows: DataFrame, lengths: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def hot_rows(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """token, sid, length: for sets that can link by hot tokens alone, the rarest of these, as many as a prefix
-    filter needs."""
+    filter needs. rows: token, sid, length of hot tokens."""
     from pyspark.sql import Window
 
-    hot = rows.join(lengths.filter(F.col("length") > HOT), "token").join(sets.select("sid", "n"), "sid")
+    hot = rows.join(sets.select("sid", "n"), "sid")
     # the least l of any set that may link with one of n tokens
     least = shared_least(F.ceil(F.col("n") * percent / 100), percent)
     w = Window.partitionBy("sid")  # a set's own tokens: bounded by its region
@@ -300,29 +330,42 @@ def hot_rows(rows: DataFrame, lengths: DataFrame, sets: DataFrame, percent: int)
 
 def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the left and right members of each block, as many as join what is still apart there.
-    members: block, sid, c (its component so far), left, right; a block has a bounded number of rows. The
-    intersections of all its pairs come from one product of incidence matrices."""
+    members: block, sid, c (its component so far), left, right; a block has a bounded number of rows. Sizes and
+    orders B and C say which pairs may link; shared tokens of all pairs come from products of incidence matrices."""
 
-    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
-        sid = [r[1] for r in rows]
-        tokens = [np.frombuffer(r[5], np.uint64) for r in rows]
-        size = np.array([len(t) for t in tokens])
-        left, right = np.flatnonzero([r[3] for r in rows]), np.flatnonzero([r[4] for r in rows])
-        if not len(left) or not len(right):
-            return []
+    def counts(tokens: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Size of the intersection of each left with each right member."""
+        both = np.zeros((len(left), len(right)), np.float32)
         every, where, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(rows)), size)
+        owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
         place = np.cumsum(times > 1) - 1  # only tokens of two sets or more count
         shared = times[where] > 1
         owner, column = owner[shared], place[where[shared]]
-        both = np.zeros((len(left), len(right)), np.float32)
         for k in range(0, int((times > 1).sum()), 4096):
             part = (column >= k) & (column < k + 4096)
-            m = np.zeros((len(rows), 4096), np.float32)
+            m = np.zeros((len(tokens), 4096), np.float32)
             m[owner[part], column[part] - k] = 1
             both += m[left] @ m[right].T
-        union = size[left][:, None] + size[right][None, :] - both
-        x, y = np.nonzero(100 * both >= percent * union)
+        return both
+
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
+        sid, group = [r[1] for r in rows], np.array([r[2] for r in rows])
+        tokens = [np.frombuffer(r[5], np.uint64) for r in rows]
+        size = np.array([len(t) for t in tokens])
+        left, right = np.flatnonzero([r[3] for r in rows]), np.flatnonzero([r[4] for r in rows])
+        if not len(left) or not len(right):
+            return []
+        small, large = np.minimum(size[left][:, None], size[right][None, :]), np.maximum(size[left][:, None], size[right][None, :])
+        able = (100 * small >= percent * large) & (group[left][:, None] != group[right][None, :])
+        least = np.array([share(n, percent) for n in range(int(size.max()) + 1)])[small]
+        for order in (ORDER_B, ORDER_C):
+            if not able.any():
+                return []
+            able &= counts([t[np.argpartition(mix(t ^ order), region(len(t), percent) - 1)[: region(len(t), percent)]] for t in tokens], left, right) >= least
+        if not able.any():
+            return []
+        both = counts(tokens, left, right)
+        x, y = np.nonzero(able & (100 * both >= percent * (small + large - both)))
         root: dict = {}
 
         def find(k):
@@ -376,13 +419,16 @@ def in_components(members: DataFrame, group: DataFrame) -> DataFrame:
     return d.join(most, "family").select("family", "sid", "c", "m", (F.col("m") - F.col("top.m")).alias("minor_m"), (F.col("c") != F.col("top.c")).alias("minor"))
 
 
-def first_blocks(d: DataFrame) -> DataFrame:
-    """A family in blocks by a hash; its LEADERS first sets by another hash stand in every block and so connect them."""
+def first_blocks(d: DataFrame, turn: int = 0) -> DataFrame:
+    """A family in blocks by a hash; its LEADERS first sets by another hash stand in every block and so connect them.
+    In later turns only sets outside the largest component lead and fill the blocks."""
+    if turn:
+        d = d.filter("minor").withColumn("m", F.col("minor_m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    order = F.xxhash64(F.lit(1), "sid")
+    order = F.xxhash64(F.lit(1 + 10 * turn), "sid")
     leader = d.groupBy("family").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(order, F.greatest(F.col("m") / LEADERS, F.lit(1)).cast("long")) == 0, F.struct(order.alias("o"), F.col("sid"), F.col("c"))))), 1, LEADERS).alias("x"), F.first(blocks).alias("n"))
     many = leader.withColumn("l", F.explode("x")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("family", F.col("l.sid").alias("sid"), F.col("l.c").alias("c"), "k")
-    own = d.select("family", "sid", "c", F.pmod(F.xxhash64(F.lit(2), "sid"), blocks).cast("int").alias("k"))
+    own = d.select("family", "sid", "c", F.pmod(F.xxhash64(F.lit(2 + 10 * turn), "sid"), blocks).cast("int").alias("k"))
     both = own.unionByName(many).distinct()
     return both.select(F.xxhash64("family", "k").alias("block"), "sid", "c", F.lit(True).alias("left"), F.lit(True).alias("right"))
 
@@ -397,45 +443,70 @@ def last_blocks(d: DataFrame) -> DataFrame:
     return left.unionByName(right).select(F.xxhash64("family", "i", "j").alias("block"), "sid", "c", "left", "right")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document: the smallest doc_id that links reach."""
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    documents = materialise(signatures(docs, words, percent), "signatures")
-    classes = documents.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"))
-    shared = materialise(shared_rows(index_rows(docs, words, percent)), "shared")
+def named(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, int]:
+    """The signatures of documents and the seed of their names, under which no name stands for two sets."""
+    seed = 0
+    while True:
+        documents = materialise(signatures(docs, words, percent, seed), "signatures")
+        twice = documents.filter("n > 0").groupBy("sid").agg(F.min("proof").alias("a"), F.max("proof").alias("b"), F.min("n").alias("c"), F.max("n").alias("d"))
+        if twice.filter("a != b or c != d").isEmpty():
+            return documents, seed
+        seed += 1
+
+
+def classes_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(documents, classes): doc_id, key, n, sid of every document; and for each set that isn't empty sid, rep (its least
+    doc_id) and c, which sets that links join have in common. docs: doc_id, key (passed through), text."""
+    documents, seed = named(docs, words, percent)
+    classes = documents.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fb").alias("fb"), F.first("fc").alias("fc"))
+    shared = materialise(shared_rows(index_rows(docs, words, percent, seed)), "shared")
     paired = materialise(shared.select(F.col("leader").alias("a"), F.col("sid").alias("b")).filter("a != b").distinct(), "pairs")
     touched = materialise(shared.select("sid").distinct().join(classes, "sid"), "touched")
-    tried = materialise(by_order_b(paired, touched, percent), "filtered")
+    tried = materialise(by_orders(paired, touched, percent), "filtered")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         # one document of each class brings the text; a null doc_id cannot be looked up, so it is matched null-safely
         sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         ids = materialise(sids.join(touched.select("sid", "rep"), "sid").select("rep"), "reps")
         some = sieve(docs, F.col("doc_id"), ids).join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-        return materialise(full_sets(some, words).dropDuplicates(["sid"]), "sets")
+        return materialise(full_sets(some, words, seed).dropDuplicates(["sid"]), "sets")
 
     links = materialise(verified(tried, sets_of(tried), percent), "links")
     group = materialise(components(links, "a", "b").withColumnRenamed("node", "sid"), "groups")
-    lengths = materialise(shared.groupBy("token").agg(F.count(F.lit(1)).alias("length")).filter("length > 2"), "lengths")
-    in_hot = shared.join(lengths.filter(F.col("length") > HOT).select("token"), "token").groupBy("sid").agg(F.count(F.lit(1)).alias("k"))
-    rest = open_pairs(shared.join(lengths.filter(F.col("length") <= HOT).select("token"), "token"), group, touched, in_hot, percent)
-    tried = materialise(by_order_b(rest, touched, percent), "filtered")
+    once = shared.filter("not again").drop("again")
+    lengths = materialise(once.groupBy("token").agg(F.count(F.lit(1)).alias("length")).filter("length > 2"), "lengths")
+    total = lengths.agg(F.sum("length")).first()[0] or 0
+    hot = materialise(join_counted(once.select("token", "sid"), lengths.filter(F.col("length") > HOT), ["token"], "length", total), "hot-tokens")
+    in_hot = hot.groupBy("sid").agg(F.count(F.lit(1)).alias("k"))
+    rest = open_pairs(once.join(lengths.filter(F.col("length") <= HOT).select("token"), "token"), group, touched, in_hot, percent)
+    tried = materialise(by_orders(rest, touched, percent), "filtered")
     found = links
     if not tried.isEmpty():
         found = found.unionByName(materialise(verified(tried, sets_of(tried), percent), "links"))
         group = materialise(components(found, "a", "b").withColumnRenamed("node", "sid"), "groups")
-    if not lengths.filter(F.col("length") > HOT).isEmpty():
-        family = materialise(families(materialise(hot_rows(shared, lengths, touched, percent), "hot"), touched, percent), "families")
-        sets = None
-        for blocks in (first_blocks, last_blocks):
+    if not hot.isEmpty():
+        family = materialise(families(materialise(hot_rows(hot, touched, percent), "hot"), touched, percent), "families")
+        sets, turn, before = None, 0, None
+        while turn is not None:
             apart = materialise(in_components(family, group), "apart")
-            if apart.isEmpty():
+            outside = apart.agg(F.sum(F.col("minor").cast("long"))).first()[0]
+            if not outside:
                 break
             sets = sets or sets_of(apart.select(F.col("sid").alias("a"), F.col("sid").alias("b")).distinct())
-            found = found.unionByName(materialise(block_links(blocks(apart), sets, percent), "links"))
+            if turn and 2 * outside > before:
+                blocks, turn = last_blocks(apart), None
+            else:
+                blocks, turn, before = first_blocks(apart, turn), turn + 1, outside
+            found = found.unionByName(materialise(block_links(blocks, sets, percent), "links"))
             group = materialise(components(found, "a", "b").withColumnRenamed("node", "sid"), "groups")
-    least = classes.select("sid", "rep").join(group, "sid", "left").withColumn("c", F.coalesce("component", "sid"))
+    return documents, classes.select("sid", "rep").join(group, "sid", "left").select("sid", "rep", F.coalesce("component", "sid").alias("c"))
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: the smallest doc_id that links reach."""
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.lit(None).cast("binary").alias("key"), F.col(quoted(text)).alias("text"))
+    documents, least = classes_of(docs, words, percent)
     names = least.groupBy("c").agg(F.min("rep").alias("component_id"))
     of_class = materialise(least.select("sid", "c").join(names, "c").select("sid", "component_id"), "classes")
     known = documents.filter("n > 0").select("doc_id", "n", "sid").join(of_class, "sid")
@@ -444,8 +515,15 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that name their component: one of each group of near-duplicates stays. Rows repeated in full
-    are one document."""
-    kept = jaccard_components(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__keep"]), "left_semi")
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that name their component: one row of each group of near-duplicates stays, that of the least
+    doc_id (nulls last). Every text without words is a group of its own; rows repeated in full are one document."""
+    small_batches(docs.sparkSession)
+    key = F.unhex(F.sha2(F.coalesce(F.col(quoted(text)), F.lit("")), 256))
+    documents, least = classes_of(docs.select(F.col(quoted(doc_id)).alias("doc_id"), key.alias("key"), F.col(quoted(text)).alias("text")))
+    # in a component, the document of least doc_id; of rows under this doc_id one
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col("key").alias("sha"))
+    top = documents.filter("n > 0").select("doc_id", "key", "sid").join(least.select("sid", "c"), "sid").groupBy("c").agg(F.min(rank).alias("top"))
+    kept = materialise(top.select("top.id", "top.sha").unionByName(documents.filter("n = 0").select(F.col("doc_id").alias("id"), F.col("key").alias("sha"))).distinct(), "kept")
+    marked = docs.select(whole_row(docs), F.col(quoted(doc_id)).alias("doc_id"), key.alias("key"))
+    return marked.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("sha")), "left_semi").dropDuplicates(["doc_id", "key"]).select("row.*")
