@@ -325,22 +325,69 @@ def test_html_page():
     <article><h1>A &amp;  B</h1><p>First <b>bold</b>\n text&nbsp;here, with a <a href=x>link</a>.<p>Second<br>line. &lt;tag&gt;</p><aside>Read also: this.</aside>
     <ul><li>item one, short<li>item two</ul><form><input value=1> Subscribe <button>Go</button></form></article>
     <section id="comments"><h2>Comments</h2><p>Nice article, I liked it a lot, thanks for writing.</p></section><footer>&copy; us</footer></body></html>"""
-    text, n, kept = html_cut.content(page, html_cut.DEFAULT_SHAPE)
+    text, n, kept, _ = html_cut.content(page, html_cut.DEFAULT_SHAPE)
     assert text == "A & B\nFirst bold text here, with a link.\nSecond line. <tag>\nitem one, short\nitem two" and kept < n
     assert html_cut.content(None, html_cut.DEFAULT_SHAPE)[0] == html_cut.content("", html_cut.DEFAULT_SHAPE)[0] == ""
     assert html_cut.content("<p>" * 3000 + "x" + '<a title="' + "y" * 5000, html_cut.DEFAULT_SHAPE)[1] >= 1
 
 
+def labelling_cost(odds, ties, lab):
+    return sum(abs(o) for o, x in zip(odds, lab) if (o > 0) != x) + sum(w for a, b, w in ties if lab[a] != lab[b])
+
+
 def test_min_cut_is_the_cheapest_labelling():
     rng = random.Random(11)
-    for _ in range(150):
+    for _ in range(300):
         n = rng.randint(1, 9)
-        odds = [rng.choice([-3, -2, -1, -0.5, 0.5, 1, 2, 3]) * rng.random() for _ in range(n)]
+        odds = [rng.choice([-3, -2, -1, -0.5, 0, 0.5, 1, 2, 3]) * rng.random() for _ in range(n)]
+        odds += rng.choice([[], [html_cut.SEED], [html_cut.SEED, -html_cut.SEED]])
+        n = len(odds)
         ties = [(rng.randrange(n), rng.randrange(n), rng.random() * 2) for _ in range(rng.randint(0, 2 * n))]
         ties = [t for t in ties if t[0] != t[1]]
-        cost = lambda lab: sum(abs(o) for o, x in zip(odds, lab) if (o > 0) != x) + sum(w for a, b, w in ties if lab[a] != lab[b])
-        best = min(cost([bool(m >> k & 1) for k in range(n)]) for m in range(1 << n))
-        assert abs(cost(html_cut.min_cut(odds, ties)) - best) < 1e-9
+        best = min(labelling_cost(odds, ties, [bool(m >> k & 1) for k in range(n)]) for m in range(1 << n))
+        assert abs(labelling_cost(odds, ties, html_cut.min_cut(odds, ties)) - best) < 1e-6
+
+
+def test_html_pages_have_the_cheapest_labelling():
+    rng = random.Random(13)
+    turned = 0
+
+    def element(depth):
+        tag = rng.choice(["div", "div", "ul", "section", "nav", "article", "div class=content", "div class=ad", "p", "p", "p"])
+        inner = prose(rng, rng.choice([1, 3, 30])) + rng.choice(["", ".", ", so."]) if depth == 0 or tag == "p" else "".join(element(depth - 1) for _ in range(rng.randint(1, 3)))
+        return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+    for _ in range(200):
+        page = "<body>" + "".join(element(2) for _ in range(2)) + "</body>"
+        blocks = html_cut.blocks_of(page)
+        odds, ties = html_cut.network(blocks, html_cut.DEFAULT_SHAPE)
+        if len(odds) > 12 or not blocks:
+            continue
+        fixed = [o > 0 if abs(o) >= html_cut.SEED else None for o in odds]
+        free = [k for k, x in enumerate(fixed) if x is None]
+
+        def labels(m):
+            lab = list(fixed)
+            for k, i in enumerate(free):
+                lab[i] = bool(m >> k & 1)
+            return lab
+
+        best = min(labelling_cost(odds, ties, labels(m)) for m in range(1 << len(free)))
+        lab = html_cut.min_cut(odds, ties)
+        assert abs(labelling_cost(odds, ties, lab) - best) < 1e-6
+        text, n, kept, against = html_cut.content(page, html_cut.DEFAULT_SHAPE)
+        assert text == "\n".join(b.text for b, on in zip(blocks, lab) if on) and n == len(blocks)
+        turned += against
+    assert turned > 50
+
+
+def test_html_is_parsed_in_linear_time():
+    import time
+
+    for page in ("<div>" * 100_000 + "</b>" * 100_000 + "x", "<a " * 200_000, "<b>" * 200_000 + "x", "<p><i>" * 100_000, '<a title="' * 100_000, "<li>x" * 50_000, "<table><tr><td>" * 60_000 + "x"):
+        began = time.process_time()
+        html_cut.content(page, html_cut.DEFAULT_SHAPE)
+        assert time.process_time() - began < 4, page[:20]
 
 
 def test_html_operator(spark):
@@ -378,7 +425,7 @@ def test_packing_is_a_partition_of_every_document(docs, corpus):
 def test_shape_reads_whole_blocks():
     import types
 
-    b = types.SimpleNamespace(text="word " * 400 + "1234 " * 400 + "©", linked=0, size=4001, tag="p")
+    b = types.SimpleNamespace(text="word " * 400 + "1234 " * 400 + "©", linked=0, size=4001)
     got = html_cut.shape(b, 0, 1)
     assert got[5] == min(1.0, 5 * 1600 / 4001) and got[-1]
 
