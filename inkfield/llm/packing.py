@@ -9,9 +9,10 @@ one hard cut (a full window that ends inside a sentence) leads to here, and wind
 power of two need no padding and are looked up one by one.
 
 Partitions are packed on their own, so nothing moves between executors; each adds at most one
-unfilled window. A long document is taken in blocks, and memory follows one block of the stream.
+unfilled window. A program covers whole documents, BLOCK tokens or more, and the next begins at the end of
+a document: no document is cut but at the program's price, however long it is. Memory follows one document or BLOCK.
 Nulls are empty texts: the end token alone. Repeated rows are separate documents. Empty tables give
-empty tables; other columns are ignored.
+empty tables; other columns are ignored, whatever their names. doc_id may have any type.
 """
 
 from __future__ import annotations
@@ -26,20 +27,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from inkfield.llm.common import small_batches, text_slices
+from inkfield.llm.common import quoted, small_batches, text_slices
 
 LENGTH = 1024
 #: Price of a cut in tokens of padding.
 SENTENCE_CUT, HARD_CUT = 1, 12
-#: Tokens that one dynamic program covers; it ends on a document where it can.
+#: Tokens that one dynamic program covers at least, the last of a partition apart; it ends with a document.
 BLOCK = 1 << 17
 #: Pieces of text whose ids are kept between calls.
 CACHE = 400_000
 #: Where a text may be cut: before a space that follows a character other than white space in Unicode's sense.
 CUT = re.compile(r"(?<=\S)(?= )")
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+NUMBERS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -162,8 +164,8 @@ def best_cuts(at: np.ndarray, price: np.ndarray, length: int = LENGTH) -> list[i
     return ends[::-1]
 
 
-def _pack(docs: list[tuple[int | None, np.ndarray, int, int]], ends: np.ndarray, sequence: int, length: int) -> tuple[list[tuple], int]:
-    """docs: (doc_id, ids, start, doc_tokens) in order. Rows of SCHEMA and the next sequence."""
+def _pack(docs: list[tuple], ends: np.ndarray, sequence: int, length: int) -> tuple[list[tuple], int]:
+    """docs: (doc_id, ids) in order. Rows of the result and the next sequence."""
     stream = np.concatenate([d[1] for d in docs])
     total = len(stream)
     stops = np.cumsum([len(d[1]) for d in docs])
@@ -178,8 +180,8 @@ def _pack(docs: list[tuple[int | None, np.ndarray, int, int]], ends: np.ndarray,
         offset = 0
         while begin < stop:
             until = min(stop, int(stops[d]))
-            doc, _, start, tokens = docs[d]
-            rows.append((doc, start + begin - doc_begin, until - begin, zlib.crc32(raw[4 * begin : 4 * until]), tokens, sequence, offset))
+            doc, ids = docs[d]
+            rows.append((doc, begin - doc_begin, until - begin, zlib.crc32(raw[4 * begin : 4 * until]), len(ids), sequence, offset))
             offset += until - begin
             begin = until
             if begin == stops[d]:
@@ -189,9 +191,10 @@ def _pack(docs: list[tuple[int | None, np.ndarray, int, int]], ends: np.ndarray,
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each piece: SCHEMA. path: of the tokenizer's file."""
+    """doc_id and NUMBERS, one row for each piece. path: of the tokenizer's file."""
     small_batches(docs.sparkSession)
-    fields = [(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
+    named = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text"))
+    kind = named.schema["doc_id"].dataType
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -204,22 +207,23 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = 0, doc_
             nonlocal held, n, sequence
             rows, sequence = _pack(held, ends, sequence, length)
             held, n = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[f for f, _ in fields])
+            ids, *numbers = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(ids, id_type), *[pa.array(c, pa.int64()) for c in numbers]], names=["doc_id", *NUMBERS])
 
         last = np.array([end_id], "<u4").tobytes()
+        id_type = None
         for b in text_slices(batches, "text"):
+            id_type = b.column("doc_id").type
             for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 ids = np.frombuffer(ids_of(t or "") + last, "<u4")
-                for start in range(0, len(ids), BLOCK):
-                    part = ids[start : start + BLOCK]
-                    held.append((doc, part, start, len(ids)))
-                    n += len(part)
-                    if n >= BLOCK:
-                        yield out()
+                held.append((doc, ids))
+                n += len(ids)
+                if n >= BLOCK:
+                    yield out()
         if held:
             yield out()
 
-    return docs.selectExpr(f"cast(`{doc_id}` as long) AS doc_id", f"`{text}` AS text").mapInArrow(task, SCHEMA)
+    return named.mapInArrow(task, f"doc_id {kind.simpleString()}, {', '.join(f'{c} long' for c in NUMBERS)}")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:

@@ -125,8 +125,47 @@ def test_jaccard_hot_tokens_and_blocks(spark, monkeypatch):
 def test_one_of_each(docs):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
-    names = {r.component_id for r in jaccard.jaccard_components(docs).collect()}
-    assert {r.doc_id for r in kept.collect()} == names
+    named = jaccard.jaccard_components(docs).collect()
+    rows = collections.Counter(r.doc_id for r in kept.collect())
+    assert set(rows) == {r.component_id for r in named} and set(rows.values()) == {1}
+
+
+def test_one_of_each_of_rows_under_one_name(spark):
+    rng = random.Random(14)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(7, a), (7, a), (7, b), (3, b + " tail"), (None, c), (None, c), (None, c + " tail"), (9, None), (9, ""), (None, ""), (None, "")]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # the texts under 7 are in two groups; a group without names keeps one row; every name with an empty text stays once
+    assert collections.Counter((r.doc_id, (r.text or "")[:60]) for r in kept) in (
+        {(7, a[:60]): 1, (3, b[:60]): 1, (None, c[:60]): 1, (9, ""): 1, (None, ""): 1},
+    )
+
+
+CLASHING = "row int, id int, __id int, sha int, __sha int, n int, __n int, key int, at int, word int, mask int, __at int, __word int, keep_id int, __keep int, tid int, u int, v int, pid int, size int, kept int, `a.b` int"
+
+
+def test_columns_with_any_name_pass_through(spark, corpus):
+    names = len(CLASHING.split(","))
+    df = spark.createDataFrame([(i, t, s, *range(k, k + names)) for k, (i, t, _, s) in enumerate(corpus)], f"doc_id long, text string, source string, {CLASHING}")
+    for run in (exact.exact_dedup, jaccard.one_of_each, mixing.mixed_rows):
+        got = run(df)
+        assert got.columns == df.columns
+        for r in got.collect():
+            first = r[3]
+            assert corpus[first][0] == r.doc_id and corpus[first][1] == r.text and list(r[3:]) == list(range(first, first + names))
+
+
+def test_names_may_be_texts(spark, corpus):
+    df = spark.createDataFrame([(None if i is None else f"d{i:04}", t, s, g) for i, t, g, s in corpus], "doc_id string, text string, source string, lang string")
+    labels = spark.createDataFrame([(f"d{k:04}", k % 2, k % 2) for k in range(20)], "doc_id string, quality int, toxic int")
+    want = sorted(((None if i is None else f"d{i:04}", n, None if c is None else f"d{c:04}") for i, n, c in jaccard_truth(corpus)), key=str)
+    assert sorted(map(tuple, jaccard.jaccard_components(df).collect()), key=str) == want
+    for run in (exact.exact_groups, repeats.remove_repeats, mixing.mix_documents, sharding.shard_documents):
+        assert run(df).count() == len(corpus)
+    assert packing.pack_documents(df).select("doc_id").distinct().count() == len({i for i, *_ in corpus})
+    held = {r.doc_id: r.held_out for r in toxicity.score_documents(df, labels).collect()}
+    assert all(h == (i is None or zlib.crc32(i.encode()) % 3 == 1) for i, h in held.items())
+    assert quality.rules(df, labels).count() == len(corpus)
 
 
 @pytest.mark.parametrize("local", [0, 200_000])
@@ -451,11 +490,29 @@ def test_tokenizer_keeps_runs_of_white_space():
     runs = [s for s in (t.decode([k]) for k in range(t.get_vocab_size())) if s.isspace()]  # all tokens of white space
     assert any("\u00a0 " in s for s in runs)
     texts = [a + s + b for s in runs for a in ("", "x", "é", "\0") for b in ("", "y", "✓", "\0")]
-    texts += ["".join(rng.choice([*" \u00a0\n\t\0\u3000\u2009\x1c\x85", "a", "é", "1", "!", "'s"]) for _ in range(rng.randint(1, 40))) for _ in range(4000)]
+    texts += ["".join(rng.choice([*" \u00a0\n\t\0\u3000\u2009\x1c\x85", "a", "é", "1", "!", "'s"]) for _ in range(rng.randint(1, 40))) for _ in range(50_000)]
     for x in texts * 2:  # a second time from the pieces kept
         assert np.frombuffer(ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+def test_packing_cuts_documents_beyond_a_block_at_the_programs_price(spark, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "BLOCK", 500)
+    rng = random.Random(3)
+    text = " ".join(prose(rng, rng.randint(3, 60)) + "." for _ in range(150))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids_of, ends = packing.tokenizer(path)
+    ids = np.append(np.frombuffer(ids_of(text), "<u4"), 0)
+    price = np.full(len(ids) + 1, -1)
+    price[np.flatnonzero(ends[ids]) + 1] = packing.SENTENCE_CUT
+    price[[0, -1]] = 0
+    at = np.flatnonzero(price >= 0)
+    got = packing.pack(spark.createDataFrame([("a", text, 1)], "doc_id string, text string, length int"), path, 128).orderBy("start").collect()
+    assert len(ids) > 4000 and [r.start + r.length for r in got] == packing.best_cuts(at, price[at], 128)
+    assert {r.doc_id for r in got} == {"a"} and {r.doc_tokens for r in got} == {len(ids)}
+
+
 def test_best_cuts_are_optimal():
     rng = random.Random(12)
     for _ in range(60):
