@@ -103,6 +103,22 @@ def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count: str
     return rows.join(hot, keys).unionByName(rest)
 
 
+def ranks(values: DataFrame, column: str, name: str) -> DataFrame:
+    """The distinct values of a column, nulls last, each with its number from 0 in their order: value (named as before) and
+    `name`. Sorted in ranges, numbered within them, and moved on by what the ranges before hold: no global window."""
+    from pyspark.sql import Window
+
+    part, k, first, n = fresh(values.select(column), "part", "k", "first", "n")
+    order = F.col(quoted(column)).asc_nulls_last()
+    d = values.select(F.col(quoted(column))).distinct().repartitionByRange(order)
+    d = materialise(d.withColumn(part, F.spark_partition_id()), "ranks")
+    d = d.withColumn(k, F.row_number().over(Window.partitionBy(part).orderBy(order)))
+    # one row for each range
+    starts = d.groupBy(part).agg(F.count(F.lit(1)).alias(n))
+    starts = starts.withColumn(first, F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop(n)
+    return d.join(starts, part).select(F.col(quoted(column)), (F.col(k) + F.col(first) - 1).cast("long").alias(name))
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of long texts stay small: a batch is held whole on both sides of the pipe. Workers find this
     package where the driver found it, wherever they are started."""

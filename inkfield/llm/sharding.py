@@ -1,14 +1,17 @@
 """K-d tree sharding [native]: recursive weighted medians along the widest metadata dimension.
 
 Every document has three metadata coordinates (source, language, size), each completed by the hash of
-its text, so that any coordinate puts all texts in one total order. A node is split at the weighted
-median of its widest coordinate (span in the node over span in the table) until leaves reach the target.
-Medians are found by histograms of bounded size, for all nodes of a level at once; the table itself is
-only ever summed. Equal texts share all coordinates, so they stay together, unless they outweigh what a
-balanced split can bear: then a hash of the row divides them at the very share that is missing.
-
-Law: `bytes`. Nulls: no text has size 1; a null source or language sorts first. Repeated rows are separate
-rows. An empty table gives an empty table; other columns are ignored.
+its text, so that any coordinate puts all texts in one total order. The coordinate of a source or language is its
+rank among the distinct values, that of a size its logarithm. A node is split at the weighted median of its widest
+coordinate (span in the node over span in the table) until leaves reach the target. Medians are found by histograms
+of bounded size, for all nodes of a level at once; the table itself is only ever summed.
+
+Equal texts share all coordinates, so they stay together, unless they outweigh DIVIDE of a node, more than a balanced
+split can bear: then a hash of the row divides them at the very share that is missing. Rows repeated in full are counted
+and numbered, so the shards depend on the rows alone, not on how they lie in files.
+
+Law: `bytes`. Nulls: no text has size 1; a null source or language sorts last. Repeated rows are separate
+rows. An empty table gives an empty table; other columns are ignored. doc_id may have any type with an order.
 """
 
 from __future__ import annotations
@@ -18,11 +21,11 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import materialise
+from inkfield.llm.common import join_counted, materialise, quoted, ranks
 
 DIMS = ("k_source", "k_lang", "k_size")
 #: Bits of a coordinate, of the text hash that completes it, and of the row hash that divides equal texts.
-COORD_BITS, TIE_BITS, ROW_BITS = 24, 36, 30
+COORD_BITS, TIE_BITS, ROW_BITS = 20, 36, 40
 KEY_BITS = COORD_BITS + TIE_BITS
 #: Rows of one histogram that may come to the driver.
 MAX_BINS = 1 << 15
@@ -30,51 +33,54 @@ MAX_BINS = 1 << 15
 TOLERANCE = 0.0005
 #: Equal texts with more than this share of a node may be divided.
 DIVIDE = 0.02
-#: Rows of one shard that are numbered together.
+#: Rows of one shard, or equal rows, that are numbered together.
 SLOT_ROWS = 20_000
 
 
-def _prefix_code(c: Column) -> Column:
-    """The first six bytes as a number, in the order of the strings."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("long"), F.lit(-1))
-
-
 def _unsigned(h: Column, bits: int) -> Column:
     return F.shiftrightunsigned(h, 64 - bits)
 
 
 def thin_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """doc_id, size, text_crc32, h, the raw coordinates and r, a hash of the row; materialised."""
-    filled = F.coalesce(F.col(text), F.lit(""))
+    """doc_id, size, text_crc32, h, source, lang and r, a hash of the row and of its number among rows equal to it."""
+    filled = F.coalesce(F.col(quoted(text)), F.lit(""))
     rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"),
+        F.col(quoted(doc_id)).alias("doc_id"),
         (F.octet_length(filled) + 1).cast("long").alias("size"),
         F.crc32(filled.cast("binary")).cast("long").alias("text_crc32"),
         F.xxhash64(filled).alias("h"),
-        _prefix_code(F.col(source)).alias("c_source"),
-        _prefix_code(F.col(lang)).alias("c_lang"),
+        F.col(quoted(source)).alias("source"),
+        F.col(quoted(lang)).alias("lang"),
     )
-    return materialise(rows.withColumn("r", _unsigned(F.xxhash64(F.lit(5), "doc_id", F.monotonically_increasing_id()), ROW_BITS)), "shard-rows")
-
-
-def with_keys(rows: DataFrame) -> DataFrame:
-    """Adds the coordinates as order keys. Equal texts take the least source and language among them."""
-    groups = rows.groupBy("h", "size").agg(F.min("c_source").alias("g_source"), F.min("c_lang").alias("g_lang"))
-    joined = rows.join(groups, ["h", "size"])
-    ends = joined.agg(*[f(c).cast("double").alias(f"{n}_{c}") for c in ("g_source", "g_lang", "size") for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    # equal rows are numbered in stretches, so that no task gives out more than one
+    stretches = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {SLOT_ROWS}"))).alias("part")
+    some = counted.select("*", stretches).repartition("doc_id", "h", "part")
+    inside = F.sequence(F.lit(1).cast("long"), F.least(F.lit(SLOT_ROWS).cast("long"), F.col("n") - F.col("part") * SLOT_ROWS))
+    every = some.select(*rows.columns, "part", F.explode(inside).alias("k"))
+    return every.select(*rows.columns, _unsigned(F.xxhash64(F.lit(5), "doc_id", "h", "source", "lang", "part", "k"), ROW_BITS).alias("r"))
+
+
+def with_keys(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(rows with the coordinates as order keys, number of rows). Equal texts take the least source and language among
+    them. rows: materialised."""
+    total = rows.count()
+    groups = rows.groupBy("h", "size").agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("g_source"), F.min("lang").alias("g_lang"))
+    groups = materialise(groups, "shard-texts")
+    for c in ("source", "lang"):
+        rank = materialise(ranks(groups, f"g_{c}", f"c_{c}"), "shard-ranks")
+        groups = groups.join(rank, groups[f"g_{c}"].eqNullSafe(rank[f"g_{c}"])).drop(f"g_{c}")
+    groups = materialise(groups.withColumn("c_size", F.log(F.col("size").cast("double"))), "shard-texts")
+    ends = groups.agg(*[f(f"c_{c}").cast("double").alias(f"{n}_{c}") for c in ("source", "lang", "size") for n, f in (("lo", F.min), ("hi", F.max))]).first()
     top, tie = (1 << COORD_BITS) - 1, _unsigned(F.col("h"), TIE_BITS)
 
-    def key(c: Column, lo: float | None, hi: float | None) -> Column:
-        place = F.lit(0) if lo is None or hi == lo else F.floor((c - F.lit(lo)) / F.lit(hi - lo) * top).cast("long")
-        return F.shiftleft(place.cast("long"), TIE_BITS) + tie
+    def key(c: str) -> Column:
+        lo, hi = ends[f"lo_{c}"], ends[f"hi_{c}"]
+        place = F.lit(0) if lo is None or hi == lo else F.floor((F.col(f"c_{c}") - F.lit(lo)) / F.lit(hi - lo) * top)
+        return (F.shiftleft(place.cast("long"), TIE_BITS) + tie).alias(f"k_{c}")
 
-    log = lambda x: None if x is None else __import__("math").log(x)
-    return joined.select(
-        "doc_id", "size", "text_crc32", "r",
-        key(F.col("g_source"), ends.lo_g_source, ends.hi_g_source).alias("k_source"),
-        key(F.col("g_lang"), ends.lo_g_lang, ends.hi_g_lang).alias("k_lang"),
-        key(F.log(F.col("size").cast("double")), log(ends.lo_size), log(ends.hi_size)).alias("k_size"),
-    )
+    keys = groups.select("h", "size", "n", *map(key, ("source", "lang", "size")))
+    return join_counted(rows.drop("source", "lang"), keys, ["h", "size"], "n", total).select("doc_id", "size", "text_crc32", "r", *DIMS), total
 
 
 def _by_node(spark: SparkSession, values: dict[int, tuple], ddl: str) -> DataFrame:
@@ -172,14 +178,14 @@ def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     depth = n_shards.bit_length() - 1
     if n_shards != 1 << depth:
         raise ValueError("a tree of binary splits has 2 ** k leaves")
-    keyed = materialise(with_keys(thin_rows(docs)), "shard-keys")
-    d, _ = kd_shards(keyed, depth)
-    return slots(d, keyed.count()).select(
+    keyed, total = with_keys(materialise(thin_rows(docs), "shard-rows"))
+    d, _ = kd_shards(materialise(keyed, "shard-keys"), depth)
+    return slots(d, total).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
 def shards_of_bytes(docs: DataFrame, target_bytes: int) -> DataFrame:
     """As shard_documents, with as many splits as bring the mean leaf to target_bytes."""
-    total = docs.agg(F.sum(F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1)).first()[0] or 1
+    total = docs.agg(F.sum(F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long") + 1)).first()[0] or 1
     return shard_documents(docs, 1 << max(0, (-(-total // target_bytes) - 1).bit_length()))
