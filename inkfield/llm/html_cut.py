@@ -19,7 +19,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
-from collections import defaultdict, deque
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfield.llm.common import quoted, small_batches, text_slices
+from inkfield.llm.flow import EPS, max_flow
 
 #: Bound of the classifier's sample: pages, and blocks of one page (evenly spread over it).
 TRAIN_PAGES, TRAIN_BLOCKS = 1500, 60
@@ -36,7 +37,7 @@ NEXT_TIE, HOLD_TIE = 0.5, 6.0
 #: The text shape moves the log odds by so much at most.
 SHAPE_LIMIT = 4.0
 #: Cost of cutting a seed off its terminal: more than all ties of a page.
-SEED, EPS = 1e9, 1e-9
+SEED = 1e9
 
 RAW = frozenset(("script", "style", "textarea", "template", "noscript", "iframe", "title", "svg", "object", "xmp", "noembed", "noframes"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
@@ -271,56 +272,6 @@ def min_cut(odds: list[float], ties: list[tuple[int, int, float]]) -> list[bool]
     return [odds[i] > 0 if abs(odds[i]) >= SEED else i not in cut for i in range(len(odds))]
 
 
-def max_flow(free: list[float], near: list[list[int]], head: list[int], room: list[float]) -> float:
-    """Dinic's algorithm. free: what each node can take from the source (positive) or give to the sink (negative); it is
-    left with the residual capacities, as is room, that of the edges. Returns the flow between nodes."""
-    flow = 0.0
-    while True:
-        # levels: distance to a node that can still give to the sink
-        level = {i: 0 for i, c in enumerate(free) if c < -EPS}
-        queue = deque(level)
-        while queue:
-            u = queue.popleft()
-            for k in near[u]:
-                v = head[k]
-                if v not in level and room[k ^ 1] > EPS:
-                    level[v] = level[u] + 1
-                    queue.append(v)
-        begin = [i for i, c in enumerate(free) if c > EPS and i in level]
-        if not begin:
-            return flow
-        turn = [0] * len(near)
-        for s in begin:
-            path: list[int] = []  # edges from s
-            u = s
-            while free[s] > EPS:
-                if free[u] < -EPS:
-                    f = min(free[s], -free[u], *[room[k] for k in path])
-                    free[s] -= f
-                    free[u] += f
-                    flow += f
-                    for k in path:
-                        room[k] -= f
-                        room[k ^ 1] += f
-                    path, u = [], s
-                    continue
-                edges = near[u]
-                while turn[u] < len(edges):
-                    k = edges[turn[u]]
-                    if room[k] > EPS and level.get(head[k], -1) == level[u] - 1:
-                        break
-                    turn[u] += 1
-                else:
-                    if not path:
-                        break
-                    level[u] = -9  # a dead end
-                    u = head[path.pop() ^ 1]
-                    turn[u] += 1
-                    continue
-                path.append(k)
-                u = head[k]
-
-
 def network(blocks: list[Block], weights: list[float]) -> tuple[list[float], list[tuple[int, int, float]]]:
     """(odds, ties) of the nodes: the blocks, then the elements that hold them. A block is tied to its seed and to what
     holds it, a silent element to what holds it. One that holds a single node is left out, and so are the frames of the

@@ -2,138 +2,202 @@
 
 Documents with the same set of sources form one *membership pattern*; a pattern's words flow to the
 quotas of its sources. The first pass over a pattern is free, each further pass costs more (convex),
-so repetition is spread before it is piled up. The flow network has one node for each pattern and
-source: its size depends on the sources, never on the documents. A pattern that is to yield q whole
-passes and a rest repeats every document q times and then takes whole documents in the order of a
-seeded hash, up to a threshold found by histograms.
+so repetition is spread before it is piled up. Sources that share no pattern, even through others, are
+networks of their own: each is solved by one task, and its size depends on the sources that overlap,
+never on the documents. A pattern that is to yield q whole passes and a rest repeats every document q
+times and then takes whole documents in the order of a seeded hash, up to a threshold found by histograms,
+and fills what is left with ever smaller documents until none of those left fits.
+
+Sources, patterns, targets and thresholds are tables: nothing of them is collected but single numbers, and
+there is no bound on their count.
 
 A null source is a source of its own (it sorts last); null texts have size 0 and are never taken;
-repeated rows are separate documents; empty tables give empty tables; other columns are ignored.
+repeated rows are separate documents (where rows are equal in all that is carried, it does not matter which of them are
+taken); empty tables give empty tables; other columns are ignored or carried, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import materialise, word_count
+from inkfield.llm.common import materialise, quoted, ranks, word_count
+from inkfield.llm.components import components
+from inkfield.llm.flow import max_flow
 
-#: More sources than this are refused: the plan of the mix is made on the driver.
-MAX_SOURCES, MAX_PATTERNS = 20_000, 100_000
 MAX_REPEAT = 3
-BITS = 60
-#: Rows of one histogram that may come to the driver: patterns times bins.
-MAX_BINS = 1 << 17
-#: Rounds of selection: each after the first fills what whole documents left open with smaller ones.
-ROUNDS = 3
-
-
-def water_fill(sizes: dict, weights: dict, repeat: int = MAX_REPEAT) -> dict[object, float]:
-    """Targets by weight, none above `repeat` times its source; what is cut off is shared again."""
-    total, open_, out = float(sum(sizes.values())), set(sizes), {}
-    while open_:
-        w = sum(weights[s] for s in open_)
-        above = [s for s in open_ if total * weights[s] / w > repeat * sizes[s]]
-        if not above:
-            out |= {s: total * weights[s] / w for s in open_}
-            break
-        for s in above:
-            out[s] = float(repeat * sizes[s])
-            total -= out[s]
-        open_ -= set(above)
-    return out
-
-
-def route(supply: dict[tuple, int], quota: dict[object, int], repeat: int = MAX_REPEAT) -> dict[tuple, int]:
-    """Words to take from each pattern: min-cost max-flow, pass k of a pattern at cost k * (k + 1) / 2.
-    Successive shortest paths; each augments by a bottleneck, so steps depend on the edges only."""
-    nodes = {"S": 0, "T": 1}
-    edges: list[list] = []
-    out: dict[int, list[int]] = defaultdict(list)
-
-    def edge(a, b, cap, cost):
-        for x in (a, b):
-            nodes.setdefault(x, len(nodes))
-        for u, v, c, w in ((a, b, cap, cost), (b, a, 0, -cost)):
-            out[nodes[u]].append(len(edges))
-            edges.append([nodes[v], c, w])
-
-    first = {}
-    for p in sorted(supply, key=repr):
-        first[p] = len(edges)
-        for k in range(repeat):
-            edge("S", ("p", p), supply[p], k * (k + 1) // 2)
-        for s in p:
-            edge(("p", p), ("s", s), repeat * supply[p], 0)
-    for s in sorted(quota, key=repr):
-        edge(("s", s), "T", quota[s], 0)
-    n = len(nodes)
-    potential = [0] * n
+#: Bits of the hash that orders the documents of a pattern, and of one histogram.
+BITS, STEP = 60, 12
+#: Steps of selection: one by thresholds, then this many that take the largest document that fits, and again.
+FITS = 2
+
+
+def water_fill(sources: DataFrame, repeat: int = MAX_REPEAT) -> DataFrame:
+    """Adds target: all sizes shared by weight, none above `repeat` times its source; what is cut off is shared again.
+    sources: source_size, weight. Each round sums the table once; the level only rises, so it alone is kept."""
+    share, most = F.col("weight"), F.col("source_size").cast("double") * repeat
+    total, weight, closed = sources.agg(F.sum("source_size"), F.sum("weight"), F.count(F.lit(1))).first()
+    total, weight = float(total or 0), float(weight or 1)
+    left, open_weight, above, before = total, weight, F.lit(False), -1
     while True:
-        dist, via = [None] * n, [-1] * n
-        dist[0], queue = 0, [(0, 0)]
-        while queue:
-            d, u = heapq.heappop(queue)
-            if d > dist[u]:
-                continue
-            for e in out[u]:
-                v, cap, cost = edges[e]
-                if cap and (dist[v] is None or d + cost + potential[u] - potential[v] < dist[v]):
-                    dist[v], via[v] = d + cost + potential[u] - potential[v], e
-                    heapq.heappush(queue, (dist[v], v))
-        if dist[1] is None:
+        above = F.lit(left) * share / F.lit(open_weight) > most
+        got = sources.agg(F.sum(F.when(above, F.col("source_size"))), F.sum(F.when(~above, share)), F.count(F.when(above, 1))).first()
+        if got[2] == before or not got[1]:
             break
-        potential = [p + (d if d is not None else 0) for p, d in zip(potential, dist)]
-        path, v = [], 1
-        while v:
-            path.append(via[v])
-            v = edges[via[v] ^ 1][0]
-        flow = min(edges[e][1] for e in path)
-        for e in path:
-            edges[e][1] -= flow
-            edges[e ^ 1][1] += flow
-    return {p: sum(edges[first[p] + 2 * k + 1][1] for k in range(repeat)) for p in supply}
-
-
-def _keyed(spark: SparkSession, values: dict, name: str, kind: str) -> DataFrame:
-    """pattern id to value; as many rows as there are patterns, at most MAX_PATTERNS."""
-    return F.broadcast(spark.createDataFrame([(k, v) for k, v in values.items()], f"pid int, {name} {kind}"))
-
-
-def _threshold(docs: DataFrame, room: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
-    """For each pattern the largest u such that its documents of lower order fit in `room`, and what they
-    hold. Refines one histogram bin for each pattern until that bin is a single document."""
-    low, held, shift = {p: 0 for p in room}, {p: 0 for p in room}, BITS
-    open_ = set(room)
-    while open_ and shift:
-        step = min(shift, 12, max(4, (MAX_BINS // len(open_)).bit_length() - 1))
-        place = F.col("u") - F.col("low")
-        rows = (
-            docs.join(_keyed(docs.sparkSession, {p: low[p] for p in open_}, "low", "long"), "pid")
-            .filter((place >= 0) & (F.shiftright(place, shift) == 0))
-            .groupBy("pid", F.shiftright(place, shift - step).alias("bin"))
-            .agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"))
-            .collect()
-        )
-        shift -= step
-        bins: dict[int, list] = defaultdict(list)
-        for r in rows:
-            bins[r.pid].append((r.bin, r.w, r.n))
-        for p in list(open_):
-            at, alone = 1 << step, True
-            for b, w, n in sorted(bins[p]):
-                if held[p] + w > room[p]:
-                    at, alone = b, n == 1
-                    break
-                held[p] += w
-            low[p] += at << shift
-            if alone:
-                open_.discard(p)
-    return low, held
+        left, open_weight, before = total - repeat * float(got[0] or 0), float(got[1]), got[2]
+    return sources.withColumn("target", F.when(above, most).otherwise(F.lit(left) * share / F.lit(open_weight)))
+
+
+def route(supply: dict[object, int], members: dict[object, list], quota: dict[object, int], repeat: int = MAX_REPEAT) -> dict[object, int]:
+    """Words to take from each pattern: min-cost max-flow, pass k of a pattern at cost k * (k + 1) / 2. The cheapest
+    path that uses a new pass costs what this pass costs, so successive shortest paths come pass by pass, and all paths of
+    one pass are one maximum flow."""
+    node = {p: k for k, p in enumerate([*supply, *quota])}  # patterns and sources have different names
+    free = [0.0] * len(supply) + [-float(q) for q in quota.values()]
+    near: list[list[int]] = [[] for _ in node]
+    head: list[int] = []
+    room: list[float] = []
+    for p, sources in members.items():
+        for s in sources:
+            near[node[p]].append(len(head))
+            near[node[s]].append(len(head) + 1)
+            head += (node[s], node[p])
+            room += (float(repeat * supply[p]), 0.0)
+    for _ in range(repeat):
+        for p, w in supply.items():
+            free[node[p]] += w
+        max_flow(free, near, head, room)
+    return {p: round(repeat * w - free[node[p]]) for p, w in supply.items()}
+
+
+def _flows(ends: DataFrame, repeat: int) -> DataFrame:
+    """pid, flow. ends: net, pattern, pid, sid, w, quota, one row for each source of each pattern."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            supply = {("p", r[1]): r[3] for r in held}
+            members = defaultdict(list)
+            for r in held:
+                members["p", r[1]].append(("s", r[2]))
+            flow = route(supply, members, {("s", r[2]): r[4] for r in held}, repeat)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p for _, p in flow], pa.int64()), pa.array(flow.values(), pa.int64())], names=["pid", "flow"])
+
+        for b in batches:
+            for row in zip(*[b.column(c).to_pylist() for c in ("net", "pid", "sid", "w", "quota")]):
+                if held and held[0][0] != row[0]:
+                    yield out()
+                held.append(row)
+        if held:
+            yield out()
+
+    rows = ends.repartition("net").sortWithinPartitions("net", "pattern", "sid").select("net", "pid", "sid", "w", "quota")
+    return rows.mapInArrow(task, "pid long, flow long")
+
+
+def plan_of(patterns: DataFrame, weights: Sequence[float], repeat: int = MAX_REPEAT) -> DataFrame:
+    """patterns (pattern, pid, w) with whole passes, room for more, and the first member's source_size and target."""
+    ends = patterns.select("pattern", "pid", "w", F.explode("pattern").alias("source"))
+    sizes = materialise(ends.groupBy("source").agg(F.sum("w").alias("source_size")), "mix-sources")
+    rank = ranks(sizes, "source", "sid").withColumnRenamed("source", "name")
+    by_rank = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
+    sources = sizes.join(rank, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("weight", by_rank)
+    sources = materialise(water_fill(materialise(sources, "mix-ranks"), repeat), "mix-targets")
+    named = sources.select(F.col("source").alias("name"), "sid", "source_size", "target")
+    ends = materialise(ends.join(named, F.col("source").eqNullSafe(F.col("name"))).drop("source", "name"), "mix-members")
+    first = ends.groupBy("pid").agg(F.min(F.struct("sid", "source_size", "target")).alias("first"))
+    # sources are joined by patterns that hold both
+    net = components(ends.join(first, "pid").select("sid", F.col("first.sid").alias("other")), "sid", "other")
+    of_net = ends.join(net, F.col("sid") == F.col("node"), "left").withColumn("net", F.coalesce("component", "sid"))
+    flow = materialise(_flows(of_net.withColumn("quota", F.round("target").cast("long")), repeat), "mix-flows")
+    whole = F.when(F.col("w") > 0, F.least(F.lit(repeat).cast("long"), F.expr("flow div w"))).otherwise(0).cast("long")
+    plan = patterns.join(flow, "pid", "left").withColumn("flow", F.coalesce("flow", F.lit(0))).join(first, "pid", "left").withColumn("whole", F.coalesce(whole, F.lit(0).cast("long")))
+    return plan.select(
+        "pattern", "pid", "whole", F.when(F.col("whole") < repeat, F.col("flow") - F.col("whole") * F.col("w")).otherwise(0).cast("long").alias("room"),
+        F.coalesce("first.source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("first.target", F.lit(0.0)).alias("target"),
+    )
+
+
+# ---------------------------------------------------------------- whole documents
+
+
+#: Documents that one step takes: of a size from least to most, and before (cu, cv) in the order of (u, v).
+CUT = "least long, most long, cu long, cv long"
+
+
+def taken_by(cuts: Column) -> Column:
+    before = lambda c: (F.col("u") < c["cu"]) | ((F.col("u") == c["cu"]) & (F.col("v") < c["cv"]))
+    return F.exists(cuts, lambda c: F.col("size").between(c["least"], c["most"]) & before(c))
+
+
+def threshold(rows: DataFrame, room: DataFrame) -> DataFrame:
+    """pid, cu, cv, held: the place in the order of (u, v) up to which the documents of each pattern fit in its room, and
+    what they hold. rows: pid, size, u, v; room: pid, room. One histogram bin of each pattern is refined until it is a
+    single document; only documents with equal u are told apart by v."""
+    state = room.select("pid", "room", F.lit(0).cast("long").alias("cu"), F.lit(0).cast("long").alias("cv"), F.lit(0).cast("long").alias("held"), F.lit(True).alias("open"))
+    for place, at in (("u", "cu"), ("v", "cv")):
+        for shift in range(BITS, 0, -STEP):
+            live = state.filter("open")
+            d = rows.join(live.select("pid", "room", "cu", "cv", "held"), "pid")
+            if place == "v":
+                d = d.filter("u = cu")
+            bin_ = F.shiftright(F.col(place) - F.col(at), shift - STEP)
+            bins = d.filter((F.col(place) >= F.col(at)) & (F.shiftright(F.col(place) - F.col(at), shift) == 0)).groupBy("pid", bin_.alias("bin")).agg(
+                F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"), F.first("held").alias("had"), F.first("room").alias("most")
+            )
+            run = F.sum("w").over(Window.partitionBy("pid").orderBy("bin")) + F.col("had")
+            fits = F.col("run") <= F.col("most")
+            found = bins.withColumn("run", run).groupBy("pid").agg(
+                F.sum(F.when(fits, F.col("w")).otherwise(0)).alias("more"), F.min(F.when(~fits, F.struct("bin", "n"))).alias("over")
+            )
+            # past the last bin where all fits; else at the start of the first that doesn't
+            move = F.shiftleft(F.coalesce(F.col("over.bin"), F.lit(1 << STEP).cast("long")), shift - STEP)
+            state = state.join(found, "pid", "left").select(
+                "pid", "room", *[(F.col(c) + F.when(F.col("open"), F.coalesce(move, F.lit(0))).otherwise(0) if c == at else F.col(c)).cast("long").alias(c) for c in ("cu", "cv")],
+                (F.col("held") + F.coalesce("more", F.lit(0))).alias("held"), (F.col("open") & F.coalesce(F.col("over.n") > 1, F.lit(False))).alias("open"),
+            )
+            state = materialise(state, "mix-cuts")
+            if state.filter("open").isEmpty():
+                return state.select("pid", "cu", "cv", "held")
+    return state.select("pid", "cu", "cv", "held")
+
+
+def largest(rows: DataFrame) -> DataFrame:
+    """pid and of its largest document the size and place."""
+    top = F.max(F.struct("size", (-F.col("u")).alias("u"), (-F.col("v")).alias("v"))).alias("top")
+    return rows.groupBy("pid").agg(top).select("pid", F.col("top.size").alias("held"), (-F.col("top.u")).alias("cu"), (-F.col("top.v") + 1).alias("cv"))
+
+
+def cuts_of(documents: DataFrame, plan: DataFrame) -> DataFrame:
+    """pid, cuts: what each pattern takes beyond its whole passes. documents: pid, size, u, v."""
+    parts: list[DataFrame] = []
+    room = materialise(plan.filter("room > 0").select("pid", "room"), "mix-room")
+    while not room.isEmpty():
+        step = len(parts)
+        left = documents.join(room, "pid").filter("size > 0 and size <= room")
+        if parts:
+            left = left.join(_listed(parts), "pid", "left").filter(~F.coalesce(taken_by(F.col("cuts")), F.lit(False)))
+        if step % (FITS + 1) == 0:
+            got = threshold(left.select("pid", "size", "u", "v"), room)
+            cut = got.filter("held > 0").join(room, "pid").select("pid", "held", F.lit(1).cast("long").alias("least"), F.col("room").alias("most"), "cu", "cv")
+        else:
+            cut = largest(left).select("pid", "held", F.col("held").alias("least"), F.col("held").alias("most"), "cu", "cv")
+        cut = materialise(cut, "mix-step")
+        parts.append(cut)
+        # a pattern none of whose documents fits has no cut, and is done
+        room = materialise(room.join(cut.select("pid", "held"), "pid").select("pid", (F.col("room") - F.col("held")).alias("room")).filter("room > 0"), "mix-room")
+    return _listed(parts) if parts else documents.sparkSession.createDataFrame([], f"pid long, cuts array<struct<{CUT.replace(' long', ': long')}>>")
+
+
+def _listed(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts).groupBy("pid").agg(F.collect_list(F.struct("least", "most", "cu", "cv")).alias("cuts"))
 
 
 def mix(
@@ -148,48 +212,23 @@ def mix(
     """row (a struct of the columns named in carry), pattern, size, source_size and target (of the first member),
     times (0 to `repeat`), taken.
     members: array of source names, null for the source without a name; weights repeat over the sorted sources."""
-    spark = docs.sparkSession
     pattern = F.array_sort(F.array_distinct(members), lambda a, b: F.when(a.eqNullSafe(b), 0).when(a.isNull(), 1).when(b.isNull(), -1).when(a < b, -1).otherwise(1))
-    unit = F.shiftright(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in carry]), 64 - BITS)
-    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
+    row = F.struct(*[F.col(quoted(c)) for c in carry])
+    # the order of documents follows what is carried; v tells rows apart that are equal in it
+    hashed = lambda *c: F.shiftrightunsigned(F.xxhash64(F.lit(seed), *c), 64 - BITS)
     thin = materialise(
-        docs.select(row, pattern.alias("pattern"), size.cast("long").alias("size"), unit.bitwiseAND(F.lit((1 << BITS) - 1)).alias("u")), "mix"
-    )
-    rows = thin.groupBy("pattern").agg(F.sum("size").alias("w")).limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    supply = {tuple(r.pattern): r.w for r in rows}
-    sizes: dict = defaultdict(int)
-    for p, w in supply.items():
-        for s in p:
-            sizes[s] += w
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
-    target = water_fill(dict(sizes), {s: float(weights[k % len(weights)]) for k, s in enumerate(order)}, repeat)
-    flow = route(supply, {s: round(t) for s, t in target.items()}, repeat)
-    pids = {p: k for k, p in enumerate(sorted(supply, key=repr))}
-    whole = {pids[p]: min(repeat, flow[p] // w) if w else 0 for p, w in supply.items()}
-    room = {pids[p]: flow[p] - whole[pids[p]] * w for p, w in supply.items() if whole[pids[p]] < repeat}
-    plan = spark.createDataFrame(
-        [(list(p), k, whole[k], sizes[p[0]] if p else 0, target[p[0]] if p else 0.0) for p, k in pids.items()],
-        "pattern array<string>, pid int, whole long, source_size long, target double",
+        docs.select(row.alias("row"), pattern.alias("pattern"), size.cast("long").alias("size"), hashed(*[F.col(quoted(c)) for c in carry]).alias("u"), hashed(F.monotonically_increasing_id()).alias("v")),
+        "mix",
     )
+    patterns = materialise(thin.groupBy("pattern").agg(F.sum("size").alias("w")).withColumn("pid", F.monotonically_increasing_id()), "mix-patterns")
+    plan = materialise(plan_of(patterns, weights, repeat), "mix-plan")
     # arrays with nulls compare as equal in a null-safe join; one row for each pattern
-    d = thin.join(F.broadcast(plan), thin["pattern"].eqNullSafe(plan["pattern"])).drop(plan["pattern"])
-    d = d.withColumn("chosen", F.lit(False))
-    open_ = {p: r for p, r in room.items() if r > 0}
-    for _ in range(ROUNDS):
-        if not open_:
-            break
-        fits = ~F.col("chosen") & (F.col("size") > 0) & (F.col("size") <= F.col("room"))
-        cut, held = _threshold(d.join(_keyed(spark, open_, "room", "long"), "pid").filter(fits), open_)
-        rounds = spark.createDataFrame([(p, open_[p], cut[p]) for p in open_], "pid int, room long, cut long")
-        d = d.join(F.broadcast(rounds), "pid", "left")
-        d = d.withColumn("chosen", F.col("chosen") | F.coalesce(fits & (F.col("u") < F.col("cut")), F.lit(False))).drop("room", "cut")
-        open_ = {p: open_[p] - held[p] for p in open_ if open_[p] > held[p]}
-    times = F.when(F.col("size") > 0, F.col("whole") + F.col("chosen").cast("int")).otherwise(F.lit(0))
-    return d.select("row", "pattern", "size", "source_size", "target", times.cast("long").alias("times"), (times * F.col("size")).cast("long").alias("taken"))
+    d = thin.join(plan.withColumnRenamed("pattern", "same"), F.col("pattern").eqNullSafe(F.col("same"))).drop("same")
+    cuts = materialise(cuts_of(d.select("pid", "size", "u", "v"), plan), "mix-taken")
+    chosen = F.coalesce(taken_by(F.col("cuts")), F.lit(False)).cast("int")
+    times = F.when(F.col("size") > 0, F.col("whole") + chosen).otherwise(F.lit(0)).cast("long")
+    d = d.join(cuts, "pid", "left")
+    return d.select("row", "pattern", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).cast("long").alias("taken"))
 
 
 #: Contract of the query: weights of the sources in order of code points.

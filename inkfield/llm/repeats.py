@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import buffers, materialise, mix, prefix_hash, quoted, sieve, small_batches, span_hash, text_slices
+from inkfield.llm.common import buffers, join_counted, materialise, mix, prefix_hash, quoted, sieve, small_batches, span_hash, text_slices
 
 LENGTH, GRAM = 200, 64
 #: Suffixes of one group that a task holds.
@@ -295,18 +295,18 @@ def levels(groups: DataFrame, length: int) -> Iterator[tuple[DataFrame, DataFram
         place = F.concat_ws(":", F.lpad(F.col("tid").cast("string"), 20, " "), F.lpad(F.col("pos").cast("string"), 20, " ")).cast("binary")  # 41 bytes, a digest has 32
         content = F.when(whole, F.unhex(F.sha2(_piece(F.col("hi"), length - F.col("lo")), 256))).otherwise(place)
         level = materialise(level.withColumns({"all": content, "whole": whole}), "suffixes")
-        kinds = level.groupBy("gkey", "all").agg(F.count(F.lit(1)).alias("m"))
+        kinds = materialise(level.groupBy("gkey", "all").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("tid", "pos")).alias("rep")), "suffix-kinds")
+        sizes = materialise(kinds.groupBy("gkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-groups")
+        total, most = sizes.agg(F.sum("n"), F.max("n")).first()
         # one row stands for all of its kind from here on
-        sizes = kinds.groupBy("gkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        sizes = materialise(sizes, "suffix-groups")
-        kept = level.join(sizes.select("gkey"), "gkey", "left_semi").dropDuplicates(["gkey", "all"]).drop("whole")
-        large = sizes.filter(F.col("n") > MEMBERS).select("gkey")
-        if large.isEmpty():
+        reps = join_counted(kinds.select("gkey", "all", "rep.tid", "rep.pos"), sizes, ["gkey"], "n", total or 0)
+        kept = level.drop("whole").join(reps, ["tid", "pos", "gkey", "all"])
+        if (most or 0) <= MEMBERS:
             yield level, kinds, kept
             return
-        kept = materialise(kept, "suffix-kinds")
-        yield level, kinds, kept.join(large, "gkey", "left_anti")
-        hot = kept.join(large, "gkey", "left_semi").filter("lo < hi")
+        kept = materialise(kept, "suffix-reps")
+        yield level, kinds, kept.filter(F.col("n") <= MEMBERS)
+        hot = kept.filter(F.col("n") > MEMBERS).filter("lo < hi")
         mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
         halves = F.array(F.struct(F.col("lo").alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi").alias("hi")))
         split = hot.withColumn("part", F.explode(halves)).select("gkey", "tid", "pos", "ctx", "nl", F.col("part.lo").alias("lo"), F.col("part.hi").alias("hi"))
@@ -315,11 +315,18 @@ def levels(groups: DataFrame, length: int) -> Iterator[tuple[DataFrame, DataFram
         level = split.withColumn("gkey", F.unhex(F.sha2(F.concat(F.col("gkey"), F.concat_ws(":", F.lit(""), "lo", "hi", F.lit("")).cast("binary"), _piece(F.col("lo"), length - F.col("hi"))), 256)))
 
 
+def _alike(level: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Rows whose whole context another row shares."""
+    many = kinds.filter("m > 1").select("gkey", "all", "m")
+    total = many.agg(F.sum("m")).first()[0] or 0
+    return join_counted(level.filter("whole"), many, ["gkey", "all"], "m", total)
+
+
 def covered(groups: DataFrame, length: int) -> DataFrame:
     """tid, start, stop of all that repeats; spans may overlap. groups as contexts() returns them."""
     out = []
     for level, kinds, small in levels(groups, length):
-        equal = level.filter("whole").select("gkey", "all", "tid", "pos", "lo", "hi").join(kinds.filter("m > 1").select("gkey", "all"), ["gkey", "all"])
+        equal = _alike(level.select("gkey", "all", "whole", "tid", "pos", "lo", "hi"), kinds)
         out.append(materialise(equal.select("tid", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") + length - F.col("lo")).alias("stop")), "spans"))
         out.append(materialise(_flat(small, length), "spans"))
     return reduce(DataFrame.unionByName, out)
@@ -461,7 +468,7 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_i
     for level, kinds, small in levels(groups, length):
         got = _grouped(small, ("gkey", "all", "ctx", "nl", "lo", "hi"), solve, ("gkey", "all", "group", "before", "n_bytes"), kinds_of, "gkey binary, all binary, group string, before long, n_bytes long")
         at = level.select("gkey", "all", "tid", "pos").join(got, ["gkey", "all"])
-        same = level.filter("whole").join(kinds.filter("m > 1").select("gkey", "all"), ["gkey", "all"])
+        same = _alike(level.select("gkey", "all", "whole", "tid", "pos", "lo", "hi"), kinds)
         same = same.select("tid", "pos", F.lower(F.hex("all")).alias("group"), F.col("hi").cast("long").alias("before"), (F.col("hi") + length - F.col("lo")).cast("long").alias("n_bytes"))
         for part in (at.select(*same.columns), same):
             found.append(materialise(part.select("group", "n_bytes", "tid", (F.col("pos") - F.col("before")).alias("start")), "repeats"))

@@ -287,9 +287,14 @@ def test_mixing(docs, corpus):
         x[2] = r.target
         x[3] = max(x[3], r.size)
         assert r.source_size >= r.size and r.taken == r.times * r.size <= 3 * r.size
-    want = mixing.water_fill({s: x[0] for s, x in by.items()}, dict(zip(sorted(by, key=lambda s: (s is None, s or "")), [5, 2, 1, 5])))
+    want = filled({s: x[0] for s, x in by.items()}, dict(zip(sorted(by, key=lambda s: (s is None, s or "")), [5, 2, 1, 5])))
     for s, (size, taken, target, largest) in by.items():
-        assert abs(target - want[s]) < 1e-6 and 0 <= target - taken <= max(1, largest)
+        assert abs(target - want[s]) < 1e-6
+        left = round(target) - taken
+        assert left >= 0
+        # no document that could be taken once more fits in what is left
+        times = [(r.times, r.size) for r in got if r.source == s and r.size]
+        assert all(n > min(n for n, _ in times) or z > left or n == 3 for n, z in times)
     again = mixing.mix_documents(docs, docs.columns).select("row.doc_id", "row.text", "taken").collect()
     assert sorted(map(str, again)) == sorted(str(r) for r in mixing.mix_documents(docs, docs.columns).select("row.doc_id", "row.text", "taken").collect())
 
@@ -302,11 +307,100 @@ def test_mixed_rows_repeat_documents(docs):
     assert all(count[k] == v for k, v in often.items())
 
 
-def test_flow_spreads_repetition_over_overlapping_sources():
+def filled(sizes, weights, repeat=3):
+    """Targets one source at a time: the lowest cap is met first."""
+    out, total, rest = {}, float(sum(sizes.values())), dict(sizes)
+    while rest:
+        w = sum(weights[s] for s in rest)
+        s = min(rest, key=lambda s: repeat * rest[s] / weights[s])
+        if total * weights[s] / w <= repeat * rest[s]:
+            return out | {s: total * weights[s] / w for s in rest}
+        out[s] = float(repeat * rest.pop(s))
+        total -= out[s]
+    return out
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(31)
+    sizes = {f"s{k:04}": rng.choice([0, 1, 5, 50, 4000, 100000]) for k in range(300)}
+    weights = {s: float([5, 2, 1][k % 3]) for k, s in enumerate(sorted(sizes))}
+    df = spark.createDataFrame([(s, z, weights[s]) for s, z in sizes.items()], "source string, source_size long, weight double")
+    want = filled(sizes, weights)
+    got = {r.source: r.target for r in mixing.water_fill(df).collect()}
+    assert all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in sizes)
+
+
+def cheapest(supply, members, quota, repeat=3):
+    """Cost and amount of the min-cost max-flow, by shortest paths of one unit each."""
+    edges = []
+    for p, w in supply.items():
+        edges += [["S", p, w, k * (k + 1) // 2] for k in range(repeat)] + [[p, s, 10**9, 0] for s in members[p]]
+    edges += [[s, "T", q, 0] for s, q in quota.items()]
+    edges = [e for e in edges] + [[b, a, 0, -c] for a, b, _, c in edges]
+    half, cost, flow = len(edges) // 2, 0, 0
+    while True:
+        dist, via = {"S": 0}, {}
+        for _ in range(len(supply) + len(quota) + 2):
+            for k, (a, b, cap, c) in enumerate(edges):
+                if cap and a in dist and dist[a] + c < dist.get(b, 1e18):
+                    dist[b], via[b] = dist[a] + c, k
+        if "T" not in dist:
+            return cost, flow
+        v = "T"
+        while v != "S":
+            k = via[v]
+            edges[k][2] -= 1
+            edges[(k + half) % (2 * half)][2] += 1
+            v = edges[k][0]
+        cost, flow = cost + dist["T"], flow + 1
+
+
+def test_flow_is_the_cheapest():
+    rng = random.Random(32)
+    for _ in range(60):
+        quota = {("s", k): rng.randint(0, 12) for k in range(rng.randint(1, 4))}
+        members = {("p", k): rng.sample(sorted(quota), rng.randint(1, len(quota))) for k in range(rng.randint(1, 4))}
+        supply = {p: rng.randint(0, 6) for p in members}
+        got = mixing.route(supply, members, quota)
+        cost = lambda x, w: sum(k * (k + 1) // 2 * max(0, min(w, x - k * w)) for k in range(3))
+        assert all(0 <= x <= 3 * supply[p] for p, x in got.items())
+        assert (sum(cost(x, supply[p]) for p, x in got.items()), sum(got.values())) == cheapest(supply, members, quota)
     # b's quota can be met without repetition only if the shared documents go to b
-    flow = mixing.route({("a",): 100, ("a", "b"): 100, ("b",): 10}, {"a": 100, "b": 110})
-    assert flow == {("a",): 100, ("a", "b"): 100, ("b",): 10}
-    assert mixing.water_fill({"a": 10, "b": 1000}, {"a": 5, "b": 1}) == {"a": 30.0, "b": 980.0}
+    members = {"pa": ["a"], "pab": ["a", "b"], "pb": ["b"]}
+    assert mixing.route({"pa": 100, "pab": 100, "pb": 10}, members, {"a": 100, "b": 110}) == {"pa": 100, "pab": 100, "pb": 10}
+
+
+def test_mixing_of_a_thousand_overlapping_sources(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(33)
+    rows = [(k, [f"s{rng.randrange(1000)}" for _ in range(rng.choice([1, 1, 2, 3]))], rng.randint(1, 60)) for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, sources array<string>, words long").repartition(3)
+    got = mixing.mix(df, F.col("sources"), F.col("words"), (5, 2, 1)).select("row.doc_id", "pattern", "size", "times", "taken").collect()
+    assert len(got) == 6000 and all(0 <= r.times <= 3 for r in got)
+    # a pattern's documents differ by one pass at most, and what is taken in all is what the flow can bring
+    by = collections.defaultdict(list)
+    for r in got:
+        by[tuple(r.pattern)].append(r)
+    assert all(max(r.times for r in x) - min(r.times for r in x) <= 1 for x in by.values())
+    sizes = collections.Counter()
+    for p, x in by.items():
+        for s in p:
+            sizes[s] += sum(r.size for r in x)
+    target = filled(sizes, {s: float([5, 2, 1][k % 3]) for k, s in enumerate(sorted(sizes))})
+    flow = mixing.route({("p", p): sum(r.size for r in x) for p, x in by.items()}, {("p", p): [("s", s) for s in p] for p in by}, {("s", s): round(t) for s, t in target.items()})
+    # there are many cheapest flows; all bring the same amount, and whole documents leave less than one of each pattern
+    left = sum(flow.values()) - sum(r.taken for r in got)
+    assert 0 <= left <= sum(min((r.size for r in x if r.times < 3), default=0) for x in by.values())
+
+
+def test_mixing_takes_equal_rows_one_by_one(spark):
+    rows = [(None, "a b c d e f g h i j", "s0") for _ in range(500)] + [(k, "w " * 40, "s1") for k in range(50)]
+    got = mixing.mix_documents(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    by = collections.Counter()
+    for r in got:
+        by[r.pattern[0], r.target] += r.taken
+    assert all(0 <= round(t) - n < (10 if s == "s0" else 40) for (s, t), n in by.items())
 
 
 def test_sharding(docs, corpus):
