@@ -7,6 +7,7 @@ shuffle, since a packed region is complete; packing itself is one grouped aggreg
 from __future__ import annotations
 
 import json
+import marshal
 import os
 from collections.abc import Iterator, Sequence
 
@@ -33,6 +34,10 @@ FORMATS = {
 }
 
 
+#: Decisions below this confidence are weak.
+WEAK = 0.9
+
+
 def workers_find_package(spark: SparkSession) -> None:
     """Python workers import this package from where the driver did, wherever they are started."""
     root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
@@ -40,20 +45,40 @@ def workers_find_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
 
 
+#: Bytes of the records whose results a task remembers, and of the largest: small formulas come again and again.
+MEMO, MEMO_RECORD = 16 << 20, 1 << 14
+
+
 def _map(df: DataFrame, keys: Sequence[str], ddl: str, rows) -> DataFrame:
-    """rows(record) yields the values behind the keys of each output row."""
+    """rows(record) yields the values behind the keys of each output row; it sees all columns but the keys, so equal
+    records, of which a task remembers some, are worked on once."""
     workers_find_package(df.sparkSession)
     schema = T.StructType([df.schema[k] for k in keys] + list(T.StructType.fromDDL(ddl).fields))
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
 
+    work = [c for c in df.columns if c not in keys]
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, list] = {}
+        held = 0
         for b in batches:
+            names = [b.column(k).to_pylist() for k in keys]
+            inner = b.select(work)
             out: list[list] = [[] for _ in arrow.names]
-            for r in b.to_pylist():
-                for values in rows(r):
-                    for column, v in zip(out, [*[r[k] for k in keys], *values]):
+            for i, r in enumerate(inner.to_pylist()):
+                content = marshal.dumps([r[c] for c in work], 2)
+                got = known.get(content)
+                if got is None:
+                    got = list(rows(r))
+                    if len(content) <= MEMO_RECORD:
+                        held += len(content)
+                        if held > MEMO:
+                            known, held = {}, len(content)
+                        known[content] = got
+                for values in got:
+                    for column, v in zip(out, [*[k[i] for k in names], *values]):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
 
@@ -107,16 +132,21 @@ def nodes(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def extract(packed: DataFrame, keys: Sequence[str], formats: Sequence[str] = ("latex",)) -> DataFrame:
-    """keys, the formats, structural and spacing confidence, glyphs and glyphs_in_tree, unknown nodes, and what the
-    LaTeX writer could not say. Confidence 0: not solved, all glyphs are in the one unknown node."""
-    ddl = ", ".join([*(f"{f} string" for f in formats), "confidence double, spacing_confidence double, n_glyphs int, n_in_tree int, n_unknown int, unreproducible array<string>"])
+    """keys, the formats, structural and spacing confidence, glyphs and glyphs in the tree, unknown nodes, decisions below
+    WEAK, and what the LaTeX writer could not say, where LaTeX is asked for. Confidence 0: not solved, all glyphs are in
+    the one unknown node."""
+    counts = "confidence double, spacing_confidence double, n_glyphs int, n_in_tree int, n_unknown int, n_weak int, unreproducible array<string>"
+    ddl = ", ".join([*(f"{f} string" for f in formats), counts])
 
     def rows(r: dict):
         n = solve(r)
-        have = {i for x in n.walk() for i in x.glyph_ids}
+        every = list(n.walk())
+        have = {i for x in every for i in x.glyph_ids}
+        latex = writers.to_latex(n) if "latex" in formats else None
         yield [
-            *(FORMATS[f](n) for f in formats), tree.structural_confidence(n), tree.spacing_confidence(n), len(r["glyphs"] or []),
-            sum(g["glyph_id"] in have for g in r["glyphs"] or []), sum(x.kind == "Unknown" for x in n.walk()), writers.to_latex(n).unreproducible,
+            *(latex.text if f == "latex" else FORMATS[f](n) for f in formats), tree.structural_confidence(n), tree.spacing_confidence(n), len(r["glyphs"] or []),
+            sum(g["glyph_id"] in have for g in r["glyphs"] or []), sum(x.kind == "Unknown" for x in every), sum(x.confidence < WEAK for x in every),
+            latex.unreproducible if latex else None,
         ]
 
     return _map(packed.select(*keys, "glyphs", "rules"), keys, ddl, rows)
@@ -135,16 +165,14 @@ def explain(node_table: DataFrame, keys: Sequence[str], floor: float = 1.0) -> D
     return node_table.filter((F.col("confidence") < floor) & ~leaf).select(*keys, "node_id", "kind", "rule_name", "confidence", "residual")
 
 
-def survey(node_table: DataFrame, regions: DataFrame, keys: Sequence[str], floor: float = 0.9) -> DataFrame:
-    """One row: equations, glyphs, glyphs in trees, recovery, unknown nodes, decisions below the floor."""
-    solved = node_table.filter(F.col("parent_id").isNotNull() | (F.col("kind") != "Unknown"))  # an unknown root: not solved
-    found = solved.select(*keys, F.explode("glyph_ids").alias("g")).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_in_tree"))
-    low = node_table.groupBy(*keys).agg(F.sum((F.col("confidence") < floor).cast("long")).alias("low"), F.sum((F.col("kind") == "Unknown").cast("long")).alias("unknown"))
-    d = regions.select(*keys, F.size("glyphs").cast("long").alias("n_glyphs")).join(found, list(keys), "left").join(low, list(keys), "left")
-    glyphs, inside = F.sum("n_glyphs"), F.sum(F.coalesce("n_in_tree", F.lit(0)))
-    return d.agg(
+def survey(read: DataFrame) -> DataFrame:
+    """One row: equations, glyphs, glyphs in trees, recovery, unknown nodes, weak decisions. read: as extract() returns
+    it; every region is read once and summed."""
+    inside = F.sum(F.when(F.col("confidence") > 0, F.col("n_in_tree")).otherwise(0))  # 0: not solved
+    glyphs = F.sum("n_glyphs")
+    return read.agg(
         F.count(F.lit(1)).alias("equations"), glyphs.alias("glyphs"), inside.alias("glyphs_in_tree"), F.coalesce(inside / F.nullif(glyphs, F.lit(0)), F.lit(1.0)).alias("glyph_recovery"),
-        F.coalesce(F.sum("unknown"), F.lit(0)).alias("unknown"), F.coalesce(F.sum("low"), F.lit(0)).alias("low_confidence"),
+        F.coalesce(F.sum("n_unknown"), F.lit(0)).alias("unknown"), F.coalesce(F.sum("n_weak"), F.lit(0)).alias("low_confidence"),
     )
 
 

@@ -50,35 +50,40 @@ BELOW: Predicate = lambda a, b: (b.cy < a.y0) & (a.x0 <= b.cx) & (b.cx <= a.x1)
 
 def nearest_beside(boxes: DataFrame, keys: Sequence[str], id: str, tol_y: float, side: str = "right") -> DataFrame:
     """For each box the nearest one that begins right (or ends left) of it with its centre within tol_y; of
-    equals the lower id. keys, l_id, r_id, gap."""
-
-    def beside(a: Box, b: Box) -> Column:
-        ahead = b.x0 >= a.x1 if side == "right" else b.x1 <= a.x0
-        return ahead & (F.abs(a.cy - b.cy) <= tol_y)
-
-    pairs = range_join(boxes, boxes, keys, beside).filter(F.col(f"l_{id}") != F.col(f"r_{id}"))
-    gap = F.col("r_x0") - F.col("l_x1") if side == "right" else F.col("l_x0") - F.col("r_x1")
+    equals the lower id. keys, l_id, r_id, gap. Both sides are cut into bands of height tol_y, so a box meets those of
+    three bands, not of its page."""
+    a, b = _sides(boxes, boxes, keys)
+    band = lambda box: F.floor(box.cy / tol_y)
+    l, r = Box.of("l_"), Box.of("r_")
+    near = a.withColumn("band", F.explode(F.sequence(band(l) - 1, band(l) + 1))).join(b.withColumn("band", band(r)), [*keys, "band"])
+    ahead, gap = (r.x0 >= l.x1, r.x0 - l.x1) if side == "right" else (r.x1 <= l.x0, l.x0 - r.x1)
+    pairs = near.filter(ahead & (F.abs(l.cy - r.cy) <= tol_y) & (F.col(f"l_{id}") != F.col(f"r_{id}")))
     best = F.min(F.struct(gap.alias("gap"), F.col(f"r_{id}").alias("id")))
     return pairs.groupBy(*keys, f"l_{id}").agg(best.alias("b")).select(*keys, f"l_{id}", F.col("b.id").alias(f"r_{id}"), F.col("b.gap").alias("gap"))
 
 
-def nearest_by(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, distance: Column, limit: Column | None = None) -> DataFrame:
-    """For each left row the right row of its key at the least distance (an expression over l_ and r_ columns);
-    of equals the lower id; limit: the distance it must not pass."""
-    a, b = _sides(left, right, keys)
-    pairs = a.join(b, list(keys)).withColumn("distance", distance)
-    if limit is not None:
-        pairs = pairs.filter(F.col("distance") <= limit)
-    best = F.min(F.struct("distance", F.col(f"r_{right_id}").alias("id")))
-    return pairs.groupBy(*keys, f"l_{left_id}").agg(best.alias("b")).select(*keys, f"l_{left_id}", F.col("b.id").alias(f"r_{right_id}"), F.col("b.distance").alias("distance"))
+def nearest_in_order(rows: DataFrame, marks: DataFrame, keys: Sequence[str], at: str, mark: str) -> DataFrame:
+    """rows with the mark of their key nearest to `at`, of equals the lower; rows of keys without marks are left out. Both
+    are sorted once: a row sees the last mark not above it and the first above, never all of its key. marks: keys, mark."""
+    both = rows.withColumn("__mark", F.lit(None).cast("double")).withColumn("__at", F.col(at).cast("double"))
+    more = marks.select(*keys, F.col(mark).cast("double").alias("__mark"), F.col(mark).cast("double").alias("__at")).distinct()
+    d = both.unionByName(more, allowMissingColumns=True)
+    for name, order in (("__low", F.col("__at").asc()), ("__high", F.col("__at").desc())):
+        w = Window.partitionBy(*keys).orderBy(order, F.col("__mark").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+        d = d.withColumn(name, F.last("__mark", True).over(w))
+    lower = F.col("__high").isNull() | (F.abs(F.col("__low") - F.col("__at")) <= F.abs(F.col("__high") - F.col("__at")))
+    d = d.filter(F.col("__mark").isNull()).withColumn(mark, F.when(lower, F.coalesce("__low", "__high")).otherwise(F.coalesce("__high", "__low")))
+    return d.filter(F.col(mark).isNotNull()).drop("__mark", "__at", "__low", "__high")
 
 
-def covered_by(boxes: DataFrame, regions: DataFrame, keys: Sequence[str], share: float = 0.6, how: str = "left_anti") -> DataFrame:
-    """Boxes of which no region (left_semi: some region) covers more than a share of the area."""
+def covered_by(boxes: DataFrame, regions: DataFrame, keys: Sequence[str], share: float = 0.6, how: str = "left_anti", but: str | None = None) -> DataFrame:
+    """Boxes of which no region (left_semi: some region) covers more than a share of the area. but: a column in which
+    box and region must differ."""
 
     def mostly(a: Box, b: Box) -> Column:
         common = F.greatest(a.overlap_x(b), F.lit(0.0)) * F.greatest(a.overlap_y(b), F.lit(0.0))
-        return (a.area > 0) & (common > share * a.area)
+        most = (a.area > 0) & (common > share * a.area)
+        return most & (F.col(f"l_{but}") != F.col(f"r_{but}")) if but else most
 
     out = range_join(boxes, regions, keys, mostly, how)
     return out.select(*[F.col(c if c in keys else f"l_{c}").alias(c) for c in boxes.columns])

@@ -100,13 +100,13 @@ def _(spark, d):
 
 @query(
     "j2_p10_region_members",
-    f"""WITH {views.BOXES}, regions AS (SELECT * FROM boxes WHERE id % 10 = 0) SELECT r.page, r.id AS l_id, b.id AS r_id,
-        r.x0 - 0.1e0 <= b.x0 AND b.x1 <= r.x1 + 0.1e0 AND r.y0 - 0.1e0 <= b.y0 AND b.y1 <= r.y1 + 0.1e0 AS wholly FROM regions r JOIN boxes b ON r.page = b.page
+    f"""WITH {views.BOXES} SELECT r.page, r.id AS l_id, b.id AS r_id,
+        r.x0 - 0.1e0 <= b.x0 AND b.x1 <= r.x1 + 0.1e0 AND r.y0 - 0.1e0 <= b.y0 AND b.y1 <= r.y1 + 0.1e0 AS wholly FROM boxes r JOIN boxes b ON r.page = b.page AND r.id <> b.id
         AND r.x0 - 0.1e0 <= (b.x0 + b.x1) / 2 AND (b.x0 + b.x1) / 2 <= r.x1 + 0.1e0 AND r.y0 - 0.1e0 <= (b.y0 + b.y1) / 2 AND (b.y0 + b.y1) / 2 <= r.y1 + 0.1e0""",
 )
 def _(spark, d):
     b = views.boxes(spark, d)
-    got = spatial.range_join(b.filter("id % 10 = 0"), b, ["page"], lambda r, g: r.contains_point(g.cx, g.cy, 0.1))
+    got = spatial.range_join(b, b, ["page"], lambda r, g: r.contains_point(g.cx, g.cy, 0.1)).filter("l_id <> r_id")
     return got.select("page", "l_id", "r_id", Box.of("l_").contains(Box.of("r_"), 0.1).alias("wholly"))
 
 
@@ -153,33 +153,33 @@ for _side in ("left", "right"):
 def _(spark, d):
     r = views.rules(spark, d)
     lines = r.select("page", (F.floor(F.col("y0") / 12) * 12).cast("double").alias("y")).distinct()
-    return spatial.nearest_by(r, lines, ["page"], "id", "y", F.abs(F.col("r_y") - (F.col("l_y0") + F.col("l_y1")) / 2))
+    got = spatial.nearest_in_order(r.select("page", "id", ((F.col("y0") + F.col("y1")) / 2).alias("at")), lines, ["page"], "at", "y")
+    return got.select("page", F.col("id").alias("l_id"), F.col("y").alias("r_y"), F.abs(F.col("y") - F.col("at")).alias("distance"))
 
 
 @query(
     "j7_j8_semi_anti",
-    f"""WITH {views.BOXES}, displays AS (SELECT * FROM boxes WHERE id % 7 = 0) SELECT page, id,
-        EXISTS (SELECT 1 FROM displays r WHERE r.page = b.page AND r.y0 < b.y1 AND b.y0 < r.y1 AND r.id <> b.id) AS beside FROM boxes b
-        WHERE NOT EXISTS (SELECT 1 FROM displays r WHERE r.page = b.page AND r.x0 <= (b.x0 + b.x1) / 2 AND (b.x0 + b.x1) / 2 <= r.x1 AND r.y0 <= (b.y0 + b.y1) / 2 AND (b.y0 + b.y1) / 2 <= r.y1)""",
+    f"""WITH {views.BOXES} SELECT page, id, EXISTS (SELECT 1 FROM boxes r WHERE r.page = b.page AND r.y0 < b.y1 AND b.y0 < r.y1 AND r.id <> b.id) AS beside FROM boxes b
+        WHERE NOT EXISTS (SELECT 1 FROM boxes r WHERE r.page = b.page AND r.id <> b.id
+        AND r.x0 <= (b.x0 + b.x1) / 2 AND (b.x0 + b.x1) / 2 <= r.x1 AND r.y0 <= (b.y0 + b.y1) / 2 AND (b.y0 + b.y1) / 2 <= r.y1)""",
 )
 def _(spark, d):
-    b = views.boxes(spark, d)
-    displays = b.filter("id % 7 = 0")
-    outside = spatial.range_join(b, displays, ["page"], lambda g, r: r.contains_point(g.cx, g.cy), "left_anti")
+    b, other = views.boxes(spark, d), F.col("l_id") != F.col("r_id")
+    outside = spatial.range_join(b, b, ["page"], lambda g, r: r.contains_point(g.cx, g.cy) & other, "left_anti")
     outside = outside.select("page", *[F.col(f"l_{c}").alias(c) for c in ("id", "x0", "y0", "x1", "y1")])
-    beside = spatial.range_join(outside, displays.withColumnRenamed("id", "of"), ["page"], lambda g, r: g.overlaps_y(r), "inner").filter("l_id <> r_of").select("page", F.col("l_id").alias("id"), F.lit(True).alias("beside")).distinct()
+    beside = spatial.range_join(outside, b, ["page"], lambda g, r: g.overlaps_y(r) & other, "left_semi").select("page", F.col("l_id").alias("id"), F.lit(True).alias("beside"))
     return outside.join(beside, ["page", "id"], "left").select("page", "id", F.coalesce("beside", F.lit(False)).alias("beside"))
 
 
 @query(
     "j9_not_covered",
-    f"""WITH {views.BOXES} SELECT page, id FROM boxes b WHERE NOT EXISTS (SELECT 1 FROM boxes r WHERE r.id % 5 = 0 AND r.page = b.page AND r.id <> b.id
+    f"""WITH {views.BOXES} SELECT page, id FROM boxes b WHERE NOT EXISTS (SELECT 1 FROM boxes r WHERE r.page = b.page AND r.id <> b.id
         AND (b.x1 - b.x0) * (b.y1 - b.y0) > 0 AND greatest(least(b.x1, r.x1) - greatest(b.x0, r.x0), 0e0) * greatest(least(b.y1, r.y1) - greatest(b.y0, r.y0), 0e0)
-        > 0.6e0 * (greatest(b.x1 - b.x0, 0e0) * greatest(b.y1 - b.y0, 0e0))) AND id % 5 <> 0""",
+        > 0.6e0 * (greatest(b.x1 - b.x0, 0e0) * greatest(b.y1 - b.y0, 0e0)))""",
 )
 def _(spark, d):
     b = views.boxes(spark, d)
-    return spatial.covered_by(b.filter("id % 5 <> 0"), b.filter("id % 5 = 0"), ["page"]).select("page", "id")
+    return spatial.covered_by(b, b, ["page"], but="id").select("page", "id")
 
 
 @query(

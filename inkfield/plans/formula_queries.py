@@ -85,8 +85,7 @@ def _(spark, d):
 
 @query("c8_survey", f"{_BASE} SELECT count(*) AS equations, 1e0 AS glyph_recovery, 0 AS unknown FROM o")
 def _(spark, d):
-    pages = order_pages(spark, d)
-    return formulas.survey(formulas.nodes(pages, ["o_orderkey"]), pages, ["o_orderkey"]).select("equations", "glyph_recovery", "unknown")
+    return formulas.survey(formulas.extract(order_pages(spark, d), ["o_orderkey"], [])).select("equations", "glyph_recovery", "unknown")
 
 
 @query("c7_roundtrip", "SELECT 'exact' AS verdict, count(*) AS n FROM orders")

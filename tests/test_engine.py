@@ -82,7 +82,7 @@ def test_pack_extract_explain_survey(spark):
     packed = formulas.pack(glyphs, rules, ["case_id"])
     assert {(r.case_id, r.signature) for r in formulas.extract(packed, ["case_id"], ["signature"]).collect()} == {(r.case_id, r.expected) for r in cases.collect()}
     nodes = formulas.nodes(packed, ["case_id"])
-    s = formulas.survey(nodes, packed, ["case_id"]).first()
+    s = formulas.survey(formulas.extract(packed, ["case_id"], [])).first()
     assert s.equations == 17 and s.glyph_recovery == 1.0 and s.unknown == 0
     assert formulas.explain(nodes, ["case_id"], 0.5).count() == 0
     assert {r.verdict for r in formulas.roundtrip(packed, ["case_id"]).collect()} == {"exact"}
@@ -102,7 +102,7 @@ def test_pack_carries_characters_of_the_file(spark):
 
 def test_recovery_leaves_out_unsolved_regions(spark):
     df = spark.createDataFrame([(1, [(0, "CMMI10", 120, 10.0, None, 0.0)], []), (2, [(0, "CMMI10", 120, 10.0, 0.0, 0.0)], [])], f"k int, {formulas.PACKED}")
-    s = formulas.survey(formulas.nodes(df, ["k"]), df, ["k"]).first()
+    s = formulas.survey(formulas.extract(df, ["k"], [])).first()
     assert (s.equations, s.glyphs, s.glyphs_in_tree, s.glyph_recovery, s.unknown) == (2, 2, 1, 0.5, 1)
 
 
