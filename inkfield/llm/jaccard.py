@@ -48,7 +48,7 @@ LEADERS = 8
 #: Sets that a task remembers, so that copies in one partition are indexed once.
 SEEN = 200_000
 #: Tokens that a task holds to find those in many of its sets, and the groups that such a token is dealt over.
-INDEX_ROWS, SALTS = 1 << 20, 64
+INDEX_ROWS, INDEX_BATCH, SALTS = 1 << 18, 1 << 16, 64
 #: Seed of the name that proves the others.
 PROOF = 1 << 40
 ORDER_B, ORDER_C = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4C2B2AE35)
@@ -157,23 +157,26 @@ def index_rows(docs: DataFrame, words: int, percent: int, seed: int) -> DataFram
         seen: set[int] = set()
         tokens, names, held = [], [], 0
 
-        def out():
-            t, s = np.concatenate(tokens), np.concatenate(names)
+        def out() -> Iterator[pa.RecordBatch]:
+            t, s = np.concatenate(tokens).view(np.int64), np.concatenate(names)
             order = np.lexsort((s, t))
-            t, s = t[order], s[order]
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-            t, s = t[new], s[new]
-            head = np.ones(len(t), bool)
-            head[1:] = t[1:] != t[:-1]
-            many = np.diff(np.append(np.flatnonzero(head), len(t)))[np.cumsum(head) - 1] > HOT
-            salt = np.where(many, 1 + (mix(s.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32), 0).astype(np.int32)
-            hot = np.flatnonzero(many)
-            _, first = np.unique(np.stack([t[hot].view(np.int64), salt[hot].astype(np.int64)]), axis=1, return_index=True)
-            more = hot[first]
-            again = np.concatenate([np.zeros(len(t), bool), np.ones(len(more), bool)])
-            cols = (np.append(t, t[more]).view(np.int64), np.append(salt, np.zeros(len(more), np.int32)), np.append(s, s[more]), again)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "salt", "sid", "again"])
+            x, y = t[order], s[order]
+            head = np.ones(len(x), bool)
+            head[1:] = x[1:] != x[:-1]
+            at = np.flatnonzero(head)
+            hot = np.flatnonzero(np.repeat((size := np.diff(np.append(at, len(x)))) > HOT, size))
+            salt = np.zeros(len(t), np.int32)
+            if len(hot):
+                x, y = x[hot], y[hot]
+                group = (1 + SALTS // 2 + (y >> 65 - SALTS.bit_length())).astype(np.int32)  # ascending, as y is
+                salt[order[hot]] = group
+                first = np.ones(len(x), bool)
+                first[1:] = (x[1:] != x[:-1]) | (group[1:] != group[:-1])
+                x, y = x[first], y[first]
+                yield _index_batch(x, np.zeros(len(x), np.int32), y, np.ones(len(x), bool))
+            for k in range(0, len(t), INDEX_BATCH):  # in the order of sets, which packs better than that of tokens
+                part = slice(k, k + INDEX_BATCH)
+                yield _index_batch(t[part], salt[part], s[part], np.zeros(len(t[part]), bool))
 
         for b in text_slices(batches, "text"):
             for s in shingle_sets(b.column("text"), words):
@@ -187,14 +190,18 @@ def index_rows(docs: DataFrame, words: int, percent: int, seed: int) -> DataFram
                     names.append(np.full(r, name, np.int64))
                     held += r
                     if held >= INDEX_ROWS:
-                        yield out()
+                        yield from out()
                         tokens, names, held = [], [], 0
         if held:
-            yield out()
+            yield from out()
 
     return docs.select("text").mapInArrow(task, "token long, salt int, sid long, again boolean")
 
 
+def _index_batch(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "salt", "sid", "again"])
+
+
 def full_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
     """sid, tokens (8 bytes each, ascending) and prints (16 bits of each token, ascending) of documents."""
 

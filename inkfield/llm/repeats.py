@@ -42,7 +42,7 @@ LENGTH, GRAM = 200, 64
 MEMBERS = 2048
 SEEN = 200_000
 #: Anchors that a task holds to find the grams at more than HOT places, and the groups that such a gram is dealt over.
-ANCHOR_ROWS, HOT, SALTS = 1 << 20, 64, 1024
+ANCHOR_ROWS, HOT, SALTS = 1 << 19, 64, 1024
 
 
 # ---------------------------------------------------------------- anchors
