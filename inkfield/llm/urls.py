@@ -5,6 +5,7 @@ urls joined by canonical links, meta refreshes and og:url, and spellings of one
 port, fragment, empty path). Aliases form distributed connected components. A component with a blocked
 member blocks its undecided members, unless it has a member that a rule allows explicitly: an explicit
 allow takes precedence, on the url itself and among its aliases. Without any evidence a url is allowed.
+Addresses are named by 64-bit hashes, proven to stand for one address each.
 
 Null urls and urls without :// have an empty host and path and no aliases; null html has no links;
 repeated rows are judged alike; empty tables give empty tables; other columns are ignored.
@@ -17,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import materialise
+from inkfield.llm.common import materialise, quoted
 from inkfield.llm.components import components
 
 #: (verdict, host, path) of the query's contract.
@@ -52,8 +53,10 @@ def match(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RU
 
 
 def links(url: Column, html: Column) -> Column:
-    """Absolute targets that a page's head names as another address of itself."""
-    head = F.regexp_replace(F.substring_index(html, "</head>", 1), r"(?s)<!--.*?-->", "")
+    """Absolute targets that a page's head names as another address of itself. The head ends at its end tag or, where
+    tags are left out, at the first element that no head holds; comments, scripts, styles and titles hold no tags."""
+    plain = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", ""), r"(?is)<(script|style|title)\b.*?(?:</\1\s*>|\z)", "")
+    head = F.regexp_replace(plain, r"(?is)(?:</head\b|<(?!(?:html|head|meta|link|base|noscript|template)\b)[a-z]).*", "")
     tags = F.regexp_extract_all(head, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
 
     def target(tag: Column) -> Column:
@@ -83,19 +86,25 @@ def links(url: Column, html: Column) -> Column:
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
-    u = F.col(url)
+    u = F.col(quoted(url))
     host, path = host_of(u), path_of(u)
     rule, own = match(host, path, rules)
     thin = materialise(
         pages.select(
-            F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), rule.alias("rule"), own.alias("own"),
-            F.xxhash64(address(u)).alias("node"), (host != "").alias("named"), links(u, F.col(html)).alias("links"),
+            F.col(quoted(page_id)).alias("page_id"), host.alias("host"), path.alias("path"), rule.alias("rule"), own.alias("own"),
+            address(u).alias("address"), (host != "").alias("named"), links(u, F.col(quoted(html))).alias("links"),
         ),
         "urls",
-    )
-    ends = thin.filter("named").select("node", F.explode("links").alias("link"))
-    ends = ends.withColumn("other", F.xxhash64(address(F.col("link")))).filter(address(F.col("link")).isNotNull())
-    edges = materialise(ends.distinct(), "links")
+    )
+    ends = thin.filter("named").select("address", F.explode("links").alias("link")).withColumn("target", address(F.col("link")))
+    ends = materialise(ends.filter("target is not null").distinct(), "links")
+    every = thin.filter("named").select("address").unionByName(ends.select(F.col("target").alias("address"))).distinct()
+    seed = 0
+    while not every.groupBy(F.xxhash64(F.lit(seed), "address").alias("node")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        seed += 1  # a name stood for two addresses: others are drawn
+    name = lambda c: F.xxhash64(F.lit(seed), F.col(c))
+    thin = thin.withColumn("node", name("address"))
+    edges = ends.select(name("address").alias("node"), name("target").alias("other"), "link")
     group = components(edges, "node", "other")
     # what rules say of every address, pages' and targets'
     _, of_target = match(host_of(F.col("link")), path_of(F.col("link")), rules)
@@ -105,7 +114,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, page_
     blocked = members.filter("block and not allow").select("class")
     in_group = blocked.join(group, blocked["class"] == group["component"]).select("node")
     bad = in_group.unionByName(blocked.select(F.col("class").alias("node"))).distinct().withColumn("bad", F.lit(True))
-    undecided = thin.filter("own is null").drop("links", "own").join(bad, "node", "left")
+    undecided = thin.filter("own is null").select("page_id", "host", "path", "rule", "named", "node").join(bad, "node", "left")
     decided = thin.filter("own is not null").select("page_id", "host", "path", "rule", F.col("own").alias("verdict"))
     return decided.unionByName(
         undecided.select("page_id", "host", "path", "rule", F.when(F.col("bad") & F.col("named"), "block").otherwise("allow").alias("verdict"))

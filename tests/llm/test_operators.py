@@ -3,15 +3,17 @@ tables and extra columns."""
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from inkfield.llm import components, exact, html_cut, jaccard, mixing, packing, quality, repeats, sharding, toxicity, urls
+from inkfield.llm import components, exact, html_cut, jaccard, mixing, packing, quality, queries, repeats, sharding, toxicity, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -667,3 +669,50 @@ def test_pipeline_decisions(spark, tmp_path):
     assert set(ids[2]) == (set(ids[1]) - {0, 1, 2, 3, 4}) and len(ids[3]) == 40
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(ids[4])
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    duck = duckdb.connect()
+    for f in os.listdir(DATA):
+        duck.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA}/{f}'")
+    got, want = queries.QUERIES[name](spark, DATA).toArrow(), duck.sql(queries.ORACLE_SQL[name]).to_arrow_table()
+    assert sorted(got.column_names) == sorted(want.column_names)
+    assert sorted(str(sorted(r.items())) for r in got.to_pylist()) == sorted(str(sorted(r.items())) for r in want.to_pylist())
+
+
+@pytest.mark.parametrize(
+    "html, linked",
+    [
+        ('<HTML><HEAD><LINK REL="canonical" HREF="http://x.net/a"></HEAD><body>', True), ('<link rel=canonical href="http://x.net/a"><p>text', True), ('<body><link rel=canonical href="http://x.net/a">', False),
+        ('<p>text<link rel=canonical href="http://x.net/a">', False), ('<script>var a = "<p>";</script><title>a <b> b</title><link rel=canonical href="http://x.net/a">', True),
+        ('<!-- </head> --><link rel=canonical href="http://x.net/a">', True), ('<!-- <link rel=canonical href="http://x.net/a"> -->', False), ('<title><link rel=canonical href="http://x.net/a"></title>', False), (None, False),
+    ],
+)
+def test_links_of_a_head(spark, html, linked):
+    got = urls.judge(spark.createDataFrame([(1, "http://a.com/", html, 0, 0)], "page_id long, url string, html string, node int, own int"))
+    assert got.first().verdict == ("block" if linked else "allow")
+
+
+def test_repeat_groups_have_all_occurrences(spark):
+    rng = random.Random(41)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b = text(230), text(260)
+    rows = [(k, text(rng.randint(5, 40)) + x + text(rng.randint(5, 40))) for k, x in enumerate([a, a, a, b, b, a + b[:1], text(300)])] + [(50, "copy " * 60), (51, "copy " * 60)]
+    got = repeats.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    raw = {i: t.encode() for i, t in rows}
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r.group, r.n_bytes].add((r.doc_id, r.start))
+    for (name, n), places in by.items():
+        strings = {raw[i][s : s + n] for i, s in places}
+        assert len(strings) == 1 and hashlib.sha256(next(iter(strings))).hexdigest() == name and n >= 200
+        s = next(iter(strings))
+        if not s.startswith(b"copy") and b"copy copy" not in s:
+            assert places == {(i, k) for i, t in raw.items() for k in range(len(t) - n + 1) if t[k : k + n] == s}
+    ids = [{i for i, _ in places} for places in by.values()]
+    assert {0, 1, 2, 5} in ids and {3, 4} in ids and {50, 51} in ids
