@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -59,6 +60,29 @@ def signature(n: Node) -> str:
     return f"({n.kind}{head} {' '.join(kids)})"
 
 
+#: What a node of a kind says of itself in JSON, beside its kind, text and children.
+PAYLOAD = {
+    "Identifier": ("variant",), "Operator": ("atom",), "LargeOperator": ("display",), "Unknown": ("font", "reason"), "Space": ("width_em",), "Delimited": ("open", "close", "stretchy"),
+    "Accent": ("accent",), "UnderOver": ("has_under", "has_over"), "Fraction": ("thickness",),
+}
+
+
+def to_json(n: Node, places: bool = False) -> str:
+    """The tree as nested JSON: kind, text of leaves, the payload of its kind and children; with places also glyphs, rules,
+    box, confidence, rule and residual. Numbers are rounded to six places."""
+
+    def plain(v):
+        return round(v, 6) if isinstance(v, float) else list(v) if isinstance(v, tuple) else v
+
+    def node(x: Node) -> dict:
+        out = {"kind": x.kind} | ({"text": x.text} if x.text else {}) | {c: plain(getattr(x, c)) for c in PAYLOAD.get(x.kind, ())}
+        if places:
+            out |= {"glyph_ids": list(x.glyph_ids), "rule_ids": list(x.rule_ids), "box": [round(v, 6) for v in x.box] if x.box else None, "confidence": plain(x.confidence), "rule": x.rule, "residual": plain(x.residual)}
+        return out | ({"children": [node(k) for k in x.kids]} if x.kids else {})
+
+    return json.dumps(node(n), ensure_ascii=False, separators=(",", ":"))
+
+
 def flatten(n: Node) -> list[dict]:
     """Rows of the node table in pre-order: node_id, parent_id, ord, depth and payload."""
     out: list[dict] = []

@@ -30,7 +30,7 @@ NODE = (
 )
 FORMATS = {
     "mathml": lambda n: writers.to_mathml(n), "latex": lambda n: writers.to_latex(n).text, "asciimath": lambda n: writers.to_asciimath(n).text, "omml": lambda n: writers.to_omml(n).text,
-    "wordperfect": lambda n: writers.to_wordperfect(n).text, "label_graph": writers.to_label_graph, "speech_mathml": writers.speech_mathml, "signature": tree.signature,
+    "wordperfect": lambda n: writers.to_wordperfect(n).text, "label_graph": writers.to_label_graph, "speech_mathml": writers.speech_mathml, "signature": tree.signature, "json": tree.to_json,
 }
 
 
