@@ -11,7 +11,7 @@ import zlib
 from collections.abc import Iterator
 from math import hypot
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PT = 72.27 / 72
@@ -307,12 +307,31 @@ def read_pages(data: bytes, page_numbers: list[int] | None = None) -> Iterator[t
         yield k, float(box[2] - box[0]) * PT, float(box[3] - box[1]) * PT, glyphs, rules, warnings
 
 
-def scan(spark: SparkSession, path: str, page_numbers: list[int] | None = None) -> DataFrame:
-    """doc_id (the path) and PAGE for every page under a path or glob."""
+def pages_of(files: DataFrame, page_numbers: list[int] | None = None) -> DataFrame:
+    """doc_id and PAGE for every page of files in a table (doc_id, content). page_numbers: other pages are not interpreted."""
     from inkfield.operators.formulas import _map
 
+    return _map(files.select("doc_id", "content"), ["doc_id"], PAGE, lambda r: map(list, read_pages(r["content"], page_numbers)))
+
+
+def scan(spark: SparkSession, path: str, page_numbers: list[int] | None = None) -> DataFrame:
+    """doc_id (the path) and PAGE for every page under a path or glob."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), "content")
-    return _map(files, ["doc_id"], PAGE, lambda r: map(list, read_pages(r["content"], page_numbers)))
+    return pages_of(files, page_numbers)
+
+
+def one_page(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """The page of that number of a file; IndexError if there is none."""
+    page = scan(spark, path, [number]).filter(F.col("page") == number)
+    if page.isEmpty():
+        raise IndexError(f"no page {number} in {path}")
+    return page
+
+
+def unicode_of(given: Column, named: Column) -> tuple[Column, Column]:
+    """(source, text) of a glyph: what the file says of it, else its name in the font's encoding."""
+    source = F.when(given.isNotNull() & (given != ""), "file").when(named.isNotNull(), "font").otherwise("none")
+    return source, F.when(source == "file", given).when(source == "font", named)
 
 
 def glyphs(pages: DataFrame) -> DataFrame:

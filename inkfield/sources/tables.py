@@ -125,6 +125,11 @@ def metrics(files: DataFrame) -> DataFrame:
     return _map(files.select("font", "content"), ["font"], METRIC, lambda r: parse_tfm(r["content"])["chars"].values())
 
 
+def locate(asked: DataFrame, metric: DataFrame) -> DataFrame:
+    """asked (font, code, ...) with METRIC where the font is known, nulls where it is not."""
+    return asked.join(metric, ["font", "code"], "left")
+
+
 def charlists(metric: DataFrame, depth: int = 32) -> DataFrame:
     """font, code, next, step: the successor chains as relations, one join a step, ended by cycles and depth."""
     links = metric.filter("tag = 2").select("font", F.col("code").alias("at"), F.col("remainder").alias("next"))

@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from inkfield.core import suites
 from inkfield.functions import typography as ty
 from inkfield.operators import detection, formulas, spatial
-from inkfield.plans import catalog, formula_queries, more_queries  # noqa: F401
+from inkfield.plans import catalog, formula_queries, more_queries, source_queries  # noqa: F401
 from inkfield.sources import pdf, sinks, tables
 from inkfield.streaming import glyph_stream
 from tests.test_core import STREAM, small_pdf, small_tfm
@@ -164,7 +164,7 @@ def test_sources_and_sinks(spark, tmp_path):
     made = t.groupBy("identifier").agg(tables.one_per_page(F.col("latex")).alias("tex")).first().tex
     assert made.count("\\newpage") == 1 and made.index("a") < made.index("b")
     drawing = sinks.svg(pdf.glyphs(pages).withColumn("text", F.lit("<")), pdf.rules(pages), ["doc_id", "page"]).first().svg
-    assert drawing.count("<text") == 3 and drawing.count("<rect") == 1 and "&lt;" in drawing
+    assert drawing.count("<text") == 3 and drawing.count("<rect") == 2 and "&lt;" in drawing
     assert json.loads(sinks.json_rows(pdf.rules(pages)).first().value)["kind"] == "stroke"
     assert sinks.docx(["<m/>"])[:2] == b"PK"
 
