@@ -218,9 +218,62 @@ def random_expression(rng: random.Random, depth: int = 3) -> tuple:
     return go(depth, False)
 
 
-def random_suite(seed: int, n: int, depth: int = 3) -> list[tuple]:
+#: What the wide suite draws from.
+GREEK, BINARIES, RELATIONS, MARKS = "αβγδθλμπρστψω", "+−×·±", "=≤≥<>∈⊂→≈", ",;"
+
+
+def wide_expression(rng: random.Random, depth: int = 3) -> tuple:
+    """Of everything the typesetter sets: Greek letters, operators of all classes, punctuation, thin spaces, indices of
+    roots, limits of every shape, all fences, accents, grids, and structures as bases of scripts. What one page cannot tell
+    apart is left out: rows as bases, two numbers in a row, grids of one row."""
+
+    def leaf() -> tuple:
+        r = rng.random()
+        return num(str(rng.randint(0, 99))) if r < 0.25 else ident(rng.choice(GREEK if r < 0.4 else "abcdefghkmnpqrstuvwxyzABCDFGKLMNPQRSTXYZ"))
+
+    def row(d: int) -> tuple:
+        parts = [go(d - 1)]
+        for _ in range(rng.randint(1, 3)):
+            r = rng.random()
+            if r < 0.9:
+                parts.append(op(rng.choice(BINARIES if r < 0.45 else RELATIONS if r < 0.78 else MARKS)))
+            elif r < 0.95:
+                parts.append(_thin)
+            x = go(d - 1)
+            parts.append(x if x[0] != "num" or parts[-1][0] != "num" else ident("x"))
+        return seq(*[y for p in parts for y in (p[1:] if p[0] == "seq" else [p])])
+
+    def base(d: int) -> tuple:
+        x = go(d - 1)
+        return x if x[0] not in ("seq", "bigop", "sup", "sub", "subsup") else leaf()
+
+    def limits(d: int) -> tuple:
+        lower = go(d - 2) if rng.random() < 0.8 else None
+        upper = go(d - 2) if rng.random() < 0.6 else None
+        return ("bigop", rng.choice(sorted(OPERATOR_TEX)), lower, upper, go(d - 1) if rng.random() < 0.8 else None)
+
+    def grid(d: int) -> tuple:
+        n, m = rng.randint(2, 3), rng.randint(1, 3)
+        return ("mat", rng.choice(sorted(ENVIRONMENTS)), tuple(tuple(go(d - 2) for _ in range(m)) for _ in range(n)))
+
+    makes = {
+        "row": (30, row), "frac": (12, lambda d: ("frac", go(d - 1), go(d - 1))), "sup": (10, lambda d: ("sup", base(d), go(d - 1))), "sub": (9, lambda d: ("sub", base(d), go(d - 1))),
+        "subsup": (5, lambda d: ("subsup", base(d), go(d - 1), go(d - 1))), "sqrt": (6, lambda d: ("sqrt", go(d - 1), *([leaf()] if rng.random() < 0.25 else []))),
+        "delim": (7, lambda d: ("delim", rng.choice(sorted(DELIMS)), go(d - 1), rng.random() < 0.75)), "bigop": (6, limits), "acc": (4, lambda d: ("acc", rng.choice(sorted(ACCENT_SLOT)), leaf())),
+        "over": (2, lambda d: ("over", go(d - 1))), "grid": (4, grid),
+    }
+
+    def go(d: int) -> tuple:
+        if d <= 0 or rng.random() < 0.3 + 0.2 * (depth - d):
+            return leaf()
+        return rng.choices([m for _, m in makes.values()], [w for w, _ in makes.values()])[0](d)
+
+    return go(depth)
+
+
+def random_suite(seed: int, n: int, depth: int = 3, wide: bool = False) -> list[tuple]:
     rng = random.Random(seed)
-    return [random_expression(rng, depth) for _ in range(n)]
+    return [(wide_expression if wide else random_expression)(rng, depth) for _ in range(n)]
 
 
 # ---------------------------------------------------------------- shrinking

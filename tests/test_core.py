@@ -45,6 +45,22 @@ def test_random_suite(seed):
     assert exact >= 288
 
 
+@pytest.mark.parametrize("seed", [7, 11, 23])
+def test_wide_random_suite(seed):
+    exact = 0
+    for e in suites.random_suite(seed, 300, wide=True):
+        glyphs, rules = page(e)
+        t = decompile(glyphs, rules)
+        assert {g["glyph_id"] for g in glyphs} == {i for n in t.walk() for i in n.glyph_ids}
+        exact += tree.signature(t) == suites.expected(e)
+    assert exact >= 285
+
+
+def test_digits_are_one_number_below_accents_and_scripts():
+    for e in (("acc", r"\hat", ("num", "42")), ("sup", ("num", "42"), ("id", "x")), ("bigop", r"\bigcap", None, ("id", "N"), None), ("mat", "matrix", ((("id", "a"),), (("id", "b"),)))):
+        assert tree.signature(decompile(*page(e))) == suites.expected(e)
+
+
 @pytest.mark.parametrize(
     "font, code, text, kind, variant, latex",
     [
