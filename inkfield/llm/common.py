@@ -26,12 +26,16 @@ SLICE_BYTES = 1 << 19
 # ---------------------------------------------------------------- scratch tables
 
 
+def _local(spark: SparkSession) -> bool:
+    return bool(re.match(r"local(\[|$)", spark.sparkContext.master))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a local one where the master is local."""
     d = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+    if not _local(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return "file:///tmp/checkpoints/inkfield"
 
@@ -45,14 +49,25 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, clean: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: cuts lineage, and survives lost
-    executors because the files have no owner. Deleted when the driver ends."""
+    executors because the files have no owner. Deleted by release(), or when the driver ends. clean: the driver of a
+    cluster collects its garbage then, upon which Spark drops the shuffle files that only led to this table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if clean and not _local(spark):
+        spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path  # type: ignore[attr-defined]
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._scratch)  # type: ignore[attr-defined]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

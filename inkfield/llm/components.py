@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import materialise, small_batches
+from inkfield.llm.common import materialise, release, small_batches
 
 #: Edges that one task joins: 16 bytes each.
 LOCAL_EDGES = 200_000
@@ -55,14 +55,16 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     small_batches(e.sparkSession, 10_000)
     while state[0]:
         if state[0] <= LOCAL_EDGES:
-            e = materialise(e.coalesce(1).mapInArrow(_local, "u long, v long"), "edges")
+            last, e = e, materialise(e.coalesce(1).mapInArrow(_local, "u long, v long"), "edges")
+            release(last)
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
-        e = materialise(small.select("e.u", "e.v").filter("u != v").distinct(), "edges")
+        last, e = e, materialise(small.select("e.u", "e.v").filter("u != v").distinct(), "edges")
+        release(last)
         new = _state(e)
         if new == state:
             break

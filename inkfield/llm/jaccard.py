@@ -14,8 +14,8 @@ independent hash permutations, and each is used with l = a quarter of its prefix
 Verified links make components. A second round tests what the leaders left open: pairs of one run that are
 still in different components. Tokens in more than HOT sets are not paired at all: sets that share no rarer token share l
 hot ones, so a prefix filter over their hot tokens, rarest first, connects them to families. A family is compared in
-blocks of bounded size, first with some of its sets in every block, round by round while that halves the sets outside
-its largest component, and then these with all. In a block, too, a pair must pass orders B and C before its sets are
+blocks of bounded size: where many sets are outside its largest component, first with some of its sets in every block,
+round by round while that halves them; and then these with all. In a block, too, a pair must pass orders B and C before its sets are
 intersected. Nothing is capped: every pair that could link is tested or already connected. The blocks of a family grow
 with the product of its size and the number of its sets outside its largest component.
 
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import LOWER, buffers, join_counted, materialise, mix, prefix_hash, quoted, sieve, small_batches, span_hash, text_slices, whole_row, word_spans
+from inkfield.llm.common import LOWER, buffers, join_counted, materialise, mix, prefix_hash, quoted, release, sieve, small_batches, span_hash, text_slices, whole_row, word_spans
 from inkfield.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -45,6 +45,8 @@ WORDS, PERCENT = 5, 80
 HOT, BLOCK = 64, 256
 #: Sets of a family that stand in each of its blocks at first.
 LEADERS = 8
+#: Sets outside the largest component of a family, in blocks and on the mean of sets, that meet all others at once.
+FEW = 4
 #: Sets that a task remembers, so that copies in one partition are indexed once.
 SEEN = 200_000
 #: Tokens that a task holds to find those in many of its sets, and the groups that such a token is dealt over.
@@ -252,24 +254,32 @@ def shared_rows(index: DataFrame) -> DataFrame:
     return index.repartition("token", "salt").sortWithinPartitions("token", "salt", "sid", "again").mapInArrow(task, "token long, sid long, leader long, again boolean")
 
 
-def by_orders(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes, B-regions and C-regions all allow a link. sets: sid, n, fb, fc."""
+def by_order(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and regions under one order allow a link. prints: sid, n, fp."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
             least = [share(min(n, m), percent) for n, m in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist())]
-            for order in ("b", "c"):
-                x, y = batch.column(f"f{order}_a"), batch.column(f"f{order}_b")
-                for k in np.flatnonzero(keep).tolist():
-                    keep[k] = common(np.frombuffer(x[k].as_buffer(), "<u2"), np.frombuffer(y[k].as_buffer(), "<u2")) >= least[k]
+            both = zip(batch.column("fa"), batch.column("fb"), least)
+            keep = [common(np.frombuffer(x.as_buffer(), "<u2"), np.frombuffer(y.as_buffer(), "<u2")) >= k for x, y, k in both]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("fb").alias(f"fb_{x}"), F.col("fc").alias(f"fc_{x}")) for x in ("a", "b"))
+    left, right = (prints.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("fp").alias(f"f{x}")) for x in ("a", "b"))
     sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     return pairs.join(right, "b").join(left, "a").filter(sized).mapInArrow(task, "a long, b long")
 
 
+def by_orders(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that orders B and C both allow; only the fingerprints of sets in pairs move, those of order C for what
+    order B leaves. documents: sid, n, fb, fc."""
+    for order in ("fb", "fc"):
+        sids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "pair-sets")
+        prints = sieve(documents.select("sid", "n", F.col(order).alias("fp")), F.col("sid"), sids).join(sids, "sid", "left_semi").dropDuplicates(["sid"])
+        pairs = materialise(by_order(pairs, prints, percent), "filtered", clean=True)
+        release(sids)
+    return pairs
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that link. sets: sid, tokens, prints. The prints of whole sets bound the intersection from above
     at a quarter of the bytes; tokens are fetched for what is left."""
@@ -290,7 +300,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         left = sets.select(F.col("sid").alias("a"), F.col(column).alias("ta"))
         right = sets.select(F.col("sid").alias("b"), F.col(column).alias("tb"))
         pairs = pairs.join(right, "b").join(left, "a").mapInArrow(by(kind), "a long, b long")
-        pairs = materialise(pairs, "bounded") if column == "prints" else pairs
+        pairs = materialise(pairs, "bounded", clean=True) if column == "prints" else pairs
     return pairs
 
 
@@ -465,20 +475,27 @@ def classes_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     """(documents, classes): doc_id, key, n, sid of every document; and for each set that isn't empty sid, rep (its least
     doc_id) and c, which sets that links join have in common. docs: doc_id, key (passed through), text."""
     documents, seed = named(docs, words, percent)
-    classes = documents.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fb").alias("fb"), F.first("fc").alias("fc"))
-    shared = materialise(shared_rows(index_rows(docs, words, percent, seed)), "shared")
+    classes = documents.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    shared = materialise(shared_rows(index_rows(docs, words, percent, seed)), "shared", clean=True)
     paired = materialise(shared.select(F.col("leader").alias("a"), F.col("sid").alias("b")).filter("a != b").distinct(), "pairs")
     touched = materialise(shared.select("sid").distinct().join(classes, "sid"), "touched")
-    tried = materialise(by_orders(paired, touched, percent), "filtered")
+    tried = by_orders(paired, documents, percent)
+    release(paired)
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         # one document of each class brings the text; a null doc_id cannot be looked up, so it is matched null-safely
         sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         ids = materialise(sids.join(touched.select("sid", "rep"), "sid").select("rep"), "reps")
         some = sieve(docs, F.col("doc_id"), ids).join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-        return materialise(full_sets(some, words, seed).dropDuplicates(["sid"]), "sets")
+        return materialise(full_sets(some, words, seed).dropDuplicates(["sid"]), "sets", clean=True)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        sets = sets_of(pairs)
+        out = materialise(verified(pairs, sets, percent), "links")
+        release(pairs, sets)
+        return out
 
-    links = materialise(verified(tried, sets_of(tried), percent), "links")
+    links = linked(tried)
     group = materialise(components(links, "a", "b").withColumnRenamed("node", "sid"), "groups")
     once = shared.filter("not again").drop("again")
     lengths = materialise(once.groupBy("token").agg(F.count(F.lit(1)).alias("length")).filter("length > 2"), "lengths")
@@ -486,21 +503,24 @@ def classes_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     hot = materialise(join_counted(once.select("token", "sid"), lengths.filter(F.col("length") > HOT), ["token"], "length", total), "hot-tokens")
     in_hot = hot.groupBy("sid").agg(F.count(F.lit(1)).alias("k"))
     rest = open_pairs(once.join(lengths.filter(F.col("length") <= HOT).select("token"), "token"), group, touched, in_hot, percent)
-    tried = materialise(by_orders(rest, touched, percent), "filtered")
+    rest = materialise(rest, "open-pairs", clean=True)
+    tried = by_orders(rest, documents, percent)
+    release(rest)
     found = links
     if not tried.isEmpty():
-        found = found.unionByName(materialise(verified(tried, sets_of(tried), percent), "links"))
+        found = found.unionByName(linked(tried))
         group = materialise(components(found, "a", "b").withColumnRenamed("node", "sid"), "groups")
     if not hot.isEmpty():
         family = materialise(families(materialise(hot_rows(hot, touched, percent), "hot"), touched, percent), "families")
         sets, turn, before = None, 0, None
         while turn is not None:
             apart = materialise(in_components(family, group), "apart")
-            outside = apart.agg(F.sum(F.col("minor").cast("long"))).first()[0]
+            outside, each = apart.agg(F.sum(F.col("minor").cast("long")), F.avg("minor_m")).first()
             if not outside:
                 break
             sets = sets or sets_of(apart.select(F.col("sid").alias("a"), F.col("sid").alias("b")).distinct())
-            if turn and 2 * outside > before:
+            # all pairs cost no more than some rounds of leaders, or leaders don't help any more
+            if each <= FEW * BLOCK or (turn and 2 * outside > before):
                 blocks, turn = last_blocks(apart), None
             else:
                 blocks, turn, before = first_blocks(apart, turn), turn + 1, outside

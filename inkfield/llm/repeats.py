@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import buffers, join_counted, materialise, mix, prefix_hash, quoted, sieve, small_batches, span_hash, text_slices
+from inkfield.llm.common import buffers, join_counted, materialise, mix, prefix_hash, quoted, release, sieve, small_batches, span_hash, text_slices
 
 LENGTH, GRAM = 200, 64
 #: Suffixes of one group that a task holds.
@@ -288,24 +288,27 @@ def levels(groups: DataFrame, length: int) -> Iterator[tuple[DataFrame, DataFram
     """(level, kinds, small): rows with `all`, what the strings of a row's places cover together, or its own place where
     the context is too short; the number m of rows of each gkey and all; and one row of each kind of the groups of bounded
     size. What the others hold comes again in the next level, split by where strings lie."""
-    level = groups.withColumn("gkey", F.col("gkey").cast("string").cast("binary"))
+    level, before = groups.withColumn("gkey", F.col("gkey").cast("string").cast("binary")), ()
     while True:
         # rows that agree on all that their strings cover are covered by each other
         whole = (F.col("nl") >= F.col("hi")) & (F.length("ctx") - F.col("nl") >= length - F.col("lo"))
         place = F.concat_ws(":", F.lpad(F.col("tid").cast("string"), 20, " "), F.lpad(F.col("pos").cast("string"), 20, " ")).cast("binary")  # 41 bytes, a digest has 32
         content = F.when(whole, F.unhex(F.sha2(_piece(F.col("hi"), length - F.col("lo")), 256))).otherwise(place)
-        level = materialise(level.withColumns({"all": content, "whole": whole}), "suffixes")
+        level = materialise(level.withColumns({"all": content, "whole": whole}), "suffixes", clean=True)
         kinds = materialise(level.groupBy("gkey", "all").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("tid", "pos")).alias("rep")), "suffix-kinds")
         sizes = materialise(kinds.groupBy("gkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-groups")
         total, most = sizes.agg(F.sum("n"), F.max("n")).first()
         # one row stands for all of its kind from here on
         reps = join_counted(kinds.select("gkey", "all", "rep.tid", "rep.pos"), sizes, ["gkey"], "n", total or 0)
         kept = level.drop("whole").join(reps, ["tid", "pos", "gkey", "all"])
+        if before:  # this level is written
+            release(*before)
         if (most or 0) <= MEMBERS:
             yield level, kinds, kept
             return
-        kept = materialise(kept, "suffix-reps")
+        kept = materialise(kept, "suffix-reps", clean=True)
         yield level, kinds, kept.filter(F.col("n") <= MEMBERS)
+        before = level, kinds, sizes, kept
         hot = kept.filter(F.col("n") > MEMBERS).filter("lo < hi")
         mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
         halves = F.array(F.struct(F.col("lo").alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi").alias("hi")))
@@ -377,10 +380,10 @@ def named(docs: DataFrame, length: int, doc_id: str | None, text: str) -> tuple[
 def shared_texts(docs: DataFrame, seed: int, length: int, gram: int, text: str) -> tuple[DataFrame, DataFrame]:
     """(texts, groups): the distinct texts with an anchor that occurs again, tid and text; and the contexts of these."""
     filled = docs.select(F.col(quoted(text)).alias("text")).filter(F.octet_length("text") >= length).select(F.xxhash64(F.lit(seed), F.col("text")).alias("tid"), "text")
-    found = materialise(shared_anchors(anchor_rows(filled, length, gram)), "anchors")
+    found = materialise(shared_anchors(anchor_rows(filled, length, gram)), "anchors", clean=True)
     tids = found.select("tid").distinct()
     texts = sieve(filled, F.col("tid"), tids).join(tids, "tid", "left_semi").dropDuplicates(["tid"])
-    texts = materialise(texts, "texts")
+    texts = materialise(texts, "texts", clean=True)
     return texts, contexts(found, texts, length, gram)
 
 

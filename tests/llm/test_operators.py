@@ -106,7 +106,9 @@ def test_jaccard_components(docs, corpus):
     assert sorted(map(tuple, jaccard.jaccard_components(docs).collect()), key=str) == jaccard_truth(corpus)
 
 
-def test_jaccard_hot_tokens_and_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 4])
+def test_jaccard_hot_tokens_and_blocks(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard, "FEW", few)  # 0: rounds of leaders first
     monkeypatch.setattr(jaccard, "HOT", 3)
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     monkeypatch.setattr(jaccard, "LEADERS", 2)
