@@ -1,7 +1,7 @@
 """Trees as flat node tables: walks, depths, folds and edges without recursion in Python.
 
-A node table has keys of its tree, node_id, parent_id (null at the root) and payload. Depth is bounded by what
-formulas have, so each level is one join on the same key.
+A node table has keys of its tree, node_id, parent_id (null at the root) and payload. Each level is one join on the same
+key. The number of levels that is expected is planned ahead; deeper trees are followed as long as there are any.
 """
 
 from __future__ import annotations
@@ -11,17 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 64
-
-
 def with_depth(nodes: DataFrame, keys: Sequence[str], levels: int) -> DataFrame:
-    """Adds depth (root 0) and path (ids from the root) to the nodes of trees of at most `levels` levels."""
+    """Adds depth (root 0) and path (ids from the root) to all nodes below a root; levels: how many are expected."""
     roots = nodes.filter("parent_id is null").withColumns({"depth": F.lit(0), "path": F.array("node_id")})
     out = layer = roots
-    for k in range(1, levels):
+    k = 1
+    while k < levels or not layer.join(nodes.select(*keys, F.col("parent_id").alias("node_id")), [*keys, "node_id"], "left_semi").isEmpty():
         up = layer.select(*keys, F.col("node_id").alias("parent_id"), F.col("path").alias("up"))
         layer = nodes.join(up, [*keys, "parent_id"]).withColumns({"depth": F.lit(k), "path": F.concat("up", F.array("node_id"))}).drop("up").select(*roots.columns)
         out = out.unionByName(layer)
+        k += 1
     return out
 
 
@@ -35,8 +34,9 @@ def fold_up(nodes: DataFrame, keys: Sequence[str], leaf: Column, combine, order:
     """Values of all nodes from the bottom: leaf for nodes without children; combine(array of child values in
     order) above. One grouped join for each level, from the deepest."""
     d = with_depth(nodes, keys, levels)
+    deepest = d.agg(F.max("depth")).first()[0] or 0
     done = None
-    for k in range(levels - 1, -1, -1):
+    for k in range(deepest, -1, -1):
         here = d.filter(F.col("depth") == k)
         if done is None:
             value = here.withColumn(name, leaf)

@@ -130,19 +130,18 @@ def locate(asked: DataFrame, metric: DataFrame) -> DataFrame:
     return asked.join(metric, ["font", "code"], "left")
 
 
-def charlists(metric: DataFrame, depth: int = 32) -> DataFrame:
-    """font, code, next, step: the successor chains as relations, one join a step, ended by cycles and depth."""
+def charlists(metric: DataFrame) -> DataFrame:
+    """font, code, next, step: the successor chains as relations, one join a step, followed to their ends or into cycles."""
     links = metric.filter("tag = 2").select("font", F.col("code").alias("at"), F.col("remainder").alias("next"))
     out = layer = links.select("font", F.col("at").alias("code"), "next", F.lit(1).alias("step"), F.array("at", "next").alias("seen"))
-    for k in range(2, depth):
+    k = 1
+    while k < 4 or not layer.isEmpty():  # size chains of real fonts end by then
+        k += 1
         layer = (
             layer.join(links.withColumnRenamed("next", "more"), (layer["font"] == links["font"]) & (layer["next"] == links["at"]))
             .filter(~F.array_contains("seen", F.col("more"))).select(layer["font"], "code", F.col("more").alias("next"), F.lit(k).alias("step"), F.concat("seen", F.array("more")).alias("seen"))
         )
         out = out.unionByName(layer)
-        if k >= 4:  # size chains of real fonts end here; longer ones are followed only if there are any
-            if layer.isEmpty():
-                break
     return out.drop("seen")
 
 

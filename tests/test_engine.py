@@ -183,3 +183,28 @@ def test_streams(spark, tmp_path):
 def test_formula_views_do_not_carry_their_source(spark):
     if os.path.isdir(DATA):
         assert formula_queries.order_pages(spark, DATA).columns == ["o_orderkey", "glyphs", "rules"]
+
+
+def test_trees_and_chains_deeper_than_planned(spark):
+    from inkfield.operators import trees
+
+    n = spark.createDataFrame([(1, k, k - 1 if k else None, "Row") for k in range(7)], "t int, node_id int, parent_id int, kind string")
+    assert {r.node_id: r.depth for r in trees.with_depth(n, ["t"], 2).collect()} == {k: k for k in range(7)}
+    m = spark.createDataFrame([("f", k, 2, k + 1) for k in range(9)] + [("g", 1, 2, 2), ("g", 2, 2, 1)], "font string, code int, tag int, remainder int")
+    got = tables.charlists(m).collect()
+    assert max(r.step for r in got if r.font == "f") == 9 and sum(r.font == "f" for r in got) == 45 and sum(r.font == "g" for r in got) == 2
+
+
+def test_a_page_that_is_not_there(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(small_pdf(STREAM))
+    assert pdf.one_page(spark, f"{tmp_path}/a.pdf", 1).count() == 1
+    with pytest.raises(IndexError):
+        pdf.one_page(spark, f"{tmp_path}/a.pdf", 2)
+
+
+def test_equal_regions_are_read_once(spark):
+    x = json.dumps(["sup", ["id", "x"], ["num", "2"]])
+    rows = [(k, x) for k in range(50)]
+    got = formulas.extract(formulas.typeset(spark.createDataFrame(rows, "k int, expr string"), ["k"]), ["k"], ["latex", "json"]).collect()
+    assert sorted(r.k for r in got) == list(range(50)) and {r.latex for r in got} == {"x^{2}"}
+    assert json.loads(got[0].json)["children"][0]["kind"] == "Superscript"
