@@ -101,7 +101,7 @@ def _buckets(h: np.ndarray) -> np.ndarray:
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, value), sorted by row: shares of each group's grams, summed by bucket."""
+    """(row, bucket, value), sorted by row: the share of each group's grams in a bucket."""
     n, keys, values = len(texts), [], []
     for h, row in _groups(texts):
         total = np.bincount(row, minlength=n)

@@ -718,3 +718,106 @@ def test_repeat_groups_have_all_occurrences(spark):
             assert places == {(i, k) for i, t in raw.items() for k in range(len(t) - n + 1) if t[k : k + n] == s}
     ids = [{i for i, _ in places} for places in by.values()]
     assert {0, 1, 2, 5} in ids and {3, 4} in ids and {50, 51} in ids
+
+
+def plain_grams(text):
+    """The buckets of the quality classifier, one gram at a time: a list for each of its four groups."""
+    from inkfield.llm.common import mix, prefix_hash, span_hash
+    from inkfield.llm.ngrams import MULTIPLIER, gram
+
+    def word(w):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        return span_hash(prefix_hash(raw), np.array([0]), np.array([len(raw)]))
+
+    def chars(s, salt):
+        h = np.array([salt * 0x9E3779B97F4A7C15 % (1 << 64)], np.uint64)
+        for c in s:
+            h = (h ^ np.uint64(int.from_bytes(c.encode(), "little"))) * MULTIPLIER
+            h ^= h >> np.uint64(29)
+        return mix(h)
+
+    w = [word(x) for x in WORD.findall(text or "")]
+    t = text or ""
+    groups = [[gram([x], 1) for x in w], [gram([x, y], 2) for x, y in zip(w, w[1:])], [chars(t[k : k + 2], 3) for k in range(len(t) - 1)], [chars(t[k : k + 4], 4) for k in range(len(t) - 3)]]
+    return [[int(h[0] >> np.uint64(64 - quality.BITS)) for h in g] for g in groups]
+
+
+def test_quality_scores_equal_brute_force():
+    rng = random.Random(51)
+    texts = [prose(rng, rng.randint(0, 40)) + rng.choice(["", " 中文", " \U0001f600 x", "\n"]) for _ in range(40)] + ["", None, "a", "é"]
+    weights = np.random.default_rng(1).normal(size=1 << quality.BITS)
+    got = quality.score(pa.array(texts), weights)
+    row, bucket, value = quality.features(pa.array(texts))
+    for k, t in enumerate(texts):
+        groups = [g for g in plain_grams(t) if g]
+        assert abs(got[k] - sum(np.mean([weights[b] for b in g]) for g in groups)) < 1e-9
+        share = collections.Counter()
+        for g in groups:
+            for b in g:
+                share[b] += 1 / len(g)
+        found = collections.Counter()
+        for b, v in zip(bucket[row == k].tolist(), value[row == k].tolist()):
+            found[b] += v
+        assert found.keys() == share.keys() and all(abs(found[b] - share[b]) < 1e-9 for b in share)
+    j = quality.judged(pa.array(texts), (weights, 2.0, 0.1))
+    assert np.allclose(j["quality"], 1 / (1 + np.exp(-np.clip(2.0 * got + 0.1, -30, 30))))
+    assert (j["kept"] == (~j["base_failed"] & (j["quality"] >= quality.THRESHOLD))).all()
+
+
+def test_toxicity_features_equal_brute_force():
+    from inkfield.llm.common import prefix_hash, span_hash
+    from inkfield.llm.ngrams import gram
+
+    rng = random.Random(52)
+    texts = [prose(rng, rng.randint(0, 30)).title() + rng.choice(["", "!", " x-Y'z", " longer-words and LONGESTwords"]) for _ in range(30)] + ["", None]
+
+    def word(w):
+        raw = np.frombuffer(w, np.uint8)
+        return span_hash(prefix_hash(raw), np.array([0]), np.array([len(raw)]))
+
+    row, bucket = toxicity.presence(pa.array(texts))
+    for k, t in enumerate(texts):
+        raw = (t or "").translate(UPPER).encode()
+        words = re.findall(rb"[a-z0-9'\x80-\xff]+", raw)
+        h, want = [word(w) for w in words], set()
+        for s, places in enumerate(toxicity.SHAPES):
+            want |= {int(gram([h[i + p] for p in places], 11 + s)[0] >> np.uint64(64 - toxicity.BITS)) for i in range(len(h) - places[-1])}
+        for n in toxicity.STEMS:
+            want |= {int(gram([word(w[:n])], 31 + n)[0] >> np.uint64(64 - toxicity.BITS)) for w in words if len(w) > n}
+        assert set(bucket[row == k].tolist()) == want
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(61)
+    texts = [prose(rng, 70) for _ in range(12)]
+    rows = [(k, t, "en", "s0", 1, "x", k) for k, t in enumerate(texts)] + [(None, texts[0], None, None, None, None, 50), (None, None, None, None, None, None, 51), (20, "", "", "", 0, "", 52), (3, texts[3], "en", "s0", 1, "x", 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `row` string, sid int"
+    for name, part in (("odd", rows), ("none", [])):
+        spark.createDataFrame(part, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path / "odd"))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "row", "sid"]
+    assert sorted(r.text for r in docs.collect()) == sorted(texts)
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()} <= set(range(12))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("run", [lambda d, x: quality.rules(d, x), lambda d, x: quality.kept_documents(d, x), lambda d, x: toxicity.score_documents(d, x)])
+def test_learned_operators_on_empty_tables(spark, run):
+    assert run(spark.createDataFrame([], EMPTY), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(71)
+    long = prose(rng, 60_000)
+    rows = [(1, long), (2, long + " end"), (3, "short " * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()} == {1: 1, 2: 1, 3: 3}
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in repeats.remove_repeats(df).collect()}
+    assert got[1] == (len(long.encode()), len(long.encode())) and got[2][1] == len(long.encode()) and got[3][1] == 0
+    page = "<article>" + "".join(f"<p>{long[k : k + 900]}.</p>" for k in range(0, len(long), 900)) + "</article>"
+    assert html_cut.content(page, html_cut.DEFAULT_SHAPE)[1] == -(-len(long) // 900)
