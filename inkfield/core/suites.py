@@ -33,6 +33,7 @@ _a, _b, _c, _d, _i, _n, _x, _y, _z = map(ident, "abcdinxyz")
 _xy = seq(_x, op("+"), _y)
 _thin = ("thin",)
 
+# ---------------------------------------------------------------- fixed values: the two hand-written suites
 #: The first suite: one expression for each construct.
 MILESTONE = [
     _x, _xy, ("sup", _x, num("2")), ("sub", _x, _i), ("subsup", _x, _i, num("2")), ("sup", _x, ("sup", _y, num("2"))), ("frac", _x, _y),
@@ -53,6 +54,7 @@ EXTENDED = [
     seq(ident("f"), ("delim", "paren", _x, False)), ("frac", ("frac", ("frac", _a, _b), _c), _d), ("sup", _x, ("frac", _a, _b)), ("sub", ("frac", _a, _b), _i),
     seq(("sqrt", _x), op("+"), ("frac", _y, _z), op("="), ("sup", _z, num("2"))),
 ]
+# ----------------------------------------------------------------
 
 CONSTRUCT = {"id": "identifier", "num": "number", "op": "operator", "seq": "row", "frac": "fraction", "sup": "script", "sub": "script", "subsup": "script", "sqrt": "radical", "delim": "delimiter", "bigop": "largeop", "acc": "accent", "over": "accent", "mat": "matrix", "thin": "space"}
 

@@ -445,14 +445,12 @@ def _(spark, d):
     return o.select("o_orderkey", ty.size_option("s").alias("opt"), ty.baseline_tolerance("s").alias("tol"), ty.x_tolerance("s").alias("xtol"))
 
 
-def _glue_sql() -> str:
-    rows = ", ".join(f"('{a}', '{b}', {'NULL' if m is None else f'{m}e0'}, {str(s).lower()})" for a, b, m, s in ty.glue_rows())
-    return f"""WITH glue(l, r, mu, always) AS (VALUES {rows}), p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate,
+_GLUE_SQL = f"""WITH {views.GLUE}, p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate,
         ['Ord', 'Op', 'Bin', 'Rel', 'Open', 'Close', 'Punct', 'Inner'][l_partkey % 8 + 1] AS l, ['Ord', 'Op', 'Bin', 'Rel', 'Open', 'Close', 'Punct', 'Inner'][l_suppkey % 8 + 1] AS r, l_linenumber > 3 AS script FROM lineitem)
         SELECT l, r, script, count(*) AS n, CASE WHEN mu IS NULL THEN NULL WHEN script AND NOT always THEN 0e0 ELSE mu END AS mu FROM p JOIN glue USING (l, r) GROUP BY l, r, script, mu, always"""
 
 
-@query("p28_glue", _glue_sql())
+@query("p28_glue", _GLUE_SQL)
 def _(spark, d):
     atom = lambda c: F.element_at(F.array(*map(F.lit, ty.ATOMS)), (F.col(c) % 8 + 1).cast("int"))
     glue = F.broadcast(spark.createDataFrame(ty.glue_rows(), "l string, r string, mu double, always boolean"))

@@ -62,13 +62,9 @@ def _(spark, d):
     return resolve(g).select("o_orderkey", "name", "atom", "w", "h", "d", "metrics")
 
 
-def _glue() -> str:
-    return ", ".join(f"('{a}', '{b}', {'NULL' if m is None else f'{m}e0'})" for a, b, m, _ in ty.glue_rows())
-
-
 @query(
     "p30_consistent_classes",
-    f"""WITH glue(l, r, mu) AS (VALUES {_glue()}), o AS (SELECT DISTINCT CAST(l_quantity % 7 AS DOUBLE) AS gap FROM lineitem)
+    f"""WITH {views.GLUE}, o AS (SELECT DISTINCT CAST(l_quantity % 7 AS DOUBLE) AS gap FROM lineitem)
         SELECT gap, string_agg(l || '-' || r, ' ' ORDER BY l, r) AS pairs FROM o JOIN glue ON mu IS NOT NULL AND abs(mu - gap) <= 0.25e0 GROUP BY gap""",
 )
 def _(spark, d):
@@ -132,7 +128,7 @@ def _(spark, d):
 def _(spark, d):
     t = views.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("k"), "l_extendedprice")
     m = t.groupBy("k").agg(F.median("l_extendedprice").alias("median"))
-    return t.join(F.broadcast(m), "k").groupBy("k").agg(F.first("median").alias("median"), F.max(F.abs(F.col("l_extendedprice") - F.col("median"))).alias("worst"))
+    return t.join(m, "k").groupBy("k").agg(F.first("median").alias("median"), F.max(F.abs(F.col("l_extendedprice") - F.col("median"))).alias("worst"))
 
 
 @query(

@@ -91,3 +91,13 @@ TREE = """nodes AS (
     UNION ALL SELECT n_nationkey + 1000, n_regionkey, 'Fraction', n_name, 0.99e0, n_regionkey FROM nation
     UNION ALL SELECT c_custkey + 100000, c_nationkey + 1000, CASE WHEN c_custkey % 11 = 0 THEN 'Space' ELSE 'Identifier' END, c_mktsegment,
                      1e0 / (1 + abs(c_acctbal) / 1000), n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+#: Spaces between atoms, written out for SQL on their own: 1 thin (3 mu), 2 medium (4), 3 thick (5), t, m and k the same in
+#: display and text styles only, x never met.
+GLUE = """glue AS (
+    SELECT l, r, CASE lower(cell) WHEN 'x' THEN NULL WHEN '0' THEN 0e0 WHEN '1' THEN 3e0 WHEN 't' THEN 3e0 WHEN 'm' THEN 4e0 ELSE 5e0 END AS mu, cell IN ('0', '1', 'x') AS always
+    FROM (
+        SELECT l, unnest(['Ord', 'Op', 'Bin', 'Rel', 'Open', 'Close', 'Punct', 'Inner']) AS r, unnest(string_split(cells, '')) AS cell
+        FROM (VALUES ('Ord', '01mk000t'), ('Op', '11xk000t'), ('Bin', 'mmxxmxxm'), ('Rel', 'kkx0k00k'), ('Open', '00x00000'), ('Close', '01mk000t'), ('Punct', 'ttxttttt'), ('Inner', 't1mkt0tt')) AS t(l, cells)
+    ))"""
