@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from math import hypot
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -281,8 +281,9 @@ def interpret(content: bytes, fonts: dict[str, dict]) -> tuple[list[dict], list[
     return glyphs, rules, warnings
 
 
-def read_pages(data: bytes, page_numbers: list[int] | None = None) -> Iterator[tuple]:
-    """(page, width, height, glyphs, rules, warnings) of a file; page numbers from 1."""
+def read_pages(data: bytes, page_numbers: Container[int] | None = None) -> Iterator[tuple]:
+    """(page, width, height, glyphs, rules, warnings) of a file; page numbers from 1. Other pages than those named are not
+    interpreted; none named: all."""
     try:
         doc = Document(data)
         found = list(doc.pages())
@@ -290,7 +291,7 @@ def read_pages(data: bytes, page_numbers: list[int] | None = None) -> Iterator[t
         yield 0, 612.0 * PT, 792.0 * PT, [], [], [f"{type(e).__name__}: {e}"]
         return
     for k, p in enumerate(found, 1):
-        if page_numbers and k not in page_numbers:
+        if page_numbers is not None and k not in page_numbers:
             continue
         box = doc.get(p.get("MediaBox")) or [0, 0, 612, 792]
         try:
@@ -307,7 +308,7 @@ def read_pages(data: bytes, page_numbers: list[int] | None = None) -> Iterator[t
         yield k, float(box[2] - box[0]) * PT, float(box[3] - box[1]) * PT, glyphs, rules, warnings
 
 
-def pages_of(files: DataFrame, page_numbers: list[int] | None = None) -> DataFrame:
+def pages_of(files: DataFrame, page_numbers: Container[int] | None = None) -> DataFrame:
     """doc_id and PAGE for every page of files in a table (doc_id, content). page_numbers: other pages are not interpreted."""
     from inkfield.operators.formulas import _map
 

@@ -208,3 +208,23 @@ def test_equal_regions_are_read_once(spark):
     got = formulas.extract(formulas.typeset(spark.createDataFrame(rows, "k int, expr string"), ["k"]), ["k"], ["latex", "json"]).collect()
     assert sorted(r.k for r in got) == list(range(50)) and {r.latex for r in got} == {"x^{2}"}
     assert json.loads(got[0].json)["children"][0]["kind"] == "Superscript"
+
+
+def test_page_filters_reach_the_reader(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    from inkfield.sources import pdf_source
+
+    three = small_pdf(STREAM).replace(b"/Kids [3 0 R] /Count 1", b"/Kids [3 0 R 3 0 R 3 0 R] /Count 3")
+    (tmp_path / "a.pdf").write_bytes(three)
+    (tmp_path / "note.txt").write_bytes(b"no page")
+    reader = pdf_source.PdfReader(str(tmp_path), 2)
+    rest = [GreaterThan(("width",), 1.0)]
+    assert list(reader.pushFilters([EqualTo(("page",), 2), *rest])) == rest
+    assert [row[1] for p in reader.partitions() for row in reader.read(p)] == [2]
+    pdf_source.register(spark)
+    pages = spark.read.format("pdf_pages").option("splits", 2).load(str(tmp_path))
+    assert sorted(r.page for r in pages.select("page").collect()) == [1, 2, 3]
+    got = pages.filter("page = 2").collect()
+    assert [r.page for r in got] == [2] and len(got[0].glyphs) == 3 and got[0].rules[0].kind == "stroke"
+    assert pages.filter("page = 9").count() == 0
