@@ -1,8 +1,8 @@
 """Distributed connected components by alternating large and small stars.
 
 Every round is a grouped minimum and a join on the same key; the edge table is written to the shared
-folder after each round, so lineage stays short and lost executors cost one round at most. Nodes with
-thousands of edges are split by adaptive skew joins; nothing is collected but two numbers a round. Once a round
+folder after each round, so lineage stays short and lost executors cost one round at most. The least
+neighbour of a hub is sent to its edges; nothing is collected but two numbers a round. Once a round
 leaves at most LOCAL_EDGES edges, one task joins what is left: contraction makes that the end of large graphs too.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfield.llm.common import materialise, release, small_batches
+from inkfield.llm.common import join_counted, materialise, release, small_batches
 
 #: Edges that one task joins: 16 bytes each.
 LOCAL_EDGES = 200_000
@@ -59,12 +59,13 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
             release(last)
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        # what a hub knows goes to its edges, not they to one task
+        large = join_counted(both, least, ["u"], "n", 2 * state[0]).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
         last, e = e, materialise(small.select("e.u", "e.v").filter("u != v").distinct(), "edges")
-        release(last)
+        release(last, least)
         new = _state(e)
         if new == state:
             break
