@@ -9,7 +9,7 @@ independent hash permutations, and each is used with l = a quarter of its prefix
    names its first set as leader and pairs the others with it.
 2. Orders B and C drop pairs whose B-regions or C-regions share fewer than l tokens, from 16-bit fingerprints (with
    their multiplicity, so no true pair is lost). The filters are intersected before any set is fetched.
-3. What is left is verified on whole sets: a bound from fingerprints of all tokens first, then the full intersection.
+3. What is left is verified on whole sets, by the full intersection.
 
 Verified links make components. A second round tests what the leaders left open: pairs of one run that are
 still in different components. Tokens in more than HOT sets are not paired at all: sets that share no rarer token share l
@@ -205,14 +205,13 @@ def _index_batch(*columns: np.ndarray) -> pa.RecordBatch:
 
 
 def full_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """sid, tokens (8 bytes each, ascending) and prints (16 bits of each token, ascending) of documents."""
+    """sid and tokens (8 bytes each, ascending) of documents."""
 
     def of_slice(b):
         sets = shingle_sets(b.column("text"), words)
-        prints = [np.sort((mix(s ^ ORDER_C) & np.uint64(0xFFFF)).astype("<u2")) for s in sets]
-        return [pa.array([set_name(s, seed) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([x.tobytes() for x in prints], pa.binary())]
+        return [pa.array([set_name(s, seed) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
 
-    return docs.select("text").mapInArrow(_task(of_slice, ["sid", "tokens", "prints"]), "sid long, tokens binary, prints binary")
+    return docs.select("text").mapInArrow(_task(of_slice, ["sid", "tokens"]), "sid long, tokens binary")
 
 
 # ---------------------------------------------------------------- candidates
@@ -281,27 +280,19 @@ def by_orders(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that link. sets: sid, tokens, prints. The prints of whole sets bound the intersection from above
-    at a quarter of the bytes; tokens are fetched for what is left."""
+    """Pairs (a, b) that link, by the full intersection. sets: sid, tokens."""
 
     def linked(x: np.ndarray, y: np.ndarray) -> bool:
         both = common(x, y)
         return 100 * both >= percent * (len(x) + len(y) - both)
 
-    def by(kind):
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = [linked(np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)) for x, y in zip(b.column("ta"), b.column("tb"))]
-                yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        return task
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column("ta"), b.column("tb"))]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    for column, kind in (("prints", np.uint16), ("tokens", np.uint64)):
-        left = sets.select(F.col("sid").alias("a"), F.col(column).alias("ta"))
-        right = sets.select(F.col("sid").alias("b"), F.col(column).alias("tb"))
-        pairs = pairs.join(right, "b").join(left, "a").mapInArrow(by(kind), "a long, b long")
-        pairs = materialise(pairs, "bounded", clean=True) if column == "prints" else pairs
-    return pairs
+    left, right = (sets.select(F.col("sid").alias(x), F.col("tokens").alias(f"t{x}")) for x in ("a", "b"))
+    return pairs.join(right, "b").join(left, "a").mapInArrow(task, "a long, b long")
 
 
 def shared_least(n, percent: int):
@@ -477,7 +468,7 @@ def classes_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     documents, seed = named(docs, words, percent)
     classes = documents.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     shared = materialise(shared_rows(index_rows(docs, words, percent, seed)), "shared", clean=True)
-    paired = materialise(shared.select(F.col("leader").alias("a"), F.col("sid").alias("b")).filter("a != b").distinct(), "pairs")
+    paired = materialise(shared.select(F.col("leader").alias("a"), F.col("sid").alias("b")).filter("a != b").distinct(), "pairs", clean=True)
     touched = materialise(shared.select("sid").distinct().join(classes, "sid"), "touched")
     tried = by_orders(paired, documents, percent)
     release(paired)
@@ -491,7 +482,7 @@ def classes_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
 
     def linked(pairs: DataFrame) -> DataFrame:
         sets = sets_of(pairs)
-        out = materialise(verified(pairs, sets, percent), "links")
+        out = materialise(verified(pairs, sets, percent), "links", clean=True)
         release(pairs, sets)
         return out
 
@@ -500,7 +491,7 @@ def classes_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     once = shared.filter("not again").drop("again")
     lengths = materialise(once.groupBy("token").agg(F.count(F.lit(1)).alias("length")).filter("length > 2"), "lengths")
     total = lengths.agg(F.sum("length")).first()[0] or 0
-    hot = materialise(join_counted(once.select("token", "sid"), lengths.filter(F.col("length") > HOT), ["token"], "length", total), "hot-tokens")
+    hot = materialise(join_counted(once.select("token", "sid"), lengths.filter(F.col("length") > HOT), ["token"], "length", total), "hot-tokens", clean=True)
     in_hot = hot.groupBy("sid").agg(F.count(F.lit(1)).alias("k"))
     rest = open_pairs(once.join(lengths.filter(F.col("length") <= HOT).select("token"), "token"), group, touched, in_hot, percent)
     rest = materialise(rest, "open-pairs", clean=True)
