@@ -16,7 +16,7 @@ so a passage shared by a third of all texts costs a few rows an occurrence. A gr
 places is known to occur again: its rows are dealt over SALTS groups, and one of them stands for all where tasks meet.
 
 Equal texts are one text here. Texts are named by 64-bit hashes; SHA-256 proves that no name stands for two texts,
-else others are drawn. Contexts are compared by their bytes in groups and by SHA-256 where a group is split.
+else others are drawn. Contexts are compared by their bytes in groups and by 128 bits of SHA-256 where a group is split.
 repeat_groups() gives the maximal repeats themselves, each with all its occurrences.
 
 Nulls are empty texts. Matches never cross texts; what is repeated within a text counts. Repeated rows are
@@ -284,38 +284,49 @@ def _piece(a: Column, b: Column) -> Column:
     return F.substring("ctx", (F.col("nl") - a + 1).cast("int"), (a + b).cast("int"))
 
 
+def _eight(c: str) -> Column:
+    """The bytes of a long."""
+    return F.unhex(F.lpad(F.hex(c), 16, "0"))
+
+
+def _digest(c: Column) -> Column:
+    """Half of SHA-256: 128 bits, which no two contexts of any corpus share."""
+    return F.substring(F.unhex(F.sha2(c, 256)), 1, 16)
+
+
 def levels(groups: DataFrame, length: int) -> Iterator[tuple[DataFrame, DataFrame, DataFrame]]:
     """(level, kinds, small): rows with `all`, what the strings of a row's places cover together, or its own place where
     the context is too short; the number m of rows of each gkey and all; and one row of each kind of the groups of bounded
     size. What the others hold comes again in the next level, split by where strings lie."""
-    level, before = groups.withColumn("gkey", F.col("gkey").cast("string").cast("binary")), ()
+    level, before = groups.withColumn("gkey", _eight("gkey")), ()
     while True:
         # rows that agree on all that their strings cover are covered by each other
         whole = (F.col("nl") >= F.col("hi")) & (F.length("ctx") - F.col("nl") >= length - F.col("lo"))
-        place = F.concat_ws(":", F.lpad(F.col("tid").cast("string"), 20, " "), F.lpad(F.col("pos").cast("string"), 20, " ")).cast("binary")  # 41 bytes, a digest has 32
-        content = F.when(whole, F.unhex(F.sha2(_piece(F.col("hi"), length - F.col("lo")), 256))).otherwise(place)
+        place = F.concat(_eight("tid"), _eight("pos"), F.lit(b"@"))  # 17 bytes, a digest has 16
+        content = F.when(whole, _digest(_piece(F.col("hi"), length - F.col("lo")))).otherwise(place)
         level = materialise(level.withColumns({"all": content, "whole": whole}), "suffixes", clean=True)
         kinds = materialise(level.groupBy("gkey", "all").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("tid", "pos")).alias("rep")), "suffix-kinds")
         sizes = materialise(kinds.groupBy("gkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-groups")
         total, most = sizes.agg(F.sum("n"), F.max("n")).first()
         # one row stands for all of its kind from here on
-        reps = join_counted(kinds.select("gkey", "all", "rep.tid", "rep.pos"), sizes, ["gkey"], "n", total or 0)
-        kept = level.drop("whole").join(reps, ["tid", "pos", "gkey", "all"])
+        reps = materialise(join_counted(kinds.select("gkey", "all", "rep.tid", "rep.pos"), sizes, ["gkey"], "n", total or 0), "suffix-reps")
+        which = F.xxhash64("tid", "pos", "gkey")
+        kept = sieve(level.drop("whole"), which, reps.select(which.alias("which"))).join(reps, ["tid", "pos", "gkey", "all"])
         if before:  # this level is written
             release(*before)
         if (most or 0) <= MEMBERS:
             yield level, kinds, kept
             return
-        kept = materialise(kept, "suffix-reps", clean=True)
+        kept = materialise(kept, "suffix-contexts", clean=True)
         yield level, kinds, kept.filter(F.col("n") <= MEMBERS)
-        before = level, kinds, sizes, kept
+        before = level, kinds, sizes, reps, kept
         hot = kept.filter(F.col("n") > MEMBERS).filter("lo < hi")
         mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
         halves = F.array(F.struct(F.col("lo").alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi").alias("hi")))
         split = hot.withColumn("part", F.explode(halves)).select("gkey", "tid", "pos", "ctx", "nl", F.col("part.lo").alias("lo"), F.col("part.hi").alias("hi"))
         # strings that the text is long enough for
         split = split.filter((F.greatest(F.col("lo"), length - (F.length("ctx") - F.col("nl"))) <= F.least("hi", "nl")))
-        level = split.withColumn("gkey", F.unhex(F.sha2(F.concat(F.col("gkey"), F.concat_ws(":", F.lit(""), "lo", "hi", F.lit("")).cast("binary"), _piece(F.col("lo"), length - F.col("hi"))), 256)))
+        level = split.withColumn("gkey", _digest(F.concat(F.col("gkey"), F.concat_ws(":", F.lit(""), "lo", "hi", F.lit("")).cast("binary"), _piece(F.col("lo"), length - F.col("hi")))))
 
 
 def _alike(level: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -448,7 +459,7 @@ def interval_groups(left: list[bytes], right: list[bytes], length: int = LENGTH)
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """group (SHA-256 of the string), n_bytes, doc_id, start (in bytes) of every occurrence of every maximal repeat of at
+    """group (128 bits of the string's SHA-256), n_bytes, doc_id, start (in bytes) of every occurrence of every maximal repeat of at
     least `length` bytes. Repeats are followed as far as the contexts of an anchor reach, length - gram bytes before it
     and length from it: a longer one appears as pieces of that size, and whole texts that are equal as themselves. Where
     a group is split, each half reports the pieces that begin at its places."""
@@ -462,7 +473,7 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_i
         out = []
         for e, r, members in interval_groups(left, right, length):
             m = members[0]
-            name = hashlib.sha256(left[m][len(left[m]) - e :] + right[m][:r]).hexdigest()
+            name = hashlib.sha256(left[m][len(left[m]) - e :] + right[m][:r]).hexdigest()[:32]
             out += [(rows[m][0], rows[m][1], name, e, e + r) for m in members if e >= lo]
         return out
 
@@ -476,6 +487,6 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_i
         for part in (at.select(*same.columns), same):
             found.append(materialise(part.select("group", "n_bytes", "tid", (F.col("pos") - F.col("before")).alias("start")), "repeats"))
     copies = thin.filter(F.col("n_bytes") >= length).groupBy("tid").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("tid")
-    equal = thin.join(copies, "tid", "left_semi").select(F.lower(F.hex("own")).alias("group"), "n_bytes", "doc_id", F.lit(0).cast("long").alias("start"))
+    equal = thin.join(copies, "tid", "left_semi").select(F.lower(F.hex(F.substring("own", 1, 16))).alias("group"), "n_bytes", "doc_id", F.lit(0).cast("long").alias("start"))
     inner = reduce(DataFrame.unionByName, found).distinct().join(thin.select("tid", "doc_id"), "tid")
     return inner.select("group", "n_bytes", "doc_id", "start").unionByName(equal)

@@ -712,7 +712,7 @@ def test_repeat_groups_have_all_occurrences(spark):
         by[r.group, r.n_bytes].add((r.doc_id, r.start))
     for (name, n), places in by.items():
         strings = {raw[i][s : s + n] for i, s in places}
-        assert len(strings) == 1 and hashlib.sha256(next(iter(strings))).hexdigest() == name and n >= 200
+        assert len(strings) == 1 and hashlib.sha256(next(iter(strings))).hexdigest()[:32] == name and n >= 200
         s = next(iter(strings))
         if not s.startswith(b"copy") and b"copy copy" not in s:
             assert places == {(i, k) for i, t in raw.items() for k in range(len(t) - n + 1) if t[k : k + n] == s}
