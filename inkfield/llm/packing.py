@@ -115,8 +115,14 @@ def best_cuts(at: np.ndarray, price: np.ndarray, length: int = LENGTH) -> list[i
     dp, back = [0.0] * n, [0] * n
     soft: deque[int] = deque()  # starts at most `length` away, ascending dp + position
     hard: deque[int] = deque()  # starts from which one full window and a second reach
-    powers = [1 << k for k in range(length.bit_length()) if 1 << k < length]
-    index = {p: k for k, p in enumerate(pos)}
+    # starts a power of two before a cut, by cut, shortest first
+    even: dict[int, list[int]] = {}
+    for k in range(length.bit_length()):
+        if 1 << k < length:
+            start = np.searchsorted(at, at - (1 << k))
+            met = np.flatnonzero(at[start] == at - (1 << k))
+            for j, i in zip(met.tolist(), start[met].tolist()):
+                even.setdefault(j, []).append(i)
     late = 0
     for j in range(1, n):
         p = pos[j]
@@ -148,9 +154,8 @@ def best_cuts(at: np.ndarray, price: np.ndarray, length: int = LENGTH) -> list[i
             i = j - 1
             d = p - pos[i]
             best, arg = dp[i] + -d % length + (d - 1) // length * HARD_CUT, i
-        for d in powers:
-            i = index.get(p - d)
-            if i is not None and dp[i] < best:
+        for i in even.get(j, ()):
+            if dp[i] < best:
                 best, arg = dp[i], i
         dp[j], back[j] = best + cost[j], arg
     ends, j = [], n - 1
