@@ -13,7 +13,9 @@ independent hash permutations, and each is used with l = a quarter of its prefix
 
 Verified links make components. A second round tests what the leaders left open: pairs of one run that are
 still in different components. Tokens in more than HOT sets are not paired at all: sets that share no rarer token share l
-hot ones, so a prefix filter over their hot tokens, rarest first, connects them to families. A family is compared in
+hot ones, so a prefix filter over their hot tokens, rarest first, finds which sets can. These are fetched whole; linked
+ones share need(n) of all their tokens, so a prefix filter over whole sets, tokens in fewest of these sets first, leaves
+out whoever has too many of its own, and connects the others to families. A family is compared in
 blocks of bounded size: where many sets are outside its largest component, first with some of its sets in every block,
 round by round while that halves them; and then these with all. In a block, too, a pair must pass orders B and C before its sets are
 intersected. Nothing is capped: every pair that could link is tested or already connected. The blocks of a family grow
@@ -336,6 +338,31 @@ def hot_rows(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return hot.withColumn("k", k).withColumn("rank", rank).filter((F.col("k") >= least) & (F.col("rank") <= F.col("k") - least + 1)).select("token", "sid", "length")
 
 
+def rarest_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """token, sid: of whole sets (sid, tokens) the tokens that a prefix filter needs, those in fewest of these sets first.
+    Two that link share one. A token in one set only comes before all others and is left out: a set of which less than
+    need(n) tokens are in others has no row."""
+    from pyspark.sql import Window
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("tokens")]
+            n = np.array([len(t) for t in each], np.int64)
+            t = np.concatenate([np.zeros(0, np.int64), *each])
+            sid, n = np.repeat(np.asarray(b.column("sid")), n), np.repeat(n, n)
+            for k in range(0, len(t), INDEX_BATCH):
+                part = slice(k, k + INDEX_BATCH)
+                yield pa.RecordBatch.from_arrays([pa.array(t[part]), pa.array(sid[part]), pa.array(n[part])], names=["token", "sid", "n"])
+
+    rows = sets.select("sid", "tokens").mapInArrow(task, "token long, sid long, n long")
+    lengths = materialise(rows.groupBy("token").agg(F.count(F.lit(1)).alias("length")).filter("length > 1"), "lengths", clean=True)
+    total = lengths.agg(F.sum("length")).first()[0] or 0
+    w = Window.partitionBy("sid")  # a set's own tokens
+    shared = join_counted(rows, lengths, ["token"], "length", total).withColumn("k", F.count(F.lit(1)).over(w))
+    shared = shared.withColumn("least", F.ceil(F.col("n") * percent / 100)).filter("k >= least")
+    return shared.withColumn("rank", F.row_number().over(w.orderBy("length", "token"))).filter("rank <= k - least + 1").select("token", "sid")
+
+
 def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the left and right members of each block, as many as join what is still apart there.
     members: block, sid, c (its component so far), left, right; a block has a bounded number of rows. Sizes and
@@ -502,14 +529,14 @@ def classes_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
         found = found.unionByName(linked(tried))
         group = materialise(components(found, "a", "b").withColumnRenamed("node", "sid"), "groups")
     if not hot.isEmpty():
-        family = materialise(families(materialise(hot_rows(hot, touched, percent), "hot"), touched, percent), "families")
-        sets, turn, before = None, 0, None
+        sets = sets_of(hot_rows(hot, touched, percent).select(F.col("sid").alias("a"), F.col("sid").alias("b")))
+        family = materialise(families(materialise(rarest_rows(sets, percent), "rarest", clean=True), touched, percent), "families")
+        turn, before = 0, None
         while turn is not None:
             apart = materialise(in_components(family, group), "apart")
             outside, each = apart.agg(F.sum(F.col("minor").cast("long")), F.avg("minor_m")).first()
             if not outside:
                 break
-            sets = sets or sets_of(apart.select(F.col("sid").alias("a"), F.col("sid").alias("b")).distinct())
             # all pairs cost no more than some rounds of leaders, or leaders don't help any more
             if each <= FEW * BLOCK or (turn and 2 * outside > before):
                 blocks, turn = last_blocks(apart), None

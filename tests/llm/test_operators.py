@@ -126,6 +126,31 @@ def test_jaccard_hot_tokens_and_blocks(spark, monkeypatch, few):
     assert sorted(map(tuple, jaccard.jaccard_components(df).collect()), key=str) == jaccard_truth(rows)
 
 
+def test_jaccard_families_leave_out_sets_with_much_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 3)
+    compared, real = [], jaccard.block_links
+    monkeypatch.setattr(jaccard, "block_links", lambda members, *a: compared.extend(members.collect()) or real(members, *a))
+    rng = random.Random(4)
+    passage = prose(rng, 60)
+    rows = [(k, f"{passage} {prose(rng, 100)}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.jaccard_components(df).collect()), key=str) == jaccard_truth(rows)
+    assert not compared
+
+
+def test_jaccard_rarest_rows(spark):
+    rng = random.Random(5)
+    sets = {k: sorted(rng.sample(range(30), rng.randint(1, 12))) for k in range(80)}
+    sets |= {k + 100: sorted({*s[1:], 99} if k % 2 else {*s, 99}) for k, s in list(sets.items())[:40]}
+    df = spark.createDataFrame([(k, np.array(s, np.uint64).tobytes()) for k, s in sets.items()], "sid long, tokens binary")
+    got = {k: set() for k in sets}
+    for r in jaccard.rarest_rows(df, 80).collect():
+        got[r.sid].add(r.token)
+    assert all(got[k] <= set(s) and len(got[k]) <= len(s) - jaccard.need(len(s)) + 1 for k, s in sets.items())
+    linked = [(a, b) for a in sets for b in sets if a < b and 5 * len(set(sets[a]) & set(sets[b])) >= 4 * len(set(sets[a]) | set(sets[b]))]
+    assert linked and all(got[a] & got[b] for a, b in linked)
+
+
 def test_one_of_each(docs):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
