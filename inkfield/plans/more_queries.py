@@ -92,11 +92,7 @@ def _(spark, d):
         SELECT page, l_id, r_id, err FROM (SELECT *, row_number() OVER (PARTITION BY page, l_id ORDER BY err, r_id) AS rn FROM p) WHERE rn = 1""",
 )
 def _(spark, d):
-    r = views.rules(spark, d)
-    pairs = spatial.range_join(r, r, ["page"], lambda a, b: (F.abs(a.x1 - b.x0) <= 3) & (F.abs(a.y1 - b.y1) <= 3)).filter("l_id <> r_id")
-    err = F.abs(F.col("l_x1") - F.col("r_x0")) + F.abs(F.col("l_y1") - F.col("r_y1"))
-    best = F.min(F.struct(err.alias("err"), F.col("r_id").alias("id")))
-    return pairs.groupBy("page", "l_id").agg(best.alias("b")).select("page", "l_id", F.col("b.id").alias("r_id"), F.col("b.err").alias("err"))
+    return spatial.nearest_corner(views.rules(spark, d), ["page"], "id", 3.0)
 
 
 @query(

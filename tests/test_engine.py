@@ -47,6 +47,29 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_nearest_corner(spark):
+    r = [(k % 2, k % 70, k * 7 % 11 - 5.0, k * 5 % 13 - 6.0, k * 7 % 11 - 5 + k % 5 * 0.7, k * 5 % 13 - 6 + k % 3 * 0.25) for k in range(90)]  # ids come twice
+    r += [(2, 0, -5.0, 0.0, -1e-300, 1.0), (2, 1, 3.0, 0.0, 9.0, 1.0), (None, 5, 0.0, 0.0, 1.0, 1.0), (3, 9, 0.0, 0.0, 1.0, 1.0), (3, 9, 0.0, 0.0, 1.0, 1.0), *[(4, k, 0.0, 0.0, 0.0, 0.0) for k in range(9)]]
+    want = {}
+    for p, a, _, _, x1, y1 in r:
+        for q, b, x0, _, _, z1 in r:
+            if p is not None and p == q and a != b and abs(x1 - x0) <= 3 and abs(y1 - z1) <= 3:
+                want[p, a] = min(want.get((p, a), (9, 0)), (abs(x1 - x0) + abs(y1 - z1), b))
+    got = spatial.nearest_corner(spark.createDataFrame(r, "page int, id int, x0 double, y0 double, x1 double, y1 double"), ["page"], "id", 3.0)
+    assert sorted((x.page, x.l_id, x.err, x.r_id) for x in got.collect()) == sorted((*k, *v) for k, v in want.items()) and (2, 0) in want
+
+
+@needs_data
+def test_band_argmin_meets_columns_not_pages(spark, tmp_path):
+    # 40,000 equal rules on one page: 1.6e9 pairs of a page
+    part = spark.range(40_000).selectExpr("id * 360 AS p_partkey", "'b' AS p_brand", "1 AS p_size", "900D AS p_retailprice")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    df = catalog.QUERIES["j10_band_argmin"](spark, str(tmp_path))
+    assert df.filter("r_id = IF(l_id = 0, 360, 0) AND err = 0").count() == 40_000
+    joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert joins and all("cell" in x for x in joins)
+
+
 def test_reclassify_and_notes(spark):
     df = spark.createDataFrame([(["Bin", "Ord", "Bin", "Bin", "Rel"],), (["Ord", "Bin", "Close"],), ([],)], "a array<string>")
     got = [tuple(r.x) for r in df.select(ty.reclassify(F.col("a")).alias("x")).collect()]
