@@ -7,14 +7,17 @@ import ctypes
 import gc
 import os
 import re
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import InheritableThread
 
 #: White space of every contract: space and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
@@ -22,6 +25,9 @@ SPACE = r"\x20\x09-\x0D"
 #: Python-side work takes at most this many text bytes at a time (a longer text stands alone).
 SLICE_BYTES = 1 << 19
 
+#: Share of its bound from which the driver's heap is given back, and seconds between two looks at it.
+HEAP_SHARE, LOOK_S = 1 / 3, 10
+
 
 # ---------------------------------------------------------------- scratch tables
 
@@ -49,16 +55,61 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _give_back_jvm(spark: SparkSession, always: bool = False) -> None:
+    """Collects the garbage of the driver's JVM and returns what is free then to the system, heap and C library's arenas,
+    if its heap has grown beyond HEAP_SHARE of the most it may have (or always)."""
+    sc = spark.sparkContext
+    jvm, new_array = sc._jvm, sc._gateway.new_array
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if not always and runtime.totalMemory() < HEAP_SHARE * runtime.maxMemory():
+        return
+    jvm.System.gc()
+    try:
+        kind, names = jvm.java.lang.Class, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+        types, args = new_array(kind, 4), new_array(jvm.java.lang.Object, 4)
+        for k, name in enumerate(names):
+            types[k] = kind.forName(name)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        kind.forName("javax.management.MBeanServer").getMethod("invoke", types).invoke(server, args)
+    except Exception:  # not every JVM has this command
+        pass
+
+
+@contextmanager
+def _giving_back(spark: SparkSession) -> Iterator[None]:
+    """While a query runs, its tasks' events make garbage in the driver, upon which the heap grows to its bound although
+    little of it is in use; a thread looks every LOOK_S seconds and gives back."""
+    over = threading.Event()
+
+    def look() -> None:
+        while not over.wait(LOOK_S):
+            try:
+                _give_back_jvm(spark)
+            except Exception:  # the session may be gone; the query says so itself
+                return
+
+    thread = InheritableThread(target=look, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        over.set()
+        thread.join()
+
+
 def materialise(df: DataFrame, tag: str, clean: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: cuts lineage, and survives lost
     executors because the files have no owner. Deleted by release(), or when the driver ends. clean: the driver of a
-    cluster collects its garbage then, upon which Spark drops the shuffle files that only led to this table."""
+    cluster collects its garbage then, upon which Spark drops the shuffle files that only led to this table; else it
+    does so, then and meanwhile, where its heap has grown."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with nullcontext() if _local(spark) else _giving_back(spark):
+        df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    if clean and not _local(spark):
-        spark.sparkContext._jvm.System.gc()
+    if not _local(spark):
+        _give_back_jvm(spark, clean)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path  # type: ignore[attr-defined]
     return out

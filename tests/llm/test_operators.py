@@ -2,10 +2,13 @@
 tables and extra columns."""
 
 import collections
+import gc
 import hashlib
 import os
 import random
 import re
+import threading
+import time
 import zlib
 
 import duckdb
@@ -13,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from inkfield.llm import components, exact, html_cut, jaccard, mixing, packing, quality, queries, repeats, sharding, toxicity, urls
+from inkfield.llm import common, components, exact, html_cut, jaccard, mixing, packing, quality, queries, repeats, sharding, toxicity, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -846,3 +849,36 @@ def test_very_long_texts(spark):
     assert got[1] == (len(long.encode()), len(long.encode())) and got[2][1] == len(long.encode()) and got[3][1] == 0
     page = "<article>" + "".join(f"<p>{long[k : k + 900]}.</p>" for k in range(0, len(long), 900)) + "</article>"
     assert html_cut.content(page, html_cut.DEFAULT_SHAPE)[1] == -(-len(long) // 900)
+
+
+def test_driver_gives_memory_back(spark, tmp_path, monkeypatch):
+    """A driver of a cluster whose heap has grown gives it back while a scratch table is written, and after it."""
+    monkeypatch.setattr(common, "_local", lambda spark: False)
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(common, "HEAP_SHARE", 0.4)
+    monkeypatch.setattr(common, "LOOK_S", 0.5)
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+
+    def fill():
+        while runtime.totalMemory() < 0.5 * runtime.maxMemory():
+            held = [spark.sparkContext._jvm.java.util.BitSet(1 << 29) for _ in range(int(runtime.maxMemory() * 0.5) >> 26)]
+            del held
+        gc.collect()
+        time.sleep(1)  # the JVM learns of it
+
+    seen = []
+
+    def slow(rows):
+        time.sleep(6)
+        yield from rows
+
+    fill()
+    looks = threading.Thread(target=lambda: (time.sleep(4), seen.append(runtime.totalMemory())))
+    looks.start()
+    out = common.materialise(spark.range(3).coalesce(1).mapInArrow(slow, "id long"), "slow")
+    looks.join()
+    assert seen[0] < 0.4 * runtime.maxMemory()
+    fill()
+    out = common.materialise(out, "quick")
+    assert runtime.totalMemory() < 0.4 * runtime.maxMemory()
+    assert sorted(r.id for r in out.collect()) == [0, 1, 2]
